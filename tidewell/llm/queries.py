@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .bpe import op7_byte_bpe
 from .chat import op1_chat_format
+from .jaccard import op9_ngram_jaccard
+from .quality import op6_quality_qda
 from .sharding import op10_feistel_shards
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op6_quality_qda": op6_quality_qda,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_feistel_shards": op10_feistel_shards,
 }
 
