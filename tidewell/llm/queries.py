@@ -7,9 +7,11 @@ from .chat import op1_chat_format
 from .jaccard import op9_ngram_jaccard
 from .quality import op6_quality_qda
 from .sharding import op10_feistel_shards
+from .substrings import op4_suffix_dedup
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_quality_qda": op6_quality_qda,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_ngram_jaccard": op9_ngram_jaccard,
