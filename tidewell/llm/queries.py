@@ -8,9 +8,13 @@ from .jaccard import op9_ngram_jaccard
 from .quality import op6_quality_qda
 from .sharding import op10_feistel_shards
 from .substrings import op4_suffix_dedup
+from .suffix_tree import op2_suffix_tree_lm
+from .vectors import op3_ego_near_dedup
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_suffix_tree_lm": op2_suffix_tree_lm,
+    "op3_ego_near_dedup": op3_ego_near_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_quality_qda": op6_quality_qda,
     "op7_byte_bpe": op7_byte_bpe,
@@ -37,4 +41,17 @@ SQL = {
                bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN role = 'user' THEN before IN ('system', 'assistant') ELSE role = 'assistant' AND before = 'user' END
                         AND (after IS NOT NULL OR role = 'assistant')) AS valid
         FROM e GROUP BY conv_id""",
+    "op3_ego_near_dedup": r"""
+        WITH RECURSIVE
+        v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+        good AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+                 WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+        links AS MATERIALIZED (
+            SELECT a.vec_id AS u, b.vec_id AS w FROM good a JOIN good b ON a.vec_id <> b.vec_id
+            WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+        reach(vec_id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.w FROM reach r JOIN links l ON l.u = r.other)
+        SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.u = v.vec_id) AS n_links,
+               (SELECT min(other) FROM reach r WHERE r.vec_id = v.vec_id) AS component_id,
+               v.vec_id = (SELECT min(other) FROM reach r WHERE r.vec_id = v.vec_id) AS kept
+        FROM v""",
 }
