@@ -5,10 +5,12 @@ from __future__ import annotations
 from .bpe import op7_byte_bpe
 from .chat import op1_chat_format
 from .jaccard import op9_ngram_jaccard
+from .leaks import op8_latent_leaks
 from .quality import op6_quality_qda
 from .sharding import op10_feistel_shards
 from .substrings import op4_suffix_dedup
 from .suffix_tree import op2_suffix_tree_lm
+from .token_counts import op5_section_tokens
 from .vectors import op3_ego_near_dedup
 
 QUERIES = {
@@ -16,8 +18,10 @@ QUERIES = {
     "op2_suffix_tree_lm": op2_suffix_tree_lm,
     "op3_ego_near_dedup": op3_ego_near_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_section_tokens": op5_section_tokens,
     "op6_quality_qda": op6_quality_qda,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_latent_leaks": op8_latent_leaks,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_feistel_shards": op10_feistel_shards,
 }

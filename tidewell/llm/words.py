@@ -20,6 +20,8 @@ _LOWER[65:91] += 32
 _VALUE = _LOWER.astype(U64) + U64(1)
 _VALUE[_SPACE] = 0
 _POWERS = np.ones(1, U64)
+#: Separators of plain words: every ASCII byte that is neither a letter nor a digit.
+PLAIN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def powers(n: int) -> np.ndarray:
@@ -43,11 +45,11 @@ def fmix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of all words of the documents buf[offsets[i]:offsets[i+1]], and for each document the range of its words as len(offsets) bounds."""
     if not len(buf):
         return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[buf]
+    inside = ~apart[buf]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -58,7 +60,7 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     spans = np.diff(starts, append=len(buf))
     at = np.arange(starts[0], len(buf), dtype=np.int64)
     at -= np.repeat(starts, spans)
-    value = _VALUE[buf[starts[0]:]]
+    value = np.where(apart, U64(0), _VALUE)[buf[starts[0]:]]
     value *= powers(int(spans.max()))[at]
     return fmix(np.add.reduceat(value, starts - starts[0])), np.searchsorted(starts, offsets)
 
