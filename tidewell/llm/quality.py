@@ -188,6 +188,17 @@ def score(model: Quadratic, stats: Column | str) -> Column:
     return run(stats)
 
 
+def text_score(model: Quadratic, text: Column | str) -> Column:
+    """The score of a text column, for filters that keep whole rows."""
+
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        found = [model.scores(statistics(buf, offsets)) for _, _, buf, offsets in slices(pa.array(s, pa.string()))]
+        return pd.Series(np.concatenate(found) if found else np.zeros(0))
+
+    return run(text)
+
+
 def classified(docs: DataFrame, labels: DataFrame, name: str = "quality", at_least: float = 0.3, folds: int = 5) -> tuple[DataFrame, Quadratic]:
     """(doc_id, held_out, score, predicted) for every document, learnt from labelled rows outside the held-out fold."""
     stats = saved(with_statistics(docs), "stats")

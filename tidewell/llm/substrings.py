@@ -232,13 +232,28 @@ def merged(found: list[bytes] | None) -> np.ndarray:
     return np.column_stack([x[first, 0], np.maximum.reduceat(x[:, 1], first)])
 
 
+def whole_characters(x: np.ndarray, b: bytes) -> np.ndarray:
+    """Spans shrunk to whole UTF-8 characters."""
+    out = []
+    for a, z in x.tolist():
+        while a < z and b[a] & 0xC0 == 0x80:
+            a += 1
+        while z > a and z < len(b) and b[z] & 0xC0 == 0x80:
+            z -= 1
+        if a < z:
+            out.append((a, z))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def removed(docs: DataFrame, length: int = 400, keep_first: bool = False, texts: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row; with ``texts`` also the kept text (bytes that no longer form UTF-8 at a cut become U+FFFD)."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row; with ``texts`` also ``kept``, the text without the spans (shrunk to whole characters), and ``row``, a struct of all the row's columns."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    row = [F.struct(*docs.columns).alias("row")] if texts else []
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *row)
     docs = docs.withColumn("key", F.xxhash64("text"))
     classes, found = spans(docs, length, keep_first)
     info = classes.join(found, "key", "left").where((F.col("copies") > 1) | F.col("found").isNotNull())
-    joined = docs.join(info, "key", "left").select("doc_id", "text", "rep", F.coalesce("copies", F.lit(1)).alias("copies"), "found")
+    joined = docs.join(info, "key", "left").select("doc_id", "text", "rep", F.coalesce("copies", F.lit(1)).alias("copies"), "found", *["row"] * texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,18 +264,21 @@ def removed(docs: DataFrame, length: int = 400, keep_first: bool = False, texts:
                     b = text.encode()
                     whole = copies > 1 and len(b) >= length and (not keep_first or doc != rep)
                     x = np.array([[0, len(b)]]) if whole else merged(spans)
+                    if texts:
+                        x = whole_characters(x, b)
                     kept, last = [], 0
                     for a, z in x.tolist():
                         kept.append(b[last:a])
                         last = z
                     kept = b"".join([*kept, b[last:]])
-                    out.append((len(b), int((x[:, 1] - x[:, 0]).sum()), len(x), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] if texts else [])))
+                    out.append((len(b), int((x[:, 1] - x[:, 0]).sum()), len(x), hashlib.sha256(kept).hexdigest(), *([kept.decode()] if texts else [])))
                 if out:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                    yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False))], ["doc_id", *"abcde"[:len(out[0])]])
+                    own = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=False)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *own, *([part.column(5)] if texts else [])], ["doc_id", *"abcde"[:len(own)], *["row"] * texts])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts)
+    more = f", kept string, row {docs.schema['row'].dataType.simpleString()}" if texts else ""
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
