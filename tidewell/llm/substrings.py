@@ -32,6 +32,7 @@ from .words import fmix, slices
 
 U64 = np.uint64
 GRAM = 64
+FINE = 8  # a part's slices are ranked in so many turns
 _P = U64(0x9E3779B97F4A7C15)
 _LOW = (1 << 24) - 1
 
@@ -145,9 +146,10 @@ def spans(docs: DataFrame, length: int = 400, keep_first: bool = False) -> tuple
                     grams, first, last = window_runs(own, length)
                     t = _tokens(grams, count)
                     take = np.isin(t, np.concatenate([np.frombuffer(x, U64) for x in tokens[i + d]]))
+                    fine = ((fmix(grams[take]) >> U64(32)) * U64(count * FINE)) >> U64(32)
                     key, rep = keys[i + d], reps[i + d]
                     rep = -(1 << 63) if rep is None else rep
-                    for a, z, part in zip(first[take].tolist(), last[take].tolist(), (t[take] >> U64(40)).tolist(), strict=True):
+                    for a, z, part in zip(first[take].tolist(), last[take].tolist(), fine.tolist(), strict=True):
                         content = own[a:z + length].tobytes()
                         entry = [rep, key, a, part, 0]
                         before = held.get(content)
@@ -159,7 +161,7 @@ def spans(docs: DataFrame, length: int = 400, keep_first: bool = False) -> tuple
                                 held[content], before, entry = entry, entry, before
                             before[4] = 1
                             done.append((entry[1], entry[2], entry[2] + len(content)))
-                if n > 24 << 20:
+                if n > 12 << 20:
                     yield packed(held, done)
                     held, done, n = {}, [], 0
         if held:
@@ -171,15 +173,15 @@ def spans(docs: DataFrame, length: int = 400, keep_first: bool = False) -> tuple
             rows.setdefault(entry[3], []).append((content, entry))
         out = []
         for part, own in rows.items():
-            out.append((parts[part], b"".join(c for c, _ in own), np.array([len(c) for c, _ in own], np.int64).tobytes(), np.array([[*e[:3], e[4]] for _, e in own], np.int64).tobytes()))
+            out.append((parts[part // FINE], part, b"".join(c for c, _ in own), np.array([len(c) for c, _ in own], np.int64).tobytes(), np.array([[*e[:3], e[4]] for _, e in own], np.int64).tobytes()))
         for i in range(0, len(done), 50_000):
-            out.append((parts[i // 50_000 % count], b"", b"", np.array(done[i:i + 50_000], np.int64).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.large_binary(), pa.binary(), pa.binary()), strict=True)], ["part", "contents", "sizes", "entries"])
+            out.append((parts[i // 50_000 % count], 0, b"", b"", np.array(done[i:i + 50_000], np.int64).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "at", "contents", "sizes", "entries"])
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
-            for part, contents, sizes, entries in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for part, contents, sizes, entries in zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True):
                 if contents:
                     held.setdefault(part, []).append((contents, np.frombuffer(sizes, np.int64), np.frombuffer(entries, np.int64).reshape(-1, 4)))
                 else:
@@ -216,7 +218,7 @@ def spans(docs: DataFrame, length: int = 400, keep_first: bool = False) -> tuple
             pairs = np.column_stack([a, end])
             yield pa.RecordBatch.from_arrays([pa.array(k[own]), pa.array([x.tobytes() for x in np.split(pairs, own[1:])], pa.binary())], ["key", "found"])
 
-    sent = texts.select("key", "rep", "text", "tokens").mapInArrow(cut, "part int, contents binary, sizes binary, entries binary")
+    sent = texts.select("key", "rep", "text", "tokens").mapInArrow(cut, "part int, at int, contents binary, sizes binary, entries binary")
     back = sent.repartition(count, "part").mapInArrow(ranked, "key long, found binary")
     return classes, back.groupBy("key").agg(F.collect_list("found").alias("found"))
 
