@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,8 +188,6 @@ def grounded(text: Column, label: str, value: str) -> Column:
 
 def detected_by(df: DataFrame, detector: Callable[[str], list[dict]], text: str = "text") -> DataFrame:
     """Adds ``findings`` of a plugged-in detector (a model, a service): text -> dicts of type, start, end (characters), score. An error marks the row instead of passing it on unchecked."""
-    import pandas as pd
-
     kind = "struct<error:string,findings:array<struct<type:string,start:int,end:int,byte_start:int,byte_end:int,value:string,score:double>>>"
 
     @F.pandas_udf(kind)

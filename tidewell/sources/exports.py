@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def export_view(df: DataFrame, tenant: int, at: str = "event_time", money: str = "revenue", tenant_col: str = "tenant_id") -> DataFrame:
     """A tenant's rows in time order, times as RFC 3339, money with two decimals, without the tenant's column."""
     own = df.where(F.col(tenant_col) == tenant).orderBy(at)
-    shown = {at: F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), money: F.format_string("%.2f", F.col(money).cast("decimal(18,2)"))}
+    shown = {at: F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), money: F.col(money).cast("decimal(18,2)").cast("string")}
     return own.select(*[shown.get(c, F.col(c)).alias(c) for c in df.columns if c != tenant_col])
 
 

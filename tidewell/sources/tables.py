@@ -109,11 +109,11 @@ class Table:
         """A row per file: partition, rows, bytes, level of nothing but what footers and listings say."""
         items = Files(spark, self.path).listed(self.path, ".parquet")
         rows = [((re.search(r"yyyymm=(\d+)", i.path) or [None, None])[1], i.path.rsplit("/", 1)[1], i.size, i.path) for i in items]
-        files = spark.createDataFrame(rows, "partition string, name string, bytes long, path string")
+        files = spark.createDataFrame(rows, "partition string, name string, bytes long, path string").withColumn("place", _place("path")).drop("path")
         if not rows:
             return files.select("partition", "name", F.lit(0).cast("long").alias("rows"), "bytes")
-        counts = spark.read.parquet(self.path).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name")).agg(F.count(F.lit(1)).alias("rows"))
-        return files.join(counts, "name", "left").select("partition", "name", F.coalesce("rows", F.lit(0)).alias("rows"), "bytes")
+        counts = spark.read.parquet(self.path).groupBy(_place(F.input_file_name()).alias("place")).agg(F.count(F.lit(1)).alias("rows"))
+        return files.join(counts, "place", "left").select("partition", "name", F.coalesce("rows", F.lit(0)).alias("rows"), "bytes")
 
     def columns(self, spark: SparkSession) -> DataFrame:
         """Compressed and uncompressed bytes of each column, from the footers, read where the files are."""
@@ -137,6 +137,11 @@ class Table:
         return found.groupBy("name", "type").agg(F.sum("compressed").alias("compressed"), F.sum("uncompressed").alias("uncompressed"))
 
 
+def _place(path: Column | str) -> Column:
+    """Folder and name: one task's files share their name across partitions."""
+    return F.substring_index(path, "/", -2)
+
+
 def with_defaults(df: DataFrame, schema: StructType) -> DataFrame:
     """All columns of the schema by name and type; those that df lacks hold 0, '', false or null."""
     zero = {"string": "", "boolean": False, "date": "1970-01-01", "timestamp": "1970-01-01 00:00:00", "timestamp_ntz": "1970-01-01 00:00:00"}
