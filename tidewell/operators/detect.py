@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ascii_boundaries, byte_offset, literal_matches, passes_threshold
-from ..functions.spans import accepted, barrier, by_start, located
+from ..functions.spans import accepted, barrier, by_length_stable, by_score_stable, by_start, large_chunks, located, rebased
 
 # The detectors in order of priority.
 PATTERNS = {
@@ -205,3 +205,34 @@ def detected_by(df: DataFrame, detector: Callable[[str], list[dict]], text: str
         return pd.DataFrame(rows, columns=["error", "findings"])
 
     return barrier(df, _d=run(F.col(text))).select("*", F.col("_d.error").alias("error"), by_start(F.col("_d.findings")).alias("findings")).drop("_d")
+
+
+def detected_in_chunks(df: DataFrame, key: str, detector: Callable[[str], list[dict]], text: str = "text") -> DataFrame:
+    """(key, error, findings): texts are cut into chunks, each is detected on its own with its overlaps resolved by score, and
+    spans move to the whole text's offsets; chunks aren't compared with each other. One bad chunk fails its row. Texts without
+    findings have an empty array."""
+    chunks = df.select(key, F.explode_outer(large_chunks(F.col(text))).alias("c")).select(key, F.col("c.offset").alias("_o"), F.col("c.byte_offset").alias("_b"), F.col("c.chunk").alias("chunk"))
+    found = detected_by(chunks, detector, "chunk")
+    kind = "struct<type:string,start:int,end:int,byte_start:int,byte_end:int,value:string,score:double>"
+    own = barrier(found, _kept=accepted(by_score_stable(F.col("findings")), kind))
+    moved = own.select(key, "error", "_o", rebased(F.col("_kept"), F.coalesce("_o", F.lit(0)), F.coalesce("_b", F.lit(0))).alias("f"))
+    return moved.groupBy(key).agg(F.max("error").alias("error"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_o", "f"))), lambda x: x["f"])).alias("all")).select(key, "error", F.when(F.col("error").isNull(), by_start(F.col("all"))).otherwise(F.array().cast(f"array<{kind}>")).alias("findings"))
+
+
+def grounded_entities(df: DataFrame, entities: str = "entities", text: str = "text") -> DataFrame:
+    """Adds ``findings``: all occurrences of values that a model named (array of struct label, value) in the whole text, longest first where they overlap. Blank values, unknown labels and values that aren't in the text give none."""
+
+    @F.pandas_udf(f"array<{SPAN}>")
+    def run(texts: pd.Series, named: pd.Series) -> pd.Series:
+        out = []
+        for t, es in zip(texts, named, strict=True):
+            t, spans = t or "", []
+            for label, value in dict.fromkeys((e["label"], e["value"]) for e in (es if es is not None else [])):
+                kind, at = MODEL_LABELS.get(label), -1
+                while kind and value and value.strip() and (at := t.find(value, at + 1 if at < 0 else at + len(value))) >= 0:
+                    spans.append({"type": kind, "start": at, "end": at + len(value), "value": value})
+            out.append(spans)
+        return pd.Series(out)
+
+    step = barrier(df, _spans=run(F.col(text), F.col(entities)))
+    return barrier(step, _kept=accepted(by_length_stable(F.col("_spans")), SPAN)).select(*df.columns, by_start(F.col("_kept")).alias("findings"))

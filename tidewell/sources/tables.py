@@ -162,3 +162,15 @@ def storage_report(parts: DataFrame, keys: list[str]) -> DataFrame:
 def parts_pressure(parts: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Groups of over ``most`` files."""
     return storage_report(parts, keys).where(F.col("parts") > most)
+
+
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, order: tuple[str, ...] = ()) -> None:
+    """A catalog table dealt into buckets by a key: filters on the key read one bucket, joins on it need no shuffle."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *[c for c in order if c != key]).format("parquet").saveAsTable(name)
+
+
+def gathered_copies(copies: dict[str, DataFrame]) -> DataFrame:
+    """All nodes' copies of a relation as one, with the node each row comes from."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [df.withColumn("host", F.lit(host)) for host, df in copies.items()])
