@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-The corpus is read as overlapping passages of 2 * HALF plain words. A randomised SVD of their TF-IDF matrix over the
-benchmark's vocabulary is computed in one pass: each task adds T'(T Omega) for its passages' counts T, the sums give the
-leading right singular vectors (Nystroem form), and idf scales them afterwards. In a second pass every passage is compared by
-cosine in the latent space with every benchmark item, and candidates are checked where they are found: the longest common
-subsequence of words and the share of the item's answer that the passage holds.
+The corpus is read as overlapping passages of 2 * HALF plain words. One pass counts the passages that hold each word of the
+benchmark's vocabulary; words of over STOP of all passages are stop words (but an item keeps its rarest words if too few are
+left). A randomised SVD of the TF-IDF matrix A takes a second pass: each task adds A'(A Omega) for its passages, and the sums
+give the leading right singular vectors (Nystroem form). In a third pass every passage is compared by cosine in the latent
+space with every benchmark item, and candidates are checked where they are found: the longest common subsequence of words and
+the share of the item's answer that the passage holds.
 
 The benchmark is the stated query set: its texts go to every task in blocks of at most BLOCK_ITEMS items, and its words
 (at most MOST_WORDS, else an error) span the matrix.
@@ -22,12 +23,14 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .words import PLAIN, slices, word_hashes
 
 U64 = np.uint64
 HALF, SHORT, PIECE = 16, 8, 64
+STOP, LEAST_WORDS = 0.005, 5
 BLOCK_ITEMS, MOST_WORDS = 20_000, 1_000_000
 
 
@@ -35,7 +38,7 @@ BLOCK_ITEMS, MOST_WORDS = 20_000, 1_000_000
 class Rule:
     """Least cosine of a candidate; least share of the item in common order; the lower share that does if the answer is there; least share of the answer."""
 
-    cosine: float = 0.5
+    cosine: float = 0.55
     common: float = 0.7
     with_answer: float = 0.6
     answer: float = 0.8
@@ -84,26 +87,59 @@ def added(rows: np.ndarray, to: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def latent(docs: DataFrame, vocabulary: Vocabulary, rank: int = 64, more: int = 16, seed: int = 7) -> np.ndarray:
-    """Projection (words x rank, idf times right singular vectors) of TF-IDF passages, by a one-pass randomised SVD."""
+def passage_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
+    """Half passages that hold each word, and their number."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    m = len(vocabulary.words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, df, passages = shared.value, np.zeros(m, np.int64), 0
+        for batch in batches:
+            for _, _, buf, offsets in slices(batch.column(0), 1 << 20):
+                words, at = word_hashes(buf, offsets, PLAIN)
+                first, _ = halves(at)
+                passages += int(first[-1])
+                place, ids = vocabulary.ids(words)
+                if len(place):
+                    df += np.bincount(np.unique(half_of(place, at, first) * m + ids) % m, minlength=m)
+        known = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *known.tolist()], pa.int32()), pa.array([passages, *df[known].tolist()], pa.int64())], ["i", "n"])
+
+    found = {r["i"]: r["n"] for r in docs.select("text").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}  # a row per word of the vocabulary
+    df = np.zeros(m)
+    for i, n in found.items():
+        if i >= 0:
+            df[i] = n
+    return df, max(1, found.get(-1, 1))
+
+
+def latent(docs: DataFrame, vocabulary: Vocabulary, items: list[np.ndarray], rank: int = 128, more: int = 16, seed: int = 7) -> np.ndarray:
+    """Projection (words x rank: idf times right singular vectors) of TF-IDF passages, by a randomised SVD."""
     spark = docs.sparkSession
     m = len(vocabulary.words)
-    omega = np.random.default_rng(seed).standard_normal((m, rank + more)).astype(np.float32)
-    shared = spark.sparkContext.broadcast((vocabulary, omega))
+    df, passages = passage_counts(docs, vocabulary)
+    use = df <= STOP * passages
+    for words in items:
+        ids = np.unique(vocabulary.ids(words)[1])
+        if use[ids].sum() < LEAST_WORDS:
+            use[ids[np.argsort(df[ids], kind="stable")[:2 * LEAST_WORDS]]] = True
+    idf = np.where(use, np.log((passages + 1) / (df + 1)) + 0.1, 0)
+    omega = np.random.default_rng(seed).standard_normal((m, rank + more))
+    shared = spark.sparkContext.broadcast((vocabulary, (idf[:, None] * omega).astype(np.float32), use))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, omega = shared.value
-        total, df, passages = np.zeros((m, omega.shape[1])), np.zeros(m), 0
+        vocabulary, weighted, use = shared.value
+        total = np.zeros(weighted.shape)
         for batch in batches:
             for _, _, buf, offsets in slices(batch.column(0), 1 << 20):
                 words, at = word_hashes(buf, offsets, PLAIN)
                 first, _ = halves(at)
                 place, ids = vocabulary.ids(words)
-                passages += int(first[-1])
+                place, ids = place[use[ids]], ids[use[ids]]
                 if not len(place):
                     continue
                 half = half_of(place, at, first)
-                y = added(omega[ids], half, int(first[-1]) + 2)
+                y = added(weighted[ids], half, int(first[-1]) + 2)
                 # passage k is halves k and k + 1 of one document
                 last = np.zeros(len(y), bool)
                 last[first[1:][np.diff(first) > 0] - 1] = True
@@ -113,10 +149,8 @@ def latent(docs: DataFrame, vocabulary: Vocabulary, rank: int = 64, more: int =
                 inner = half > 0
                 both[inner] += p[half[inner] - 1]
                 total += added(both, ids, m)
-                df += np.bincount(np.unique(half * m + ids) % m, minlength=m)
-        known = np.flatnonzero(df)
-        rows = np.column_stack([df[known], total[known]])
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *known.tolist()], pa.int32()), pa.array([np.full(rows.shape[1], passages, float).tobytes(), *(r.tobytes() for r in rows)], pa.binary())], ["i", "v"])
+        known = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(known, pa.int32()), pa.array([r.tobytes() for r in total[known]], pa.binary())], ["i", "v"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -125,20 +159,15 @@ def latent(docs: DataFrame, vocabulary: Vocabulary, rank: int = 64, more: int =
                 held[i] = held[i] + np.frombuffer(v) if i in held else np.frombuffer(v)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["i", "v"])
 
-    z, df, passages = np.zeros((m, rank + more)), np.zeros(m), 1.0
-    for r in docs.select("text").mapInArrow(run, "i int, v binary").repartition(32, "i").mapInArrow(add, "i int, v binary").collect():  # a row per word of the vocabulary
-        v = np.frombuffer(r["v"])
-        if r["i"] < 0:
-            passages = max(1.0, v[0])
-        else:
-            df[r["i"]], z[r["i"]] = v[0], v[1:]
+    z = np.zeros((m, rank + more))
+    for r in docs.select("text").mapInArrow(run, "i int, v binary").repartition(32, "i").mapInArrow(add, "i int, v binary").toLocalIterator():  # a row per word of the vocabulary
+        z[r["i"]] = np.frombuffer(r["v"])
     shared.unpersist()
-    idf = np.log((passages + 1) / (df + 1)) + 0.1
-    core = omega.T.astype(float) @ z
-    core = (core + core.T) / 2
-    values, vectors = np.linalg.eigh(core)
+    z *= idf[:, None]
+    core = omega.T @ z
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
     keep = values > max(values.max(), 1e-12) * 1e-7
-    half = (idf[:, None] * z) @ (vectors[:, keep] / np.sqrt(values[keep])) if keep.any() else np.zeros((m, 1))
+    half = z @ (vectors[:, keep] / np.sqrt(values[keep])) if keep.any() else np.zeros((m, 1))
     u = np.linalg.svd(half, full_matrices=False)[0][:, :rank]
     return (idf[:, None] * u).astype(np.float32)
 
@@ -157,7 +186,7 @@ def common_subsequence(item: np.ndarray, passage: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
-def leaked(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), rank: int = 64, answer_col: str | None = None) -> DataFrame:
+def leaked(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), rank: int = 128, answer_col: str | None = None) -> DataFrame:
     """(doc_id, item_id, cosine, common_share, answer_share): pairs in which the document holds the item. Without an answer column the item's last six words stand for its answer."""
     items = [(r[0], plain_words(r[1]), plain_words(r[2]) if answer_col else plain_words(r[1])[-6:]) for r in benchmark.select("item_id", "text", *([answer_col] if answer_col else [])).toLocalIterator()]
     items = [x for x in items if len(x[1])]
@@ -167,7 +196,7 @@ def leaked(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), rank: int
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, cosine double, common_share double, answer_share double"
     if not items:
         return docs.sparkSession.createDataFrame([], kinds)
-    project = latent(docs, vocabulary, rank)
+    project = latent(docs, vocabulary, [x[1] for x in items], rank)
     blocks = [items[i:i + BLOCK_ITEMS] for i in range(0, len(items), BLOCK_ITEMS)]
     return reduce(DataFrame.unionByName, [_searched(docs, block, vocabulary, project, rule, kinds) for block in blocks])
 
@@ -182,12 +211,14 @@ def _searched(docs: DataFrame, items: list, vocabulary: Vocabulary, project: np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, project, q, owner, items = shared.value
+        use = project.any(1)
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
             for i, _, buf, offsets in slices(batch.column(1), 1 << 20):
                 words, at = word_hashes(buf, offsets, PLAIN)
                 first, _ = halves(at)
                 place, known = vocabulary.ids(words)
+                place, known = place[use[known]], known[use[known]]
                 if not len(place):
                     continue
                 y = added(project[known], half_of(place, at, first), int(first[-1]) + 1)
