@@ -283,7 +283,7 @@ APPS = ["sales-copilot", "support-bot", "hr-assistant", "claims-assistant"]
 def _requests(spark: SparkSession, d: str) -> DataFrame:
     doc = read_table(spark, d, "documents")
     app = X.pick(APPS, F.pmod("doc_id", F.lit(4)))
-    return doc.select(F.col("doc_id").alias("request_id"), app.alias("app_id"), F.when(app == "hr-assistant", F.array(F.lit("personal-data"))).otherwise(F.array().cast("array<string>")).alias("app_approved_for"), F.when(F.pmod("doc_id", F.lit(5)) == 0, "self-hosted").otherwise("external").alias("destination_hosting"), F.lit("openai").alias("destination_provider"))
+    return doc.select(F.col("doc_id").alias("request_id"), app.alias("app_id"), F.when(app == "hr-assistant", F.array(F.lit("personal-data"))).otherwise(F.array().cast("array<string>")).alias("app_approved_for"), F.when(F.pmod("doc_id", F.lit(5)) == 0, "self-hosted").otherwise("external").alias("destination_hosting"), F.lit("provider-a").alias("destination_provider"))
 
 
 def _decisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
