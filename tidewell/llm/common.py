@@ -25,9 +25,31 @@ def checkpoint_root(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back: lineage ends there and an executor's loss can't undo it."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/tidewell/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def _own_root(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/tidewell/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more."""
+    for df in frames:
+        _delete(df.sparkSession, df.saved_at)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Delete all tables that this application's operators saved; for when their results are written."""
+    _delete(spark, _own_root(spark))
 
 
 def input_bytes(df: DataFrame) -> int:

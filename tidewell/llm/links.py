@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 from .messages import local_components
 
 
@@ -49,5 +49,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = saved(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = saved(small.distinct(), "edges")
+        now, old = saved(small.distinct(), "edges"), now
+        forget(old, large)
     raise RuntimeError("components did not settle")
