@@ -153,7 +153,7 @@ def q_argmax_having(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_daily_revenue_summing(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d).where("event_type = 'purchase'").select(F.to_date("ts").alias("day"), "tenant_id", F.lit(1).cast("long").alias("orders"), F.col("revenue").cast(MONEY).alias("revenue"), F.pmod("event_id", F.lit(3)).alias("block"))
+    e = _events(spark, d).where("event_type = 'purchase'").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "tenant_id", F.lit(1).cast("long").alias("orders"), F.col("revenue").cast(MONEY).alias("revenue"), F.pmod("event_id", F.lit(3)).alias("block"))
     blocks = kinds.summed(e, ["block", "day", "tenant_id"], ["orders", "revenue"])  # as three inserts would leave it
     return kinds.summed(blocks.drop("block"), ["day", "tenant_id"], ["orders", "revenue"]).withColumn("revenue", F.col("revenue").cast("double"))
 
@@ -316,7 +316,7 @@ def q_policy_dry_run(spark: SparkSession, d: str) -> DataFrame:
 def q_policy_monthly_rollup(spark: SparkSession, d: str) -> DataFrame:
     _, made = _decisions(spark, d)
     dated = made.withColumn("at", F.make_timestamp(F.lit(2026), F.pmod("request_id", F.lit(3)).cast("int") + 9, F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
-    return evidence.period_rollup(dated).select("period", "statement", "evaluated", "redacted", "blocked", "monitor_only")
+    return evidence.period_rollup(dated).select(F.col("period").cast("string").alias("period"), "statement", "evaluated", "redacted", "blocked", "monitor_only")
 
 
 QUERIES = {
@@ -395,7 +395,7 @@ SQL = {
         CASE WHEN n < 20 THEN 'enterprise' WHEN n < 200 THEN 'pro' ELSE 'free' END AS tier FROM (SELECT unnest(range(1000)) AS n)""",
     "q_latest_version": "SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1 AND o_orderstatus <> 'F'",
     "q_argmax_having": "SELECT o_custkey, o_orderpriority AS priority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1 AND o_orderstatus = 'O'",
-    "q_daily_revenue_summing": _E + f"SELECT ts::DATE AS day, tenant_id, count(*) AS orders, sum(revenue)::{_M}::DOUBLE AS revenue FROM e WHERE event_type = 'purchase' GROUP BY 1, 2",
+    "q_daily_revenue_summing": _E + f"SELECT strftime(ts, '%Y-%m-%d') AS day, tenant_id, count(*) AS orders, sum(revenue)::{_M}::DOUBLE AS revenue FROM e WHERE event_type = 'purchase' GROUP BY 1, 2",
     "q_rollup_merge_exact": _E + f"SELECT tenant_id, date_trunc('hour', ts) AS hour, count(*) AS events, sum(revenue)::{_M}::DOUBLE AS revenue FROM e GROUP BY 1, 2",
     "q_p95_exact": _E + "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95 FROM e GROUP BY 1",
     "q_ttl_delete": _E + "SELECT event_type, count(*) AS left FROM e WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY GROUP BY 1",
@@ -423,7 +423,7 @@ SQL = {
     "q_policy_dry_run": _D + """, s AS (SELECT app, count(*) AS evaluated FROM r GROUP BY app), g AS (SELECT DISTINCT request_id, app, statement, action FROM d)
         SELECT g.app, statement, evaluated, count(*) FILTER (action = 'redact') AS would_redact, count(*) FILTER (action = 'block') AS would_block FROM g JOIN s ON g.app = s.app GROUP BY 1, 2, 3""",
     "q_policy_monthly_rollup": _D + """, g AS (SELECT DISTINCT request_id, statement, action, mode FROM d)
-        SELECT make_date(2026, (request_id % 3 + 9)::INT, 1) AS period, statement, count(*) AS evaluated, count(*) FILTER (mode = 'enforce' AND action = 'redact') AS redacted,
+        SELECT strftime(make_date(2026, (request_id % 3 + 9)::INT, 1), '%Y-%m-%d') AS period, statement, count(*) AS evaluated, count(*) FILTER (mode = 'enforce' AND action = 'redact') AS redacted,
         count(*) FILTER (mode = 'enforce' AND action = 'block') AS blocked, count(*) FILTER (mode = 'monitor') AS monitor_only FROM g GROUP BY 1, 2""",
     **{f"q_pii_{name}_counts": f"SELECT doc_id, len(regexp_extract_all(text, '{detect.PATTERNS[kind]}'))::BIGINT AS n FROM documents WHERE len(regexp_extract_all(text, '{detect.PATTERNS[kind]}')) > 0" for name, kind in (("email", "pii.email"), ("phone", "pii.phone"), ("ssn", "pii.national_id"), ("card", "pci.card_number"), ("key", "secret.api_key"))},
 }
