@@ -154,15 +154,24 @@ def linked(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec
     placed = classes.mapInArrow(place, "raw binary, rep long, copies long, p array<double>, cells array<int>")
     order = [F.col("cells")[i] for i in range(lead)] + [F.col("p")[0], F.col("rep")]
     ordered = saved(placed.repartitionByRange(groups, *order).withColumn("g", F.spark_partition_id()), "ordered")
-    bounds = ordered.groupBy("g").agg(*[f(F.col("p")[i]).alias(f"{n}{i}") for i in range(lead) for n, f in (("lo", F.min), ("hi", F.max))]).orderBy("g").collect()  # a row per group
-    lo = np.array([[b[f"lo{i}"] for i in range(lead)] for b in bounds])
-    hi = np.array([[b[f"hi{i}"] for i in range(lead)] for b in bounds])
+    found = ordered.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[f(F.col("p")[i]).alias(f"{n}{i}") for i in range(lead) for n, f in (("lo", F.min), ("hi", F.max))]).orderBy("g").collect()  # a row per partition
+    # consecutive partitions make up a group, whatever number of partitions the session deals
+    bounds: list[dict] = []
+    for r in found:
+        if not bounds or bounds[-1]["n"] + r["n"] > GROUP * 3 // 2:
+            bounds.append({"g": [], "n": 0, "lo": np.full(lead, np.inf), "hi": np.full(lead, -np.inf)})
+        own = bounds[-1]
+        own["g"].append(r["g"])
+        own["n"] += r["n"]
+        own["lo"] = np.minimum(own["lo"], [r[f"lo{i}"] for i in range(lead)])
+        own["hi"] = np.maximum(own["hi"], [r[f"hi{i}"] for i in range(lead)])
+    lo, hi = np.array([b["lo"] for b in bounds]), np.array([b["hi"] for b in bounds])
     pairs = []
     for i in range(len(bounds)):
         gap = np.maximum(0, np.maximum(lo[i:] - hi[i], lo[i] - hi[i:]))
-        pairs += [(bounds[i]["g"], bounds[i + int(j)]["g"]) for j in np.flatnonzero((gap * gap).sum(1) <= cell * cell + 1e-9)]
+        pairs += [(i, i + int(j)) for j in np.flatnonzero((gap * gap).sum(1) <= cell * cell + 1e-9)]
     parts = spread_keys(min(len(pairs), 4096))
-    work = [(g, k, parts[k % len(parts)], side) for k, pair in enumerate(pairs) for side, g in enumerate(pair) if side == 0 or pair[0] != pair[1]]
+    work = [(g, k, parts[k % len(parts)], side) for k, pair in enumerate(pairs) for side, i in enumerate(pair) if side == 0 or pair[0] != pair[1] for g in bounds[i]["g"]]
     dealt = ordered.select("g", "raw", "rep", "copies", "cells", F.col("p")[0].alias("p0")).join(spark.createDataFrame(work, "g int, k int, part int, side int"), "g")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
