@@ -43,6 +43,10 @@ def digest(h: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a)), int(np.int64(b))
 
 
+# seconds for a subset, a checked pair, an inverted-list entry, and a scan's start
+SUBSET_S, CHECK_S, ENTRY_S, SCAN_S = 4e-7, 2.5e-5, 2e-9, 6e-5
+
+
 def size_aware_pairs(sets: list[np.ndarray], percent: int = 75, group: list[int] | None = None) -> list[tuple[int, int]]:
     """Spanning links (i, j) among sorted distinct uint64 sets at Jaccard >= percent/100. With ``group`` (0 or 1 for each set) only pairs across groups are looked at."""
     if len(sets) < 2:
@@ -56,70 +60,64 @@ def size_aware_pairs(sets: list[np.ndarray], percent: int = 75, group: list[int]
     owner, token = owner[keep], rank[token[keep]]
     order = np.lexsort((token, owner))
     owner, token = owner[order], token[order]
-    at = np.searchsorted(owner, np.arange(len(sets) + 1)).tolist()
+    at = np.searchsorted(owner, np.arange(len(sets) + 1))
     need = -(-size * percent // 100)
-    # prefix lengths; below 1: nothing left to link with
-    prefix = np.diff(at) - need + 1
-    live = [i for i in range(len(sets)) if prefix[i] >= 1 and size[i] > 1]
+    prefix = np.diff(at) - need + 1  # below 1: too little left to link with
+    live = np.flatnonzero((prefix >= 1) & (size > 1))
     if len(live) < 2:
         return []
-    length = np.bincount(np.concatenate([token[at[i]:at[i] + prefix[i]] for i in live]), minlength=len(df))
-    light_cost = np.array([(prefix[i] + 1) * prefix[i] / 2 for i in live])
-    heavy_cost = np.array([float(length[token[at[i]:at[i] + prefix[i]]].sum()) for i in live])
+    # inverted lists of the sets that may link
+    mine = np.isin(owner, live)
+    by_token = np.argsort(token[mine], kind="stable")
+    lists, entries = owner[mine][by_token], token[mine][by_token]
+    ends = np.searchsorted(entries, np.arange(len(df) + 1))
+    length = np.diff(ends)
+    light = np.array([SUBSET_S * (prefix[i] + 1) * prefix[i] / 2 + CHECK_S * length[token[at[i]:at[i] + prefix[i]]].max() for i in live])
+    heavy = np.array([SCAN_S + ENTRY_S * (length[token[at[i]:at[i + 1]]].sum() + len(sets)) for i in live])
     by_size = np.argsort(size[live], kind="stable")
-    total = np.concatenate([[0], np.cumsum(light_cost[by_size])]) + np.concatenate([np.cumsum(heavy_cost[by_size][::-1])[::-1], [0]])
+    total = np.concatenate([[0], np.cumsum(light[by_size])]) + np.concatenate([np.cumsum(heavy[by_size][::-1])[::-1], [0]])
     sizes = size[live][by_size]
-    ends = np.concatenate([[0], np.flatnonzero(np.diff(sizes)) + 1, [len(sizes)]])  # sets of one size stay on one side
-    cut = int(ends[np.argmin(total[ends])])
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(sizes)) + 1, [len(sizes)]])  # sets of one size stay on one side
+    cut = int(cuts[np.argmin(total[cuts])])
     boundary = int(sizes[cut - 1]) if cut else 0
-    buckets: dict = {}
-    for i in live:
-        n = int(size[i])
-        if n <= boundary:
-            own = token[at[i]:at[i] + prefix[i] + 1].tolist()  # one more than the prefix: two must meet
-            for x in range(len(own)):
-                for y in range(x + 1, len(own)):
-                    buckets.setdefault((own[x], own[y]), []).append(i)
-        if n * 100 > boundary * percent:  # a heavy set, or a light one that a heavy set may link with
-            for t in token[at[i]:at[i] + prefix[i]].tolist():
-                buckets.setdefault(t, []).append(i)
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    label, links = np.arange(len(sets)), []
+    across = np.array(group) if group is not None else None
+
+    def join(i: int, j: int) -> None:
+        links.append((min(i, j), max(i, j)))
+        u, v = sorted((label[i], label[j]))
+        label[label == v] = u
+
+    for i in live[size[live] > boundary].tolist():  # heavy: the overlap with every set at once
+        near = np.concatenate([lists[ends[t]:ends[t + 1]] for t in token[at[i]:at[i + 1]].tolist()])
+        common = np.bincount(near, minlength=len(sets))
+        hit = common * 100 >= percent * (size[i] + size - common)
+        hit[i] = False
+        if across is not None:
+            hit &= across != across[i]
+        found = np.flatnonzero(hit)
+        if len(found):
+            for r in np.unique(label[found], return_index=True)[1].tolist():
+                if label[found[r]] != label[i]:
+                    join(i, int(found[r]))
+    buckets: dict[tuple[int, int], list[int]] = {}
+    for i in live[size[live] <= boundary].tolist():  # light: two of the prefix and one more must meet
+        own = token[at[i]:at[i] + prefix[i] + 1].tolist()
+        for x in range(len(own)):
+            for y in range(x + 1, len(own)):
+                buckets.setdefault((own[x], own[y]), []).append(i)
     failed: set[tuple[int, int]] = set()
-    links = []
     for members in buckets.values():
-        if len(members) < 2:
-            continue
-        by_root: dict[int, list[int]] = {}
-        for i in members:
-            mine = find(i)
-            others = [r for r in by_root if r != mine]
-            for r in others:
-                if find(r) == find(i):
+        for y in range(1, len(members)):
+            i = members[y]
+            for j in members[:y]:
+                if label[i] == label[j] or (j, i) in failed or (across is not None and across[i] == across[j]):
                     continue
-                for j in by_root[r]:
-                    a, b = (j, i) if j < i else (i, j)
-                    lo, hi = (size[a], size[b]) if size[a] < size[b] else (size[b], size[a])
-                    if lo * 100 < hi * percent or (group is not None and group[a] == group[b]) or (a, b) in failed:
-                        continue
-                    common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    if common * 100 >= percent * (lo + hi - common):
-                        links.append((a, b))
-                        root[max(find(a), find(b))] = min(find(a), find(b))
-                        break
-                    failed.add((a, b))
-            now: dict[int, list[int]] = {}
-            if others:  # roots may have merged
-                for r, xs in by_root.items():
-                    now.setdefault(find(r), []).extend(xs)
-                by_root = now
-            by_root.setdefault(find(i), []).append(i)
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if common * 100 >= percent * (size[i] + size[j] - common):
+                    join(j, i)
+                else:
+                    failed.add((j, i))
     return links
 
 
