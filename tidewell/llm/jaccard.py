@@ -130,7 +130,7 @@ def linked(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id
     """(id, n_shingles, component_id) for every row; ids are integers."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    count = partitions_for(docs, 20)
+    count = partitions_for(docs, 6)
     parts = spread_keys(count)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +181,7 @@ def linked(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id
 
 def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) between sets that meet in the prefixes of their shared shingles, rarest first, as stars."""
-    count = partitions_for(sets, 16)
+    count = partitions_for(sets, 8)
     parts = spread_keys(count)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -92,7 +92,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int = 5) -> list[np.nd
     return out
 
 
-def slices(column: pa.ChunkedArray | pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.ChunkedArray | pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of rows of about ``most`` bytes (a longer text alone is a run): first row, last row, bytes, offsets. Null: empty."""
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
