@@ -102,7 +102,7 @@ def _tokens(grams: np.ndarray, parts: int) -> np.ndarray:
 
 def spans(docs: DataFrame, length: int = 400, keep_first: bool = False) -> tuple[DataFrame, DataFrame]:
     """From (doc_id, text, key = xxhash64(text)): classes (key, rep, copies) and the covered spans of each class's text (key, found array<binary of int64 pairs>)."""
-    count = partitions_for(docs, 20)
+    count = partitions_for(docs, 8)
     parts = spread_keys(count)
     classes = saved(docs.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "texts")
 
