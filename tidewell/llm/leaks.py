@@ -212,6 +212,7 @@ def _searched(docs: DataFrame, items: list, vocabulary: Vocabulary, project: np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, project, q, owner, items = shared.value
         use = project.any(1)
+        listed = [own.tolist() for _, own, _ in items]
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
             for i, _, buf, offsets in slices(batch.column(1), 1 << 20):
@@ -245,7 +246,8 @@ def _searched(docs: DataFrame, items: list, vocabulary: Vocabulary, project: np.
                             continue
                         until = z
                         near = text[a:z]
-                        if np.isin(near, own).sum() < rule.with_answer * n:
+                        there = set(near.tolist())
+                        if sum(w in there for w in listed[item]) < rule.with_answer * n:  # a bound of the common subsequence
                             continue
                         for b in range(0, max(1, len(near) - n), max(1, n // 2)):  # places of at most twice the item
                             part = near[b:b + 2 * n]
