@@ -283,6 +283,17 @@ def test_leaks(spark, docs, none):
     assert leaks.leaked(df, bench.limit(0)).count() == 0 and leaks.leaked(none, bench).count() == 0
 
 
+def test_leaks_whole_items_at_size(spark):
+    """Every document of sf0.1 (200 items) that holds an item's words as one run is found."""
+    d = "/root/testdata/sf0.1"
+    plain = lambda t: " ".join(re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").translate(LOWER)))
+    texts = {r["doc_id"]: f" {plain(r['text'])} " for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    items = {r["item_id"]: f" {plain(r['text'])} " for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    want = {(i, k) for i, t in texts.items() for k, w in items.items() if w in t}
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.op8_latent_leaks(spark, d).collect()}
+    assert len(want) > 100 and want <= got
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1040)]

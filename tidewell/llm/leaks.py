@@ -5,7 +5,10 @@ benchmark's vocabulary; words of over STOP of all passages are stop words (but a
 left). A randomised SVD of the TF-IDF matrix A takes a second pass: each task adds A'(A Omega) for its passages, and the sums
 give the leading right singular vectors (Nystroem form). In a third pass every passage is compared by cosine in the latent
 space with every benchmark item, and candidates are checked where they are found: the longest common subsequence of words and
-the share of the item's answer that the passage holds.
+the share of the item's answer, in places of at most twice the item's words.
+
+No cosine of a fixed rank is low enough for all that the check accepts, so the latent space never rules a pair out: places
+that hold as many of an item's rarest words as any accepted match must (Demand) are candidates at any cosine.
 
 The benchmark is the stated query set: its texts go to every task in blocks of at most BLOCK_ITEMS items, and its words
 (at most MOST_WORDS, else an error) span the matrix.
@@ -16,6 +19,7 @@ rows and ids give a row each; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -43,6 +47,10 @@ class Rule:
     with_answer: float = 0.6
     answer: float = 0.8
 
+    def least(self, n: int) -> int:
+        """Words that a match of an item of n words has in common with it at least."""
+        return n if n < SHORT else math.ceil(min(self.common, self.with_answer) * n - 1e-9)
+
 
 def plain_words(text: str | None) -> np.ndarray:
     b = np.frombuffer((text or "").encode(), np.uint8)
@@ -87,6 +95,41 @@ def added(rows: np.ndarray, to: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+class Demand:
+    """The rarest words of each item, and how many places of a match they fill at least: a match lacks at most n - least(n) of the item's n words."""
+
+    def __init__(self, items: list[np.ndarray], vocabulary: Vocabulary, df: np.ndarray, most: float, rule: Rule):
+        words, owners, least = [], [], []
+        for k, own in enumerate(items):
+            ids = vocabulary.ids(own)[1]
+            ids = ids[np.lexsort((ids, df[ids]))]
+            lacking = len(own) - rule.least(len(own))
+            size = min(len(own), max(lacking + LEAST_WORDS, int((df[ids] <= most).sum())))
+            words.append(np.unique(ids[:size]))
+            owners.append(np.full(len(words[-1]), k))
+            least.append(size - lacking)
+        word, owner = np.concatenate(words), np.concatenate(owners)
+        self.owner = owner[np.argsort(word, kind="stable")]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(vocabulary.words)))])
+        self.least, self.span = np.array(least), np.array([2 * len(own) for own in items])
+
+    def met(self, place: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents, items and first places of the spans of twice an item that hold enough of its rarest words."""
+        n = self.first[ids + 1] - self.first[ids]
+        some = np.flatnonzero(n)
+        n, size = n[some], max(1, int(at[-1]))
+        code = self.owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.first[ids[some]], n)] * size + np.repeat(place[some], n)
+        code.sort()
+        item = code // size
+        last = np.arange(len(code)) + self.least[item] - 1
+        x = np.flatnonzero(last < len(code))
+        x = x[(item[last[x]] == item[x]) & (code[last[x]] - code[x] < self.span[item[x]])]
+        begin = code[x] % size
+        doc = np.searchsorted(at, begin, "right") - 1
+        same = code[last[x]] % size < at[doc + 1]
+        return doc[same], item[x][same], begin[same]
+
+
 def passage_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
     """Half passages that hold each word, and their number."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -113,11 +156,11 @@ def passage_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray,
     return df, max(1, found.get(-1, 1))
 
 
-def latent(docs: DataFrame, vocabulary: Vocabulary, items: list[np.ndarray], rank: int = 128, more: int = 16, seed: int = 7) -> np.ndarray:
+def latent(docs: DataFrame, vocabulary: Vocabulary, items: list[np.ndarray], rank: int = 128, more: int = 16, seed: int = 7, counts: tuple[np.ndarray, int] | None = None) -> np.ndarray:
     """Projection (words x rank: idf times right singular vectors) of TF-IDF passages, by a randomised SVD."""
     spark = docs.sparkSession
     m = len(vocabulary.words)
-    df, passages = passage_counts(docs, vocabulary)
+    df, passages = counts or passage_counts(docs, vocabulary)
     use = df <= STOP * passages
     for words in items:
         ids = np.unique(vocabulary.ids(words)[1])
@@ -174,16 +217,52 @@ def latent(docs: DataFrame, vocabulary: Vocabulary, items: list[np.ndarray], ran
 
 def common_subsequence(item: np.ndarray, passage: np.ndarray) -> int:
     """Length of the longest common subsequence, bit-parallel over the item's words."""
+    return _common(_masks(item.tolist()), len(item), passage.tolist())
+
+
+def _masks(item: list[int]) -> dict[int, int]:
     masks: dict[int, int] = {}
-    for i, w in enumerate(item.tolist()):
+    for i, w in enumerate(item):
         masks[w] = masks.get(w, 0) | 1 << i
-    full = (1 << len(item)) - 1
+    return masks
+
+
+def _common(masks: dict[int, int], n: int, passage: list[int]) -> int:
+    full = (1 << n) - 1
     v = full
-    for w in passage.tolist():
+    for w in passage:
         if m := masks.get(w, 0):
             u = v & m
             v = (v + u | v - u) & full
-    return len(item) - v.bit_count()
+    return n - v.bit_count()
+
+
+def best_place(own: np.ndarray, answer: np.ndarray, near: np.ndarray, rule: Rule) -> tuple[bool, int, int]:
+    """Of all places of at most twice the item within near: whether the rule accepts it, and the words in common with the item and with the answer."""
+    n, least, best = len(own), rule.least(len(own)), (False, 0, 0)
+    there = set(near.tolist())
+    if sum(w in there for w in own.tolist()) < least:  # a bound of the common subsequence
+        return best
+    known = np.isin(near, own)
+    seen = np.concatenate([[0], np.cumsum(known)])
+    begin = np.flatnonzero(known)  # nothing is lost before a place's first word of the item
+    most = seen[np.minimum(begin + 2 * n, len(near))] - seen[begin]
+    order = np.argsort(-most, kind="stable")
+    masks, ends, listed = _masks(own.tolist()), _masks(answer.tolist()), near.tolist()
+    for b, bound in zip(begin[order].tolist(), most[order].tolist(), strict=True):
+        if bound < max(least, best[1]):
+            break
+        part = listed[b:b + 2 * n]
+        got = _common(masks, n, part)
+        if got < max(least, best[1] if best[0] else 0):
+            continue
+        answers = _common(ends, len(answer), part)
+        share = got / n
+        fits = share >= (1 if n < SHORT else rule.common) or (n >= SHORT and share >= rule.with_answer and answers / max(1, len(answer)) >= rule.answer)
+        best = max(best, (fits, got, answers))
+        if best == (True, n, len(answer)):
+            break
+    return best
 
 
 def leaked(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), rank: int = 128, answer_col: str | None = None) -> DataFrame:
@@ -196,67 +275,61 @@ def leaked(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), rank: int
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, cosine double, common_share double, answer_share double"
     if not items:
         return docs.sparkSession.createDataFrame([], kinds)
-    project = latent(docs, vocabulary, [x[1] for x in items], rank)
+    counts = passage_counts(docs, vocabulary)
+    project = latent(docs, vocabulary, [x[1] for x in items], rank, counts=counts)
     blocks = [items[i:i + BLOCK_ITEMS] for i in range(0, len(items), BLOCK_ITEMS)]
-    return reduce(DataFrame.unionByName, [_searched(docs, block, vocabulary, project, rule, kinds) for block in blocks])
+    return reduce(DataFrame.unionByName, [_searched(docs, block, vocabulary, project, Demand([x[1] for x in block], vocabulary, counts[0], STOP * counts[1], rule), rule, kinds) for block in blocks])
 
 
-def _searched(docs: DataFrame, items: list, vocabulary: Vocabulary, project: np.ndarray, rule: Rule, kinds: str) -> DataFrame:
+def _searched(docs: DataFrame, items: list, vocabulary: Vocabulary, project: np.ndarray, demand: Demand, rule: Rule, kinds: str) -> DataFrame:
     pieces = [(k, w[i:i + PIECE]) for k, (_, w, _) in enumerate(items) for i in range(0, len(w), PIECE)]
     q = np.stack([project[vocabulary.ids(w)[1]].sum(0) for _, w in pieces])
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
     owner = np.array([k for k, _ in pieces])
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, project, q.astype(np.float32), owner, items))  # bounded by MOST_WORDS and BLOCK_ITEMS
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, project, q.astype(np.float32), owner, items, demand))  # bounded by MOST_WORDS and BLOCK_ITEMS
     id_kind = pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, project, q, owner, items = shared.value
+        vocabulary, project, q, owner, items, demand = shared.value
         use = project.any(1)
-        listed = [own.tolist() for _, own, _ in items]
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
             for i, _, buf, offsets in slices(batch.column(1), 1 << 20):
                 words, at = word_hashes(buf, offsets, PLAIN)
                 first, _ = halves(at)
                 place, known = vocabulary.ids(words)
-                place, known = place[use[known]], known[use[known]]
                 if not len(place):
                     continue
+                regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                for d, item, g in zip(*(x.tolist() for x in demand.met(place, known, at)), strict=True):
+                    n = 2 * len(items[item][1])
+                    regions.setdefault((d, item), []).append((g - n + 1 - int(at[d]), g + n - int(at[d])))
+                place, known = place[use[known]], known[use[known]]
                 y = added(project[known], half_of(place, at, first), int(first[-1]) + 1)
                 p = y[:-1] + y[1:]
                 p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
-                best: dict[tuple[int, int], float] = {}
-                regions: dict[tuple[int, int], list[int]] = {}
                 for b in range(0, len(p), 8192):
                     c = p[b:b + 8192] @ q.T
                     x, k = np.nonzero(c >= rule.cosine)
                     doc = np.searchsorted(first, x + b, "right") - 1
-                    for w, d, item, cos in zip((x + b).tolist(), doc.tolist(), owner[k].tolist(), c[x, k].tolist(), strict=True):
+                    for w, d, item in zip((x + b).tolist(), doc.tolist(), owner[k].tolist(), strict=True):
                         if w + 1 < first[d + 1]:
-                            best[d, item] = max(best.get((d, item), 0.0), cos)
-                            regions.setdefault((d, item), []).append(w)
+                            n, h = len(items[item][1]), (w - int(first[d])) * HALF
+                            regions.setdefault((d, item), []).append((h - n, h + 2 * HALF + n))
                 for (d, item), found in regions.items():
                     _, own, answer = items[item]
                     text = words[at[d]:at[d + 1]]
-                    n, top, top_answer, until = len(own), 0, 0, -1
-                    for w in sorted(found):
-                        a = max(0, (w - int(first[d])) * HALF - n)
-                        z = min(len(text), (w - int(first[d]) + 2) * HALF + n)
-                        if z <= until:
-                            continue
-                        until = z
-                        near = text[a:z]
-                        there = set(near.tolist())
-                        if sum(w in there for w in listed[item]) < rule.with_answer * n:  # a bound of the common subsequence
-                            continue
-                        for b in range(0, max(1, len(near) - n), max(1, n // 2)):  # places of at most twice the item
-                            part = near[b:b + 2 * n]
-                            got = common_subsequence(own, part)
-                            if got > top:
-                                top, top_answer = got, common_subsequence(answer, part)
-                    share, answers = top / n, top_answer / max(1, len(answer))
-                    if share >= (1 if n < SHORT else rule.common) or (n >= SHORT and share >= rule.with_answer and answers >= rule.answer):
-                        out.append((ids[i + d], items[item][0], best[d, item], share, answers))
+                    best, joined = (False, 0, 0), []
+                    for a, z in sorted(found):
+                        if joined and a <= joined[-1][1]:
+                            joined[-1][1] = max(z, joined[-1][1])
+                        else:
+                            joined.append([a, z])
+                    for a, z in joined:
+                        best = max(best, best_place(own, answer, text[max(0, a):z], rule))
+                    if best[0]:
+                        cosine = float((p[first[d]:first[d + 1] - 1] @ q[owner == item].T).max())
+                        out.append((ids[i + d], items[item][0], cosine, best[1] / len(own), best[2] / max(1, len(answer))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (id_kind, id_kind, pa.float64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "item_id", "cosine", "common_share", "answer_share"])
 
