@@ -42,7 +42,7 @@ BLOCK_ITEMS, MOST_WORDS = 20_000, 1_000_000
 class Rule:
     """Least cosine of a candidate; least share of the item in common order; the lower share that does if the answer is there; least share of the answer."""
 
-    cosine: float = 0.55
+    cosine: float = 0.5
     common: float = 0.7
     with_answer: float = 0.6
     answer: float = 0.8
