@@ -42,9 +42,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    found = leaks.leaked(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(saved(found, "leaked"), "doc_id", "left_anti").select(docs.columns)
+    """Rows whose texts hold no item of the benchmark, with or without an id; rows are told apart by id and text."""
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = leaks.leaked(keyed.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
+    return keyed.join(saved(found, "leaked"), "_row", "left_anti").select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -382,3 +382,14 @@ def test_pipeline(spark):
     for _, stage in C.STAGES[:-1]:
         assert stage(spark, bad, d).count() in (0, 2)
         assert stage(spark, docs.limit(0), d).count() == 0
+
+
+def test_decontamination_without_ids(spark):
+    import corpus_pipeline as C
+
+    d = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{d}/benchmark.parquet").first()["text"]
+    clean = "nothing of the sort " * 20
+    rows = [(None, f"before {item} after"), (None, clean), (None, None), (1, f"before {item} after"), (1, clean), (2, clean)]
+    got = C.decontaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), d).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, [rows[1], rows[2], *rows[4:]]))
