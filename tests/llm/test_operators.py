@@ -78,6 +78,15 @@ def test_jaccard_cut_blocks(docs, monkeypatch):
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in jaccard.linked(docs).collect()) == want
 
 
+def test_jaccard_one_id_two_texts(spark):
+    rng = random.Random(2)
+    prose = lambda: [f"w{rng.randint(0, 9999)}" for _ in range(80)]
+    a, b = prose(), prose()
+    rows = [(5, a), (5, b), (5, []), (7, [*a, "end"]), (8, [*b, "end"]), (3, ["start", *b]), (9, prose())]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.linked(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    assert got == {(5, 76, 5), (5, 76, 3), (5, 0, 5), (7, 77, 5), (8, 77, 3), (3, 77, 3), (9, 76, 9)}
+
+
 @pytest.mark.parametrize(("length", "first"), [(400, False), (200, False), (200, True)])
 def test_substrings(docs, none, length, first):
     rows = ROWS if first else [*ROWS, ROWS[4], (None, "a null id's text " * 40, None, None, 0)]

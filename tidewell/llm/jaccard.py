@@ -2,14 +2,15 @@
 sets scan inverted lists, and the boundary between the two is chosen by estimated cost.
 
 At scale the join runs inside blocks that are proven to hold every linked pair:
-1. equal sets become one class (its smallest id stands for it);
+1. equal sets become one class, known by its digest (its smallest id stands for it in the result);
 2. a class can only link if enough of its shingles occur in another class; the rest leave after one message shuffle;
 3. the remaining classes' rarest shared shingles (the prefix that any linked pair must meet in) give candidate blocks;
 4. each block, cut into pairs of bounded sub-blocks where it is large, runs the size-aware join and returns a spanning
    forest of its links, never all pairs.
 
 Defined cases: null or wordless texts have no shingles and link with nothing; rows with a null id get a null component
-and link with nothing; repeated rows get a row each; other columns are ignored.
+and link with nothing; repeated rows get a row each; rows of one id with different texts link each by its own text; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -166,16 +167,18 @@ def linked(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [h.tobytes() for h in _sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 8 for x in found], pa.int64()), pa.array(found, pa.binary())], ["id", "n", "shingles"])
+            found = [h for h in _sets(batch.column(1), k) if len(h)]  # an id may have a wordless text too
+            yield pa.RecordBatch.from_arrays([pa.array([digest(h)[0] for h in found], pa.int64()), pa.array([len(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["id", "n", "shingles"])
 
     sets = saved(docs.join(left, docs["doc_id"] == left["rep"], "left_semi").mapInArrow(whole, "id long, n long, shingles binary"), "shingles")
     blocks = components(_candidates(sets, percent))
     edges = _block_links(sets, blocks, percent)
-    found = components(edges)
+    found = saved(components(edges).join(classes.select(F.col("a").alias("node"), "rep"), "node"), "linked")
+    smallest = found.groupBy("component").agg(F.min("rep").alias("least"))
+    named = found.join(smallest, "component").select("node", "least")
     with_class = rows.join(classes, ["n", "a", "b"], "left")
-    out = with_class.join(found, with_class["rep"] == found["node"], "left")
-    mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    out = with_class.join(named, F.when(with_class["rep"].isNotNull(), with_class["a"]) == named["node"], "left")
+    mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep", "doc_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
 
