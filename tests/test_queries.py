@@ -35,3 +35,8 @@ def test_twin(spark, duck, name):
 
 def test_every_twin_has_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_clickstream_rows_follow_the_events_table(spark, duck):
+    rows = sum(r["n"] for r in QUERIES["q_clickstream"](spark, DIR).collect())
+    assert rows == duck.execute("SELECT count(*) FROM events").fetchone()[0]

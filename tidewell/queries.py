@@ -132,7 +132,7 @@ def q_shard_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_clickstream(spark: SparkSession, d: str) -> DataFrame:
-    return generators.clickstream(spark, 10_000).groupBy("event_type", "device").agg(F.count(F.lit(1)).alias("n"), _sum("revenue").alias("revenue"))
+    return generators.clickstream(spark, _events(spark, d).count()).groupBy("event_type", "device").agg(F.count(F.lit(1)).alias("n"), _sum("revenue").alias("revenue"))
 
 
 def q_shops(spark: SparkSession, d: str) -> DataFrame:
