@@ -1,5 +1,6 @@
 """Local parts against plain Python, without Spark."""
 
+import os
 import random
 import re
 
@@ -72,14 +73,8 @@ def test_size_aware_pairs(monkeypatch, scan):
         assert components(len(sets), jaccard.size_aware_pairs(sets, 75, group)) == components(len(sets), want)
 
 
-def test_truncated_ranks_and_windows():
+def test_windows_meet_by_their_smallest_gram():
     rng = random.Random(3)
-    b = np.array([rng.choice(b"ab") for _ in range(300)], np.uint8)
-    for length in (8, 11, 30):
-        rank = substrings.truncated_ranks(b, length)
-        own = [bytes(b[i:i + length]) for i in range(len(rank))]
-        order = {s: n for n, s in enumerate(sorted(set(own)))}
-        assert [order[s] for s in own] == rank.tolist()
     text = np.array([rng.choice(b"abc") for _ in range(400)] * 2, np.uint8)
     grams, first, last = substrings.window_runs(text, 200)
     assert first[0] == 0 and last[-1] == len(text) - 200 and (first[1:] == last[:-1] + 1).all()
@@ -87,8 +82,34 @@ def test_truncated_ranks_and_windows():
     for g, a, z in zip(grams.tolist(), first.tolist(), last.tolist(), strict=True):
         for i in range(a, z + 1):
             assert of.setdefault(bytes(text[i:i + 200]), g) == g
-    earlier, other = substrings.with_earlier_match(np.array([1, 0, 1, 1, 2]), np.array([5, 1, 3, 9, 0]))
-    assert earlier.tolist() == [True, False, False, True, False] and other.tolist() == [True, False, True, True, False]
+
+
+@pytest.mark.parametrize(("least", "length"), [(64, 64), (64, 80), (70, 133), (64, 300)])
+def test_factors_equal_brute_force(least, length):
+    rng = random.Random(least + length)
+    for trial in range(5):
+        pool = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(30, 400))) for _ in range(3)]
+        texts = []
+        for _ in range(rng.randint(1, 7)):
+            a = rng.choice(pool)
+            cut = rng.randint(0, len(a))
+            texts.append(a[:cut] + bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 5))) + rng.choice(pool)[rng.randint(0, 20):])
+        texts = [t for t in texts if len(t) >= least] or [b"a" * (least + 9)]
+        rng.shuffle(texts)
+        buf = b"".join(t + b"\xff" * (length + 8) for t in texts)
+        base = np.cumsum([0] + [len(t) + length + 8 for t in texts])
+        where = [(k, p) for k, t in enumerate(texts) for p in range(len(t) - least + 1)]
+        order = list(range(len(where)))
+        rng.shuffle(order)  # of the starts, against what comes first
+        start = np.array([base[k] + p for k, p in where])
+        rest = np.array([min(length, len(texts[k]) - p) for k, p in where])
+        longest, previous = substrings.factors(np.frombuffer(buf, np.uint8), start, rest, np.array(order), least, length)
+        own = [texts[k][p:p + length] for k, p in where]
+        for i in range(0, len(where), max(1, len(where) // 40)):
+            both = [0 if j == i or x[:least] != own[i][:least] else len(os.path.commonprefix([own[i], x])) for j, x in enumerate(own)]
+            far = max(both)
+            before = max([n for j, n in enumerate(both) if order[j] < order[i]], default=0)
+            assert (longest[i], previous[i]) == (far if far >= least else 0, before if before >= least else 0)
 
 
 def test_spans_merge_and_keep_whole_characters():

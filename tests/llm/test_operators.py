@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -87,15 +88,15 @@ def test_jaccard_one_id_two_texts(spark):
     assert got == {(5, 76, 5), (5, 76, 3), (5, 0, 5), (7, 77, 5), (8, 77, 3), (3, 77, 3), (9, 76, 9)}
 
 
-@pytest.mark.parametrize(("length", "first"), [(400, False), (200, False), (200, True)])
-def test_substrings(docs, none, length, first):
+@pytest.mark.parametrize(("length", "first", "least"), [(400, False, 200), (400, True, 200), (200, False, 200), (200, True, 200)])
+def test_substrings(docs, none, length, first, least):
     rows = ROWS if first else [*ROWS, ROWS[4], (None, "a null id's text " * 40, None, None, 0)]
     at = defaultdict(list)
     for k, (i, t, *_) in enumerate(rows):
         b = (t or "").encode()
         for p in range(len(b) - length + 1):
             at[b[p:p + length]].append((i is None, i or 0, k, p))
-    want = Counter()
+    digests = []
     for k, (i, t, *_) in enumerate(rows):
         b = (t or "").encode()
         gone = bytearray(len(b))
@@ -105,9 +106,26 @@ def test_substrings(docs, none, length, first):
                 gone[p:p + length] = b"\1" * length
         runs = len(re.findall(b"\1+", gone))
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        want[(i, len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest())] += 1
+        digests.append((i, len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+    factor = {}  # by the starts that share their first bytes, the longest prefix that two of them share
+    heads = defaultdict(list)
+    for k, (i, t, *_) in enumerate(rows):
+        b = (t or "").encode()
+        for p in range(len(b) - least + 1):
+            heads[b[p:p + least]].append((i is None, i or 0, k, p, b[p:p + length]))
+    for own in heads.values():
+        own.sort()
+        for x, one in enumerate(own):
+            for before in own[:x]:
+                n = len(one[4]) if one[4] == before[4] else len(os.path.commonprefix([one[4], before[4]]))
+                if n <= factor.get((one[2], 1), 0) and n <= factor.get((before[2], 0), 0):
+                    continue
+                for k, which in ((one[2], 1), (one[2], 0), (before[2], 0)):
+                    factor[k, which] = max(factor.get((k, which), 0), n)
+    want = Counter((*x, factor.get((k, 0), 0), factor.get((k, 1), 0) if first else None) for k, x in enumerate(digests))
     chosen = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if first else docs
-    got = Counter(tuple(r) for r in substrings.removed(chosen, length, first).collect())
+    out = substrings.removed(chosen, length, first, least=least)
+    got = Counter((*tuple(r)[:-1], r["longest_previous"] if first else None) for r in out.collect())  # of equal rows none is first
     assert got == want and sum(x[2] > 0 for x in want) >= 5
     assert substrings.removed(none, length).count() == 0
 
