@@ -93,6 +93,18 @@ def test_chunks(text):
     assert "".join(c for _, c in large) == text and all(len(c.encode()) <= 2048 for _, c in large) and all(text[o:o + len(c)] == c for o, c in large)
 
 
+def test_cut_rules():
+    assert S.cut_small("ab cd\nef", 4) == ["ab ", "cd\n", "ef"] and S.cut_small("abcdef", 4) == ["abcd", "ef"] and S.cut_small(" abcdef", 4) == [" abc", "def"]
+    assert S.cut_large("a bcdefgh", 6) == [(0, "a bcde"), (6, "fgh")] and S.cut_large("abcd\tefgh", 6) == [(0, "abcd\t"), (5, "efgh")]
+    assert S.cut_small("ééé é", 5) == ["éé", "é é"] and S.cut_small("😀😀", 3) == ["😀", "😀"]
+
+
+def test_refound(spark):
+    df = spark.createDataFrame([("Ann met Bob", [(0, 3, "Ann"), (0, 3, "Bob"), (1, 4, "Eve")])], "text string, s array<struct<start:int,end:int,value:string>>")
+    got = df.select(F.transform("s", lambda x: S.refound(F.col("text"), x)).alias("r")).first()["r"]
+    assert [x and (x["start"], x["end"]) for x in got] == [(0, 3), (8, 11), None]
+
+
 def test_chunk_columns_and_rebase(spark):
     df = spark.createDataFrame([("é word " * 800,)], "text string")
     r = df.select(S.large_chunks("text").alias("c"), S.small_chunks("text").alias("s")).first()

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import detect, evidence, policy, redact
+from tidewell.operators import detect, evidence, policy, policy_checks, redact
 from tidewell.queries import POLICY, RUNTIME
 
 TEXT = "Customer jane.doe@example.com (phone +1 415-555-0134) says her refund is late. Jane's backup email is jane.doe@example.com."
@@ -55,7 +55,7 @@ def test_exception_ends(run):
 
 def test_generated_tests_hold(spark, run):
     p = run[0]
-    cases = policy.generated_tests(p)
+    cases = policy_checks.cases(p)
     assert len(cases) == 8
     df = spark.createDataFrame([(i, c["request"]["app_id"], c["request"]["app_approved_for"], c["request"]["destination_hosting"], c["request"]["destination_provider"]) for i, c in enumerate(cases)], "request_id int, app_id string, app_approved_for array<string>, destination_hosting string, destination_provider string")
     f = spark.createDataFrame([(i, "f1", c["type"]) for i, c in enumerate(cases)], "request_id int, id string, type string")
@@ -94,6 +94,37 @@ def test_unknown_key_is_rejected(spark):
     assert got == {"gw-1": None, "gw-x": 401}
 
 
+def test_all_outcomes_have_one_status(spark):
+    rows = [(1, "gw-1", None, None, None), (2, "gw-x", None, None, None), (3, "gw-1", 400, None, None), (4, "gw-x", 400, None, None), (5, "gw-1", None, "Timeout", None), (6, "gw-1", None, None, "refused"), (7, "gw-1", None, None, "refused")]
+    keys = spark.createDataFrame([("gw-1", "sales-copilot")], "key string, app_id string")
+    df = policy.with_app(spark.createDataFrame(rows, "request_id int, key string, status int, error string, upstream_error string"), keys)
+    made = spark.createDataFrame([(7, "POL-DEMO-001", "1.2", "block", "enforce", ["f1"]), (3, "POL-DEMO-001", "1.2", "block", "enforce", ["f1"])], "request_id int, policy_id string, statement string, action string, mode string, finding_ids array<string>")
+    out = policy.enforced(df, made)
+    assert out.columns.count("status") == 1
+    got = {r["request_id"]: (r["status"], r["action"], json.loads(r["error_body"])["error"] if r["error_body"] else None) for r in out.collect()}
+    error = lambda m, **x: {"message": m, "type": "policy_violation", **x}
+    assert got == {
+        1: (200, "pass", None), 2: (401, "reject", error("unknown gateway key")), 3: (400, "reject", error("invalid JSON")), 4: (401, "reject", error("unknown gateway key")),
+        5: (503, "unchecked", error("pii detection unavailable")), 6: (502, "failed", error("upstream unavailable")), 7: (403, "block", error("request blocked by POL-DEMO-001 statement 1.2", statement="1.2")),
+    }
+
+
+def test_every_rule_can_be_broken(spark):
+    raw = """policy_id: pol-1
+approvers: []
+statements:
+  - {id: "1.x", enforced_by: nobody}
+  - {id: "2", enforced_by: gateway, action: burn, on_check_failure: maybe, detect: []}
+  - {id: "2", enforced_by: workflow, action: anything}
+  - {id: "3", enforced_by: gateway, action: block, on_check_failure: open, detect: [pii.passport, pii.email], applies_when: [{field: app.colour, equals: x}, {field: app.id, contains: x}], unless: [{field: app.approved_for, equals: x}]}
+"""
+    found = policy_checks.violations(spark, [policy.parse_policy(raw)]).collect()
+    got = sorted((r["statement"] or "", r["part"]) for r in found)
+    assert got == sorted([("", "policy")] * 3 + [("1.x", "statement")] * 2 + [("2", "statement")] * 5 + [("3", "detector"), ("3", "condition"), ("3", "condition"), ("3", "exemption")])
+    said = " ".join(r["message"] for r in found)
+    assert "pii.passport" in said and "pii.bank_account" in said and "app.colour" in said
+
+
 def test_hash_chain(spark):
     df = spark.createDataFrame([("a", i, f"p{i}") for i in range(5)] + [("b", 0, None)], "chain string, n int, payload string")
     rows = sorted(evidence.hash_chained(df, "chain", "n", "payload").collect(), key=lambda r: (r["chain"], r["n"]))

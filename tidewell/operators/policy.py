@@ -5,25 +5,16 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
-import re
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import mapped
+from ..functions.spans import barrier
 from .detect import SOURCES
-
-# What a policy may name. Fields: whether they hold lists.
-ACTIONS = ("block", "redact")
-FIELDS = {
-    "destination.hosting": False,
-    "destination.provider": False,
-    "app.id": False,
-    "app.risk_tier": False,
-    "app.approved_for": True,
-}
-
+from .policy_checks import FIELDS, unmet, violations
 
 @dataclass(frozen=True)
 class Condition:
@@ -111,75 +102,17 @@ def parse_runtime(raw: bytes | str) -> Runtime:
     return Runtime(tuple({k: str(x[k]) for k in ("policy_id", "statement", "app", "expires")} for x in doc.get("exceptions") or []), modes)
 
 
-def problems(p: Policy) -> list[str]:
-    """All that is wrong with a policy, not only the first."""
-    out, seen = [], set()
-    if not re.fullmatch(r"POL-[A-Z]+-[0-9]{3}", p.policy_id):
-        out.append(f"{p.policy_id!r} is no policy id such as POL-AI-003")
-    if not p.version or not p.approvers:
-        out.append("a version and approvers are needed")
-    for s in p.statements:
-        at = f"statement {s.id}"
-        if s.id in seen or not re.fullmatch(r"[0-9]+(\.[0-9]+)*", s.id):
-            out.append(f"{at}: ids are numbers such as 3.1, each used once")
-        seen.add(s.id)
-        if s.enforced_by in ("workflow", "attestation"):
-            continue
-        if s.enforced_by != "gateway":
-            out.append(f"{at}: enforced_by is gateway, workflow or attestation")
-            continue
-        if s.action not in ACTIONS:
-            out.append(f"{at}: {s.action!r} is no action")
-        if s.on_check_failure not in ("open", "closed"):
-            out.append(f"{at}: on_check_failure is open or closed")
-        if not s.detect:
-            out.append(f"{at}: it detects nothing")
-        out += [f"{at}: {d!r} is no detector; known are {', '.join(sorted(SOURCES))}" for d in s.detect if d not in SOURCES]
-        for c in (*s.applies_when, *s.unless):
-            if c.field not in FIELDS:
-                out.append(f"{at}: {c.field!r} is no field")
-            elif FIELDS[c.field] and (not c.contains or c.equals):
-                out.append(f"{at}: {c.field} holds a list and takes contains")
-            elif not FIELDS[c.field] and (not c.equals or c.contains):
-                out.append(f"{at}: {c.field} holds one value and takes equals")
-    return out
-
-
-def approval_problems(p: Policy, approval: dict[str, Any]) -> list[str]:
-    out = []
-    if (approval.get("policy_id"), approval.get("version")) != (p.policy_id, p.version):
-        out.append("the approval is for another policy or version")
-    if approval.get("content_sha256") != p.sha256:
-        out.append("the policy changed after it was approved")
-    missing = sorted(set(p.approvers) - {a["role"] for a in approval.get("approvals") or []})
-    return out + ([f"not signed by {', '.join(missing)}"] if missing else [])
-
-
 def compiled(raw: bytes | str, approval: dict[str, Any] | None = None) -> Policy:
-    """The policy if it is valid and, where an approval is given, approved; else PolicyError with all problems."""
+    """The policy if it is valid and, where an approval is given, approved; else PolicyError with all that is wrong."""
     p = parse_policy(raw)
-    found = problems(p) + (approval_problems(p, approval) if approval is not None else [])
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    found = [" ".join(x for x in (r["policy_id"], r["statement"], r["part"], r["message"]) if x) for r in violations(spark, [p]).collect()]
+    found += unmet(p, approval) if approval is not None else []
     if found:
         raise PolicyError(found)
     return p
 
 
-def generated_tests(p: Policy) -> list[dict[str, Any]]:
-    """For each gateway statement: it fires on each type, ignores other data, and is skipped under each exemption."""
-    out = []
-    for s in p.gateway:
-        name = f"s{s.id.replace('.', '_')}"
-        request: dict[str, Any] = {"app_id": "test-app", "app_approved_for": [], "destination_provider": "test", "destination_hosting": "self-hosted"}
-        for c in s.applies_when:
-            request[c.field.replace(".", "_")] = [c.contains] if FIELDS[c.field] else c.equals
-        out += [{"name": f"{name}_fires_on_{t.replace('.', '_')}", "statement": s.id, "type": t, "request": request, "action": s.action} for t in s.detect]
-        out.append({"name": f"{name}_ignores_other_data", "statement": s.id, "type": "other.type", "request": request, "action": None})
-        for i, c in enumerate(s.unless, 1):
-            value = [c.contains] if FIELDS[c.field] else c.equals
-            out.append({"name": f"{name}_skipped_when_unless_{i}", "statement": s.id, "type": s.detect[0], "request": {**request, c.field.replace(".", "_"): value}, "action": None})
-    return out
-
-
 def signed_bundle(p: Policy, runtime: Runtime, key: bytes) -> bytes:
     body = json.dumps({"policy": p.package, "revision": p.revision, "sha256": p.sha256, "needs_pii_service": any(s.needs_service for s in p.gateway), "statements": [{"id": s.id, "action": s.action, "detect": s.detect, "on_check_failure": s.on_check_failure, "needs_pii_service": s.needs_service} for s in p.gateway], "exceptions": runtime.exceptions, "rollout": [[*k, v] for k, v in sorted(runtime.rollout.items())]}, sort_keys=True)
     return json.dumps({"body": body, "alg": "HS256", "signature": hmac.new(key, body.encode(), hashlib.sha256).hexdigest()}).encode()
@@ -207,9 +140,10 @@ def complete(requests: DataFrame) -> DataFrame:
 
 
 def with_app(requests: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
-    """Looks up the caller by key; an unknown key rejects the row with status 401."""
+    """Looks up the caller by key; an unknown key rejects the row with status 401. A status that the row has already stays, save that 401 comes first."""
     out = requests.join(F.broadcast(keys.withColumn("_known", F.lit(True))), key, "left")  # keys are configuration, a row per application
-    return out.withColumn("status", F.when(F.col("_known").isNull(), 401)).drop("_known")
+    before = F.col("status") if "status" in requests.columns else F.lit(None).cast("int")
+    return out.withColumn("status", F.when(F.col("_known").isNull(), 401).otherwise(before)).drop("_known")
 
 
 def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -242,20 +176,37 @@ def decisions(requests: DataFrame, findings: DataFrame, policies: list[Policy],
     return by.agg(F.array_sort(F.collect_set("id")).alias("finding_ids"), F.array_sort(F.collect_list("type")).alias("finding_types"))
 
 
+# What each outcome's error body says; {} is the statement that blocked, with its policy.
+MESSAGES = {
+    400: "invalid JSON",
+    401: "unknown gateway key",
+    403: "request blocked by {}",
+    502: "upstream unavailable",
+    503: "pii detection unavailable",
+}
+OUTCOMES = {400: "reject", 401: "reject", 403: "block", 502: "failed", 503: "unchecked"}
+
+
 def enforced(requests: DataFrame, made: DataFrame) -> DataFrame:
-    """Adds status (403 blocked, 503 unchecked, else 200), action, the statement that blocked, and the finding ids to redact: monitored decisions change nothing, any enforced block wins, the ids of all enforced redactions are applied at once."""
+    """Each request with its one ``status``: what it came with (400, 401), else 503 if its check has an ``error``, 403 if an enforced decision blocks, 502 if ``upstream_error`` says that sending it on failed, 200. With ``action``, the statement that blocked, the finding ids to redact and the error body. Monitored decisions change nothing, any enforced block wins, the ids of all enforced redactions are applied at once."""
     live = F.col("mode") == "enforce"
     per = made.groupBy("request_id").agg(
-        F.min(F.when(live & (F.col("action") == "block"), F.col("statement"))).alias("_blocked_by"),
+        F.min(F.when(live & (F.col("action") == "block"), F.struct("statement", "policy_id"))).alias("_block"),
         F.array_distinct(F.flatten(F.collect_list(F.when(live & (F.col("action") == "redact"), F.col("finding_ids"))))).alias("_ids"),
         F.max(~live).alias("_monitored"),
     )
     out = requests.join(per, "request_id", "left")
-    failed = F.col("error").isNotNull() if "error" in requests.columns else F.lit(False)
-    status = F.when(failed, 503).when(F.col("_blocked_by").isNotNull(), 403).otherwise(200)
-    action = F.when(status == 503, "unchecked").when(status == 403, "block").when(F.size(F.coalesce("_ids", F.array())) > 0, "redact").when(F.col("_monitored"), "monitor").otherwise("pass")
-    body = F.when(status != 200, F.to_json(F.struct(F.struct(F.when(status == 403, "blocked by policy").otherwise("check failed").alias("message"), F.lit("policy_violation").alias("type"), F.col("_blocked_by").alias("statement")).alias("error"))))
-    return out.select(*requests.columns, status.alias("status"), action.alias("action"), F.col("_blocked_by").alias("blocked_by"), F.when(action == "redact", F.col("_ids")).otherwise(F.array().cast("array<string>")).alias("redact_ids"), body.alias("error_body"))
+    out = out.withColumnRenamed("status", "_came")
+    has = lambda c: F.col("_came" if c == "status" else c) if c in requests.columns else F.lit(None)
+    status = F.coalesce(has("status").cast("int"), F.when(has("error").isNotNull(), 503).when(F.col("_block").isNotNull(), 403).when(has("upstream_error").isNotNull(), 502).otherwise(200))
+    out = barrier(out, status=status)
+    s = F.col("status")
+    passed = F.when(F.size(F.coalesce("_ids", F.array())) > 0, "redact").when(F.col("_monitored"), "monitor").otherwise("pass")
+    action = F.coalesce(mapped(OUTCOMES, s), passed)
+    blocked = F.when(s == 403, F.col("_block.statement"))
+    message = F.replace(mapped(MESSAGES, s), F.lit("{}"), F.coalesce(F.concat_ws(" statement ", "_block.policy_id", "_block.statement"), F.lit("")))
+    body = F.when(s != 200, F.to_json(F.struct(F.struct(message.alias("message"), F.lit("policy_violation").alias("type"), blocked.alias("statement")).alias("error"))))
+    return out.select(*[c for c in requests.columns if c != "status"], "status", action.alias("action"), blocked.alias("blocked_by"), F.when((s == 200) & (action == "redact"), F.col("_ids")).otherwise(F.array().cast("array<string>")).alias("redact_ids"), body.alias("error_body"))
 
 
 def audit(made: DataFrame, requests: DataFrame, revision: str) -> DataFrame:

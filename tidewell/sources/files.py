@@ -88,21 +88,16 @@ def chat_requests(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def rewritten(raw, messages):
-    """The request's JSON with each message's content replaced (array<string>); other fields of messages and request stay."""
+    """The request's JSON with each message's content replaced (array<string>; null keeps it); all other fields of messages and request stay what they are, strings, numbers, booleans, nulls and nested values alike. Null for what is no JSON object."""
     from pyspark.sql import functions as F
 
-    whole = F.from_json(raw, "map<string,string>")
-    parts = F.from_json(F.get_json_object(raw, "$.messages"), "array<map<string,string>>")
-    plain = lambda k, v: F.concat(F.to_json(F.struct(v.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(v.alias("v")))) - 6))
-    is_json = lambda v: v.rlike(r"^\s*[\[{]") | v.rlike(r"^(?:-?[0-9.eE+-]+|true|false)$")
-
-    def obj(m):
-        return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.when(is_json(e["value"]), e["value"]).otherwise(plain(e["key"], e["value"])))), ","), F.lit("}"))
+    raw, messages = (F.col(c) if isinstance(c, str) else c for c in (raw, messages))
+    whole = F.from_json(raw, "map<string,variant>")
+    parts = F.from_json(raw, "struct<messages:array<map<string,variant>>>")["messages"]
 
     def message(m, i):
         content = F.get(messages, i)
-        body = F.transform(F.map_entries(m), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.when(e["key"] == "content", plain(e["key"], F.coalesce(content, e["value"]))).when(is_json(e["value"]), e["value"]).otherwise(plain(e["key"], e["value"]))))
-        return F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}"))
+        return F.transform_values(m, lambda k, v: F.when((k == "content") & content.isNotNull(), content.cast("variant")).otherwise(v))
 
-    new = F.concat(F.lit("["), F.array_join(F.transform(parts, message), ","), F.lit("]"))
-    return obj(F.map_concat(F.map_filter(whole, lambda k, v: k != "messages"), F.create_map(F.lit("messages"), new)))
+    new = F.to_variant_object(F.transform(parts, message))
+    return F.to_json(F.transform_values(whole, lambda k, v: F.when((k == "messages") & parts.isNotNull(), new).otherwise(v)))
