@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one is set only where the session names none."""
+    """The shared folder of ``spark.checkpoint.dir``. A local master without one gets a folder of its own; a cluster without one is refused, as its machines don't see each other's folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "/tmp/checkpoints"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -60,8 +64,8 @@ def input_bytes(df: DataFrame) -> int:
 def partitions_for(df: DataFrame, mb_each: int = 20, least: int = 12, most: int = 100_000) -> int:
     """So many partitions that each holds about ``mb_each`` MB of the input."""
     size = input_bytes(df)
-    if size >= 1 << 55:  # the planner doesn't know
-        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if size >= 1 << 55:  # the planner doesn't know: as many as the plan has now, or the session deals
+        return max(least, min(most, df.rdd.getNumPartitions()), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return max(least, min(most, math.ceil(size / (mb_each << 20))))
 
 

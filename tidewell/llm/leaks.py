@@ -10,11 +10,11 @@ the share of the item's answer, in places of at most twice the item's words.
 No cosine of a fixed rank is low enough for all that the check accepts, so the latent space never rules a pair out: places
 that hold as many of an item's rarest words as any accepted match must (Demand) are candidates at any cosine.
 
-The benchmark is the stated query set: its texts go to every task in blocks of at most BLOCK_ITEMS items, and its words
-(at most MOST_WORDS, else an error) span the matrix.
+The benchmark is the stated query set: its texts go to every task in blocks of at most BLOCK_ITEMS items, and its words span
+the matrix. A benchmark of over MOST_WORDS distinct words is searched in several turns, each with a matrix of its own.
 
 Defined cases: null or wordless texts and items match nothing; items of under SHORT words match only when whole; repeated
-rows and ids give a row each; other columns are ignored.
+rows and ids give a row each; ids are of any type, null ones included; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import table
 from .words import PLAIN, slices, word_hashes
@@ -40,12 +42,14 @@ BLOCK_ITEMS, MOST_WORDS = 20_000, 1_000_000
 
 @dataclass(frozen=True)
 class Rule:
-    """Least cosine of a candidate; least share of the item in common order; the lower share that does if the answer is there; least share of the answer."""
+    """Least cosine of a candidate; least share of the item in common order; the lower share that does if the answer is there; least share of the answer; share of the passages from which on a word is a stop word of the retrieval (1: none is); words of a place, in times the item's."""
 
     cosine: float = 0.5
     common: float = 0.7
     with_answer: float = 0.6
     answer: float = 0.8
+    stop: float = STOP
+    span: int = 2
 
     def least(self, n: int) -> int:
         """Words that a match of an item of n words has in common with it at least."""
@@ -111,7 +115,7 @@ class Demand:
         word, owner = np.concatenate(words), np.concatenate(owners)
         self.owner = owner[np.argsort(word, kind="stable")]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(vocabulary.words)))])
-        self.least, self.span = np.array(least), np.array([2 * len(own) for own in items])
+        self.least, self.span = np.array(least), np.array([rule.span * len(own) for own in items])
 
     def met(self, place: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Documents, items and first places of the spans of twice an item that hold enough of its rarest words."""
@@ -156,12 +160,12 @@ def passage_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray,
     return df, max(1, found.get(-1, 1))
 
 
-def latent(docs: DataFrame, vocabulary: Vocabulary, items: list[np.ndarray], rank: int = 128, more: int = 16, seed: int = 7, counts: tuple[np.ndarray, int] | None = None) -> np.ndarray:
+def latent(docs: DataFrame, vocabulary: Vocabulary, items: list[np.ndarray], rank: int = 128, more: int = 16, seed: int = 7, counts: tuple[np.ndarray, int] | None = None, stop: float = STOP) -> np.ndarray:
     """Projection (words x rank: idf times right singular vectors) of TF-IDF passages, by a randomised SVD."""
     spark = docs.sparkSession
     m = len(vocabulary.words)
     df, passages = counts or passage_counts(docs, vocabulary)
-    use = df <= STOP * passages
+    use = df <= stop * passages
     for words in items:
         ids = np.unique(vocabulary.ids(words)[1])
         if use[ids].sum() < LEAST_WORDS:
@@ -238,7 +242,7 @@ def _common(masks: dict[int, int], n: int, passage: list[int]) -> int:
 
 
 def best_place(own: np.ndarray, answer: np.ndarray, near: np.ndarray, rule: Rule) -> tuple[bool, int, int]:
-    """Of all places of at most twice the item within near: whether the rule accepts it, and the words in common with the item and with the answer."""
+    """Of all places of at most ``span`` times the item within near: whether the rule accepts it, and the words in common with the item and with the answer."""
     n, least, best = len(own), rule.least(len(own)), (False, 0, 0)
     there = set(near.tolist())
     if sum(w in there for w in own.tolist()) < least:  # a bound of the common subsequence
@@ -246,13 +250,13 @@ def best_place(own: np.ndarray, answer: np.ndarray, near: np.ndarray, rule: Rule
     known = np.isin(near, own)
     seen = np.concatenate([[0], np.cumsum(known)])
     begin = np.flatnonzero(known)  # nothing is lost before a place's first word of the item
-    most = seen[np.minimum(begin + 2 * n, len(near))] - seen[begin]
+    most = seen[np.minimum(begin + rule.span * n, len(near))] - seen[begin]
     order = np.argsort(-most, kind="stable")
     masks, ends, listed = _masks(own.tolist()), _masks(answer.tolist()), near.tolist()
     for b, bound in zip(begin[order].tolist(), most[order].tolist(), strict=True):
         if bound < max(least, best[1]):
             break
-        part = listed[b:b + 2 * n]
+        part = listed[b:b + rule.span * n]
         got = _common(masks, n, part)
         if got < max(least, best[1] if best[0] else 0):
             continue
@@ -269,25 +273,40 @@ def leaked(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), rank: int
     """(doc_id, item_id, cosine, common_share, answer_share): pairs in which the document holds the item. Without an answer column the item's last six words stand for its answer."""
     items = [(r[0], plain_words(r[1]), plain_words(r[2]) if answer_col else plain_words(r[1])[-6:]) for r in benchmark.select("item_id", "text", *([answer_col] if answer_col else [])).toLocalIterator()]
     items = [x for x in items if len(x[1])]
-    vocabulary = Vocabulary(np.concatenate([x[1] for x in items]) if items else np.zeros(0, U64))
-    if len(vocabulary.words) > MOST_WORDS:
-        raise ValueError(f"the benchmark has over {MOST_WORDS} distinct words; split it")
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, cosine double, common_share double, answer_share double"
-    if not items:
-        return docs.sparkSession.createDataFrame([], kinds)
+    kinds = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("item_id", benchmark.schema["item_id"].dataType), *(StructField(c, DoubleType()) for c in ("cosine", "common_share", "answer_share"))])
+    found = [_leaked(docs, turn, rule, rank, kinds) for turn in _turns(items)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], kinds)
+
+
+def _turns(items: list) -> list[list]:
+    """Runs of items of at most MOST_WORDS distinct words (an item alone may have more)."""
+    out: list[list] = []
+    seen: set[int] = set()
+    for x in items:
+        own = set(x[1].tolist())
+        if not out or len(seen | own) > MOST_WORDS:
+            out.append([])
+            seen = set()
+        out[-1].append(x)
+        seen |= own
+    return out
+
+
+def _leaked(docs: DataFrame, items: list, rule: Rule, rank: int, kinds: StructType) -> DataFrame:
+    vocabulary = Vocabulary(np.concatenate([x[1] for x in items]))
     counts = passage_counts(docs, vocabulary)
-    project = latent(docs, vocabulary, [x[1] for x in items], rank, counts=counts)
+    project = latent(docs, vocabulary, [x[1] for x in items], rank, counts=counts, stop=rule.stop)
     blocks = [items[i:i + BLOCK_ITEMS] for i in range(0, len(items), BLOCK_ITEMS)]
-    return reduce(DataFrame.unionByName, [_searched(docs, block, vocabulary, project, Demand([x[1] for x in block], vocabulary, counts[0], STOP * counts[1], rule), rule, kinds) for block in blocks])
+    return reduce(DataFrame.unionByName, [_searched(docs, block, vocabulary, project, Demand([x[1] for x in block], vocabulary, counts[0], rule.stop * counts[1], rule), rule, kinds) for block in blocks])
 
 
-def _searched(docs: DataFrame, items: list, vocabulary: Vocabulary, project: np.ndarray, demand: Demand, rule: Rule, kinds: str) -> DataFrame:
+def _searched(docs: DataFrame, items: list, vocabulary: Vocabulary, project: np.ndarray, demand: Demand, rule: Rule, kinds: StructType) -> DataFrame:
     pieces = [(k, w[i:i + PIECE]) for k, (_, w, _) in enumerate(items) for i in range(0, len(w), PIECE)]
     q = np.stack([project[vocabulary.ids(w)[1]].sum(0) for _, w in pieces])
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
     owner = np.array([k for k, _ in pieces])
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, project, q.astype(np.float32), owner, items, demand))  # bounded by MOST_WORDS and BLOCK_ITEMS
-    id_kind = pa.int64()
+    arrow = [to_arrow_type(f.dataType) for f in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, project, q, owner, items, demand = shared.value
@@ -302,7 +321,7 @@ def _searched(docs: DataFrame, items: list, vocabulary: Vocabulary, project: np.
                     continue
                 regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
                 for d, item, g in zip(*(x.tolist() for x in demand.met(place, known, at)), strict=True):
-                    n = 2 * len(items[item][1])
+                    n = rule.span * len(items[item][1])
                     regions.setdefault((d, item), []).append((g - n + 1 - int(at[d]), g + n - int(at[d])))
                 place, known = place[use[known]], known[use[known]]
                 y = added(project[known], half_of(place, at, first), int(first[-1]) + 1)
@@ -331,7 +350,7 @@ def _searched(docs: DataFrame, items: list, vocabulary: Vocabulary, project: np.
                         cosine = float((p[first[d]:first[d + 1] - 1] @ q[owner == item].T).max())
                         out.append((ids[i + d], items[item][0], cosine, best[1] / len(own), best[2] / max(1, len(answer))))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (id_kind, id_kind, pa.float64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "item_id", "cosine", "common_share", "answer_share"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), arrow, strict=True)], ["doc_id", "item_id", "cosine", "common_share", "answer_share"])
 
     return docs.select("doc_id", "text").mapInArrow(run, kinds)
 

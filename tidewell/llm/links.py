@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import forget, saved
 from .messages import local_components
 
+HUB_SHARE = 1000
+
 
 def contracted(edges: DataFrame) -> DataFrame:
     """A forest for each task's edges: rows (u, v) with v the smallest node of u's component there."""
@@ -35,20 +37,26 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``edges`` (two long columns) with at least one other node: component is the smallest node reachable."""
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """Edges (u, v) with m of least (u, m, n). Hubs, nodes of over one in HUB_SHARE edges and so fewer than that, are met by broadcast: a star of any size stays in the tasks that it lies in."""
+    hubs = F.broadcast(least.where(F.col("n") > max(total // HUB_SHARE, 1)).select("u", "m"))
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(rest)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of ``edges`` (two long columns) with at least one other node: component is the smallest node reachable. Each round at least lowers one node's label, and the rounds are of the order of log(n)**2 in all, so they end without a limit."""
     now, before = saved(contracted(edges), "edges"), None
-    for _ in range(most_rounds):
+    while True:
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if mark["n"] == 0 or tuple(mark) == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = tuple(mark)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both, least, 2 * mark["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = saved(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, least, mark["n"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now, old = saved(small.distinct(), "edges"), now
         forget(old, large)
-    raise RuntimeError("components did not settle")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, spread_keys, table
+from .common import saved, table
 from .links import components
 from .messages import local_components
 
@@ -165,14 +165,21 @@ def linked(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec
         own["n"] += r["n"]
         own["lo"] = np.minimum(own["lo"], [r[f"lo{i}"] for i in range(lead)])
         own["hi"] = np.maximum(own["hi"], [r[f"hi{i}"] for i in range(lead)])
-    lo, hi = np.array([b["lo"] for b in bounds]), np.array([b["hi"] for b in bounds])
-    pairs = []
-    for i in range(len(bounds)):
-        gap = np.maximum(0, np.maximum(lo[i:] - hi[i], lo[i] - hi[i:]))
-        pairs += [(i, i + int(j)) for j in np.flatnonzero((gap * gap).sum(1) <= cell * cell + 1e-9)]
-    parts = spread_keys(min(len(pairs), 4096))
-    work = [(g, k, parts[k % len(parts)], side) for k, pair in enumerate(pairs) for side, i in enumerate(pair) if side == 0 or pair[0] != pair[1] for g in bounds[i]["g"]]
-    dealt = ordered.select("g", "raw", "rep", "copies", "cells", F.col("p")[0].alias("p0")).join(spark.createDataFrame(work, "g int, k int, part int, side int"), "g")
+    boxes = spark.sparkContext.broadcast((np.array([b["lo"] for b in bounds]), np.array([b["hi"] for b in bounds])))  # a box for GROUP vectors
+    group_of = spark.createDataFrame([(g, i) for i, b in enumerate(bounds) for g in b["g"]], "g int, i int")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lo, hi = boxes.value
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                gap = np.maximum(0, np.maximum(lo[i:] - hi[i], lo[i] - hi[i:]))
+                j = i + np.flatnonzero((gap * gap).sum(1) <= cell * cell + 1e-9)
+                k = i * len(lo) + j
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(j), i), j[1:]]), pa.int32()), pa.array(np.concatenate([k, k[1:]]), pa.int64()), pa.array(np.repeat([0, 1], [len(j), len(j) - 1]), pa.int32())], ["i", "k", "side"])
+
+    work = saved(spark.range(len(bounds)).withColumnRenamed("id", "i").mapInArrow(near, "i int, k long, side int"), "work")  # pairs of groups that may link
+    n_parts = max(1, min(work.where("side = 0").count(), 20_000))
+    dealt = ordered.select("g", "raw", "rep", "copies", "cells", F.col("p")[0].alias("p0")).join(F.broadcast(group_of), "g").join(work, "i")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, ([], [])
@@ -199,7 +206,7 @@ def linked(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec
         if len(hit):
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(n[hit]), pa.array(ids[root[hit]])], ["u", "n", "v"])
 
-    found = saved(dealt.repartition(len(parts), "part").sortWithinPartitions("k", "side", *[F.col("cells")[i] for i in range(lead)], "p0", "rep").select("k", "side", "raw", "rep", "copies").mapInArrow(join, "u long, n long, v long"), "links")
+    found = saved(dealt.repartition(n_parts, "k").sortWithinPartitions("k", "side", *[F.col("cells")[i] for i in range(lead)], "p0", "rep").select("k", "side", "raw", "rep", "copies").mapInArrow(join, "u long, n long, v long"), "links")
     where = components(found.select("u", "v").where("u <> v"))
     counts = found.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     info = classes.join(counts, "rep", "left").join(where.withColumnRenamed("node", "rep"), "rep", "left")
