@@ -5,8 +5,9 @@ import os
 import duckdb
 import pytest
 
-from tidewell.queries import QUERIES, SQL
+from tidewell import cases, queries
 
+QUERIES, SQL = queries.QUERIES | cases.QUERIES, queries.SQL | cases.SQL
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ascii_boundaries, byte_offset, literal_matches, passes_threshold
-from ..functions.spans import accepted, barrier, by_length_stable, by_score_stable, by_start, large_chunks, located, rebased
+from ..functions.scalars import ascii_boundaries, byte_offset, literal_matches, mapped, passes_threshold
+from ..functions.spans import accepted, barrier, by_length_stable, by_score_stable, by_score_then_length, by_start, large_chunks, located, rebased
 
 # The detectors in order of priority.
 PATTERNS = {
@@ -77,6 +77,7 @@ ENTITY_LABELS = {
     "CREDIT_CARD": "pci.card_number",
     "API_KEY": "secret.api_key",
 }
+# Least scores by label.
 THRESHOLDS = {"PERSON": 0.6, "LOCATION": 0.6, "PHONE_NUMBER": 0.4, "API_KEY": 0.4}
 DEFAULT_THRESHOLD = 0.5
 
@@ -87,6 +88,7 @@ LICENCE_PATTERNS = (
     (r"\b\d{6,10}\b", 0.2),
 )
 LICENCE_CONTEXT = ("licence", "license", "driver", "drivers", "driving", "dl")
+# Key patterns with their scores.
 KEY_PATTERNS = ((r"\bsk-[A-Za-z0-9_-]{20,}\b", 0.8), (r"\bAKIA[0-9A-Z]{16}\b", 0.9))
 CONTEXT_BOOST, CONTEXT_CHARS = 0.35, 60  # ours: the library that holds the rule isn't part of the job
 
@@ -231,6 +233,16 @@ def detected_in_chunks(df: DataFrame, key: str, detector: Callable[[str], list[d
     return moved.groupBy(key).agg(F.max("error").alias("error"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_o", "f"))), lambda x: x["f"])).alias("all")).select(key, "error", F.when(F.col("error").isNull(), by_start(F.col("all"))).otherwise(F.array().cast(f"array<{kind}>")).alias("findings"))
 
 
+def recognised(df: DataFrame, entities: str = "entities", text: str = "text") -> DataFrame:
+    """Adds ``findings`` from recognisers' entities (array of struct label, start, end in characters, score): those of a known label that reach its threshold, as findings, best score first and longest on ties where they overlap."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    good = F.filter(entities, lambda e: mapped(ENTITY_LABELS, e["label"]).isNotNull() & passes_threshold(e["label"], e["score"], THRESHOLDS, DEFAULT_THRESHOLD))
+    spans = F.transform(good, lambda e: F.struct(mapped(ENTITY_LABELS, e["label"]).alias("type"), e["start"].alias("start"), e["end"].alias("end"), F.substring(t, e["start"] + 1, e["end"] - e["start"]).alias("value"), e["score"].alias("score")))
+    step = barrier(df, _spans=by_score_then_length(F.coalesce(spans, F.array())))
+    step = barrier(step, _kept=accepted(F.col("_spans"), "struct<type:string,start:int,end:int,value:string,score:double>"))
+    return step.select(*df.columns, by_start(F.col("_kept")).alias("findings"))
+
+
 def grounded_entities(df: DataFrame, entities: str = "entities", text: str = "text") -> DataFrame:
     """Adds ``findings``: all occurrences of values that a model named (array of struct label, value) in the whole text, longest first where they overlap. Blank values, unknown labels and values that aren't in the text give none."""
 

@@ -23,22 +23,25 @@ def dry_run(requests: DataFrame, made: DataFrame) -> DataFrame:
 
 def period_rollup(records: DataFrame, at: str = "at", unit: str = "month") -> DataFrame:
     """Per policy, version, period and statement."""
-    enforced = F.col("mode") == "enforce"
+    used = F.coalesce(F.col("exception_used"), F.lit(False)) if "exception_used" in records.columns else F.lit(False)
+    enforced = (F.col("mode") == "enforce") & ~used
     skipped = F.count_if("skipped") if "skipped" in records.columns else F.count_if(F.lit(False))
-    excepted = F.count_if("exception_used") if "exception_used" in records.columns else F.count_if(F.lit(False))
-    return records.groupBy("policy_id", "policy_version", F.date_trunc(unit, at).cast("date").alias("period"), "statement").agg(F.count(F.lit(1)).alias("evaluated"), F.count_if(enforced & (F.col("action") == "redact")).alias("redacted"), F.count_if(enforced & (F.col("action") == "block")).alias("blocked"), F.count_if(~enforced).alias("monitor_only"), skipped.alias("skipped_checks"), excepted.alias("exceptions_used"))
+    return records.groupBy("policy_id", "policy_version", F.date_trunc(unit, at).cast("date").alias("period"), "statement").agg(F.count(F.lit(1)).alias("evaluated"), F.count_if(enforced & (F.col("action") == "redact")).alias("redacted"), F.count_if(enforced & (F.col("action") == "block")).alias("blocked"), F.count_if(F.col("mode") == "monitor").alias("monitor_only"), skipped.alias("skipped_checks"), F.count_if(used).alias("exceptions_used"))
 
 
 def latency_report(df: DataFrame, keys: list[str], value: str, seconds: float | None = None) -> DataFrame:
-    """Mean, least, most and nearest-index quantiles (the value at min(n - 1, floor(q * n)) in order)."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(w) - 1).alias("_i"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
+    """Mean, least, most and nearest-index quantiles (the value at min(n - 1, floor(q * n)) in order). Values are counted first, combined before they shuffle, so a group's window holds its distinct values only."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys)
+    ranked = counted.select(*keys, value, "_c", F.sum("_c").over(w.orderBy(value)).alias("_to"), F.sum("_c").over(w).alias("_n"))
 
     def at(q: float) -> Column:
-        return F.max(F.when(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * q)), F.col(value))).alias(f"p{round(q * 100)}")
+        i = F.least(F.col("_n") - 1, F.floor(F.col("_n") * q))
+        return F.max(F.when((i < F.col("_to")) & (i >= F.col("_to") - F.col("_c")), F.col(value))).alias(f"p{round(q * 100)}")
 
-    rate = [(F.count(F.lit(1)) / seconds).alias("per_second")] if seconds else []
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), *(at(q) for q in (0.5, 0.95, 0.99)), *rate)
+    n = F.sum("_c")
+    rate = [(n / seconds).alias("per_second")] if seconds else []
+    return ranked.groupBy(*keys).agg(n.alias("n"), (F.sum(F.col(value) * F.col("_c")) / n).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), *(at(q) for q in (0.5, 0.95, 0.99)), *rate)
 
 
 def increase(df: DataFrame, series: list[str], at: str, value: str) -> DataFrame:

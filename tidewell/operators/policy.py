@@ -107,7 +107,7 @@ def compiled(raw: bytes | str, approval: dict[str, Any] | None = None) -> Policy
     p = parse_policy(raw)
     spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     found = [" ".join(x for x in (r["policy_id"], r["statement"], r["part"], r["message"]) if x) for r in violations(spark, [p]).collect()]
-    found += unmet(p, approval) if approval is not None else []
+    found += [f"the approval lacks {what} {value}" for what, value in unmet(p, approval)] if approval is not None else []
     if found:
         raise PolicyError(found)
     return p
@@ -150,12 +150,13 @@ def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))  # rows of a policy file
 
 
-def decisions(requests: DataFrame, findings: DataFrame, policies: list[Policy], runtime: Runtime, as_of: str) -> DataFrame:
+def decisions(requests: DataFrame, findings: DataFrame, policies: list[Policy], runtime: Runtime, as_of: str, excepted_too: bool = False) -> DataFrame:
     """(request_id, policy_id, policy_version, statement, action, mode, finding_ids, finding_types): one row per request and statement that fires.
 
     requests: request_id and REQUEST_FIELDS; findings: request_id, id, type. A statement fires if its conditions hold, no
-    exemption does, no exception is active at ``as_of``, and a finding has one of its types. Findings are joined with the
-    statements of their type first, so requests without any never shuffle."""
+    exemption does, no exception is active at ``as_of``, and a finding has one of its types. ``excepted_too``: those under an
+    active exception stay, marked by ``exception_used``. Findings are joined with the statements of their type first, so
+    requests without any never shuffle."""
     spark = requests.sparkSession
     statements = [(p, s) for p in policies for s in p.gateway]
     wanted = _small(spark, [(p.policy_id, p.version, s.id, s.action, t, i) for i, (p, s) in enumerate(statements) for t in s.detect], "policy_id string, policy_version string, statement string, action string, type string, _n int")
@@ -167,12 +168,13 @@ def decisions(requests: DataFrame, findings: DataFrame, policies: list[Policy],
         for c in s.unless:
             holds = holds & ~c.holds()
         fires = F.when(F.col("_n") == i, holds).otherwise(fires)
-    hit = findings.select("request_id", "id", "type").join(wanted, "type").join(complete(requests), "request_id").where(fires)
+    hit = findings.select("request_id", "id", "type").join(wanted, "type").join(complete(requests).select("request_id", *REQUEST_FIELDS), "request_id").where(fires)
     active = [(x["policy_id"], x["statement"], x["app"], x["expires"]) for x in runtime.exceptions]
-    excepted = _small(spark, active, "policy_id string, statement string, app_id string, expires string").where(F.to_timestamp("expires") > F.to_timestamp(F.lit(as_of))).select("policy_id", "statement", "app_id")
+    excepted = _small(spark, active, "policy_id string, statement string, app_id string, expires string").where(F.to_timestamp("expires") > F.to_timestamp(F.lit(as_of))).select("policy_id", "statement", "app_id", F.lit(True).alias("exception_used")).distinct()
     modes = _small(spark, [(a, p, m) for (a, p), m in runtime.rollout.items()], "app_id string, policy_id string, _mode string")
-    out = hit.join(excepted, ["policy_id", "statement", "app_id"], "left_anti").join(modes, ["app_id", "policy_id"], "left")
-    by = out.groupBy("request_id", "policy_id", "policy_version", "statement", "action", F.coalesce("_mode", F.lit("enforce")).alias("mode"))
+    out = hit.join(excepted, ["policy_id", "statement", "app_id"], "left" if excepted_too else "left_anti").join(modes, ["app_id", "policy_id"], "left")
+    used = [F.coalesce("exception_used", F.lit(False)).alias("exception_used")] if excepted_too else []
+    by = out.groupBy("request_id", "policy_id", "policy_version", "statement", "action", F.coalesce("_mode", F.lit("enforce")).alias("mode"), *used)
     return by.agg(F.array_sort(F.collect_set("id")).alias("finding_ids"), F.array_sort(F.collect_list("type")).alias("finding_types"))
 
 

@@ -72,11 +72,11 @@ def violations(spark: SparkSession, policies: Iterable[Policy]) -> DataFrame:
     return df.select("policy_id", "statement", "part", "name", broken.alias("messages")).where(F.size("messages") > 0).select("policy_id", "statement", "part", "name", F.explode("messages").alias("message"))
 
 
-def unmet(p: Policy, approval: dict[str, Any]) -> list[str]:
+def unmet(p: Policy, approval: dict[str, Any]) -> list[tuple[str, str]]:
     """What the approval would have to hold and doesn't: the policy's id, version and content, and a signature of each approver's role."""
     due = {("policy_id", p.policy_id), ("version", p.version), ("content_sha256", p.sha256), *(("role", r) for r in p.approvers)}
     held = {(k, approval.get(k)) for k in ("policy_id", "version", "content_sha256")} | {("role", a.get("role")) for a in approval.get("approvals") or ()}
-    return [f"the approval lacks {k} {v}" for k, v in sorted(due - held)]
+    return sorted(due - held)
 
 
 def cases(p: Policy) -> list[dict[str, Any]]:

@@ -44,12 +44,8 @@ def _in_gap(gap: Column, seen: Column) -> Column:
     return F.aggregate(longest, gap, lambda t, v: F.replace(t, v["value"], v["placeholder"]))
 
 
-def redacted(df: DataFrame, text: str = "text", findings: str = "findings", ids: Column | None = None, style: str = "gateway", numbering: str = "forward", everywhere: bool = True) -> DataFrame:
-    """Adds ``redacted_text``, ``vault`` (placeholder -> value) and ``redacted`` (count of findings). ``ids``: an array of finding ids to redact, all by default. ``everywhere``: also other occurrences of a known value, between placeholders."""
-    chosen = F.col(findings) if ids is None else F.filter(F.col(findings), lambda f: F.array_contains(ids, f["id"]))
-    step1 = barrier(df, _chosen=by_start(chosen))
-    step2 = barrier(step1, _seen=numbered(F.col("_chosen"), style, numbering))
-    source, seen = F.coalesce(F.col(text), F.lit("")), F.col("_seen")
+def spliced(source: Column, chosen: Column, seen: Column, everywhere: bool = True) -> Column:
+    """The text with each chosen finding (in order of start) replaced by its value's placeholder."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def gap(a: Column, n: Column) -> Column:
@@ -60,9 +56,20 @@ def redacted(df: DataFrame, text: str = "text", findings: str = "findings", ids:
         mark = F.element_at(F.filter(seen, lambda y: y["value"] == f["value"]), 1)["placeholder"]
         return F.struct(f["end"].alias("at"), F.concat(acc["out"], gap(acc["at"], f["start"] - acc["at"]), mark).alias("out"))
 
-    whole = F.aggregate(F.col("_chosen"), start, step, lambda a: F.concat(a["out"], gap(a["at"], F.char_length(source) - a["at"])))
-    vault = F.map_from_arrays(F.transform(seen, lambda y: y["placeholder"]), F.transform(seen, lambda y: y["value"]))
-    return step2.select(*df.columns, F.when(F.size("_chosen") > 0, whole).otherwise(F.col(text)).alias("redacted_text"), vault.alias("vault"), F.size("_chosen").alias("redacted"))
+    return F.aggregate(chosen, start, step, lambda a: F.concat(a["out"], gap(a["at"], F.char_length(source) - a["at"])))
+
+
+def vault_of(seen: Column) -> Column:
+    return F.map_from_arrays(F.transform(seen, lambda y: y["placeholder"]), F.transform(seen, lambda y: y["value"]))
+
+
+def redacted(df: DataFrame, text: str = "text", findings: str = "findings", ids: Column | None = None, style: str = "gateway", numbering: str = "forward", everywhere: bool = True) -> DataFrame:
+    """Adds ``redacted_text``, ``vault`` (placeholder -> value) and ``redacted`` (count of findings). ``ids``: an array of finding ids to redact, all by default. ``everywhere``: also other occurrences of a known value, between placeholders."""
+    chosen = F.col(findings) if ids is None else F.filter(F.col(findings), lambda f: F.array_contains(ids, f["id"]))
+    step1 = barrier(df, _chosen=by_start(chosen))
+    step2 = barrier(step1, _seen=numbered(F.col("_chosen"), style, numbering))
+    whole = spliced(F.coalesce(F.col(text), F.lit("")), F.col("_chosen"), F.col("_seen"), everywhere)
+    return step2.select(*df.columns, F.when(F.size("_chosen") > 0, whole).otherwise(F.col(text)).alias("redacted_text"), vault_of(F.col("_seen")).alias("vault"), F.size("_chosen").alias("redacted"))
 
 
 def restored(text: Column | str, vault: Column | str) -> Column:

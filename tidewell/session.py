@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,6 +25,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below ``spark.checkpoint.dir``, which a cluster's machines share; a local session without one has its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or tempfile.gettempdir() + '/checkpoints').rstrip('/')}/tidewell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package (once per application)."""
     app = spark.sparkContext.applicationId

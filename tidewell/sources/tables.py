@@ -164,9 +164,10 @@ def parts_pressure(parts: DataFrame, keys: list[str], most: int) -> DataFrame:
     return storage_report(parts, keys).where(F.col("parts") > most)
 
 
-def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, order: tuple[str, ...] = ()) -> None:
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, order: tuple[str, ...] = (), path: str | None = None) -> None:
     """A catalog table dealt into buckets by a key: filters on the key read one bucket, joins on it need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *[c for c in order if c != key]).format("parquet").saveAsTable(name)
+    out = df.write.mode("overwrite")
+    (out.option("path", path) if path else out).bucketBy(buckets, key).sortBy(key, *[c for c in order if c != key]).format("parquet").saveAsTable(name)
 
 
 def gathered_copies(copies: dict[str, DataFrame]) -> DataFrame:
