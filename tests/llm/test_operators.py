@@ -135,8 +135,10 @@ def test_substring_texts_keep_columns(docs):
     assert set(SCHEMA.replace(",", "").split()[::2]) <= set(out.columns) and out.count() == docs.count()
 
 
-def test_suffix_tree(docs, none):
-    out = suffix_tree.scored(docs, fold_mod("doc_id", 10) != 0, least_share=0.005, least_gain=0.001).collect()
+@pytest.mark.parametrize("entries", [400_000, 40])
+def test_suffix_tree(docs, none, monkeypatch, entries):
+    monkeypatch.setattr(suffix_tree, "TABLE", entries)  # few: most words and pairs aren't told apart
+    out = suffix_tree.scored(docs, fold_mod("doc_id", 10) != 0, least_share=0.005).collect()
     assert len(out) == len(ROWS) + 2
     rows = [*ROWS, ROWS[4], (None, "a null id's text " * 40)]
     train = [words(r[1]) + [None] for r in rows if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 10]
@@ -151,37 +153,63 @@ def test_suffix_tree(docs, none):
     assert suffix_tree.scored(none, fold_mod("doc_id", 10) != 0).count() == 0
 
 
-def test_suffix_tree_equals_plain_model(spark):
-    """All frequent contexts retained: smoothed probabilities in each token's longest context, and their sum over the alphabet."""
+@pytest.mark.parametrize(("share", "gain", "penalty", "depth"), [(0.02, 2.0, 3.0, 3), (0.02, -1e9, 0.0, 2), (1e-9, 1.0, 0.5, 3), (0.9, 2.0, 1.0, 3), (0.004, 3.0, 1.0, 4)])
+def test_suffix_tree_equals_plain_model(spark, share, gain, penalty, depth):
+    """Counts, divergence test and smoothing in plain Python; hot contexts, cold ones and both; distributions sum to one."""
     rng = random.Random(4)
-    rows = [(i, " ".join(rng.choice("aaabcd") + rng.choice("xxy") for _ in range(rng.randint(0, 60)))) for i in range(80)]
-    share, held = 0.02, lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    rows = []
+    for i in range(80):
+        text = []
+        for _ in range(rng.randint(0, 60)):
+            text.append("cy" if text[-1:] == ["ax"] and rng.random() < 0.7 else rng.choice("aaabcd") + rng.choice("xxy"))
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, rows[5][1]) for i in range(3)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     tokens = {i: [*t.split(), None] for i, t in rows}
     c, follow = Counter(), defaultdict(Counter)
     for i, t in tokens.items():
         if not held(i):
             c.update(t)
             for k, w in enumerate(t):
-                for n in (1, 2):
-                    if k >= n:
-                        follow[tuple(t[k - n:k])][w] += 1
+                for n in range(1, min(depth, k) + 1):
+                    follow[tuple(t[k - n:k])][w] += 1
     total = sum(c.values())
-    states = {s for s, f in follow.items() if sum(f.values()) >= share * total}
+    size = {s: sum(f.values()) for s, f in follow.items()}
+    hot = {s for s in follow if size[s] >= share * total}
+
+    def gained(s, q):
+        return sum(n * math.log(n / size[s] / q(w)) for w, n in follow[s].items()) - penalty * (len(follow[s]) - 1)
+
+    def of_suffix(s):
+        return (lambda w: follow[s[1:]][w] / size[s[1:]]) if len(s) > 1 else (lambda w: c[w] / total)
+
+    def with_suffixes(chosen, among):
+        return {x for s in chosen for x in (s[k:] for k in range(len(s))) if x in among}
+
+    kept = with_suffixes({s for s in hot if gained(s, of_suffix(s)) >= gain}, hot)
 
     def p(context, w):
         if not context:
             return (c[w] + 0.1) / (total + 0.1 * (len(c) + 1))
-        if context not in states:
-            return p(context[1:], w)
+        below = p(context[1:], w)
+        if context not in kept:
+            return below
         f = follow[context]
-        return (f[w] + len(f) * p(context[1:], w)) / (sum(f.values()) + len(f))
-
-    assert len(states) > 15 and any(len(s) == 2 for s in states)
-    assert all(sum(p(s, w) for w in [*c, "unseen"]) == pytest.approx(1) for s in states)
-    out = suffix_tree.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), fold_mod("doc_id", 10) != 0, share, -1e9)
+        return (f[w] + len(f) * below) / (size[context] + len(f))
+
+    cold = set(follow) - hot
+    shortest = {s for s in cold if len(s) == 1 or s[1:] in hot}
+    mine = {s for s in cold if size[s] >= 2 and gained(s, (lambda w, s=s: p(s[1:], w)) if s in shortest else of_suffix(s)) >= gain}
+    kept |= with_suffixes(mine, cold)
+    assert kept and (share < 0.01 or share == 0.9 or kept & hot)
+    if gain > 0 and share < 0.9:
+        assert len(kept) < len(follow)
+    for s in sorted(kept)[::7]:
+        assert sum(p(s, w) for w in [*c, "unseen"]) == pytest.approx(1)
+    out = suffix_tree.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), fold_mod("doc_id", 10) != 0, share, gain, penalty, depth=depth)
     for r in out.collect():
         t = tokens[r["doc_id"]]
-        assert r["score"] == pytest.approx(sum(math.log10(p(tuple(t[max(0, k - 2):k]), w)) for k, w in enumerate(t)), rel=1e-9)
+        assert r["score"] == pytest.approx(sum(math.log10(p(tuple(t[max(0, k - depth):k]), w)) for k, w in enumerate(t)), rel=1e-6)
 
 
 def test_suffix_tree_learns_context(spark):
