@@ -69,6 +69,23 @@ def partitions_for(df: DataFrame, mb_each: int = 20, least: int = 12, most: int
     return max(least, min(most, math.ceil(size / (mb_each << 20))))
 
 
+HOT_SHARE = 1000
+
+
+def with_class(rows: DataFrame, info: DataFrame, on: list[str], copies: str, may=None) -> DataFrame:
+    """rows left-joined with their classes by the columns ``on``. Classes of over one in HOT_SHARE rows, fewer than that, are met by broadcast, and their rows, like those that can't have a class (``may`` is false), are spread over all tasks: no key gathers more than that share."""
+    rest = [c for c in info.columns if c not in on]
+    total = info.agg(F.sum(copies).alias("n")).first()["n"] or 0
+    limit = max(total // HOT_SHARE, 1)
+    hot = F.broadcast(info.where(F.col(copies) > limit).select(*[F.col(c).alias(f"_on_{c}") for c in on], *[F.col(c).alias(f"_hot_{c}") for c in rest], F.lit(True).alias("_is_hot")))
+    cold = info.where(F.col(copies) <= limit).select(*[F.col(c).alias(f"_of_{c}") for c in on], *[F.col(c).alias(f"_cold_{c}") for c in rest], F.xxhash64(*on).alias("_met"))
+    out = rows.join(hot, [F.col(c) == F.col(f"_on_{c}") for c in on], "left")
+    alone = F.col("_is_hot").isNotNull() | (~F.coalesce(may, F.lit(False)) if may is not None else F.lit(False))
+    out = out.withColumn("_meet", F.when(alone, F.xxhash64(*rows.columns)).otherwise(F.xxhash64(*on)))
+    out = out.join(cold, [F.col("_meet") == F.col("_met"), *[F.col(c) == F.col(f"_of_{c}") for c in on]], "left")
+    return out.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in rest])
+
+
 def _murmur3_int(x: int) -> int:
     """Spark's hash() of one int column (Murmur3, seed 42)."""
     mask = 0xFFFFFFFF

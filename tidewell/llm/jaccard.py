@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions_for, saved, spread_keys, table
+from .common import partitions_for, saved, spread_keys, table, with_class
 from .links import components
 from .messages import SCHEMA, dealt, gathered, local_components, shared
 from .words import fmix, shingle_sets, slices
@@ -142,7 +142,7 @@ def linked(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([batch.column(0), n, a, b], ["doc_id", "n", "a", "b"])
 
     rows = saved(docs.mapInArrow(measured, "doc_id long, n long, a long, b long"), "sets")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
     # half of a class's shingles, those smallest by fingerprint, are enough to see that it shares too few
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +176,9 @@ def linked(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id
     found = saved(components(edges).join(classes.select(F.col("a").alias("node"), "rep"), "node"), "linked")
     smallest = found.groupBy("component").agg(F.min("rep").alias("least"))
     named = found.join(smallest, "component").select("node", "least")
-    with_class = rows.join(classes, ["n", "a", "b"], "left")
-    out = with_class.join(named, F.when(with_class["rep"].isNotNull(), with_class["a"]) == named["node"], "left")
-    mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "rep", "doc_id"))
+    info = classes.join(named.withColumnRenamed("node", "a"), "a", "left").select("n", "a", "b", "copies", F.coalesce("least", "rep").alias("least"))
+    out = with_class(rows, info, ["n", "a", "b"], "copies", F.col("n") > 0)
+    mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
 

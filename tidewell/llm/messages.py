@@ -16,7 +16,7 @@ _ARROW = pa.schema([("part", pa.int32()), ("at", pa.int32()), ("keys", pa.binary
 U64 = np.uint64
 
 
-def dealt(docs: Iterable[tuple[int, int, np.ndarray]], parts: list[int], flush: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def dealt(docs: Iterable[tuple[int, int, np.ndarray]], parts: list[int], flush: int = 500_000) -> Iterator[pa.RecordBatch]:
     """docs: (int64 key, size, uint64 fingerprints). parts: the values that hash partitioning sends to parts of their own."""
     keys: list[int] = []
     sizes: list[int] = []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, table, with_class
 from .links import components
 from .messages import local_components
 
@@ -210,7 +210,7 @@ def linked(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec
     where = components(found.select("u", "v").where("u <> v"))
     counts = found.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     info = classes.join(counts, "rep", "left").join(where.withColumnRenamed("node", "rep"), "rep", "left")
-    whole = rows.join(info, "raw", "left")
+    whole = with_class(rows, info, ["raw"], "copies", F.col("raw").isNotNull())
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return whole.select(F.col("id").alias(id_col), F.when(F.col("rep").isNotNull(), F.coalesce("n", F.lit(0)) + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
