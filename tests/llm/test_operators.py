@@ -180,9 +180,6 @@ def test_suffix_tree_equals_plain_model(spark, share, gain, penalty, depth):
     def gained(s, q):
         return sum(n * math.log(n / size[s] / q(w)) for w, n in follow[s].items()) - penalty * (len(follow[s]) - 1)
 
-    def rounded(x):
-        return math.exp(round(-math.log(x) * suffix_tree.STEPS) / -suffix_tree.STEPS)
-
     def of_suffix(s):
         return (lambda w: follow[s[1:]][w] / size[s[1:]]) if len(s) > 1 else (lambda w: c[w] / total)
 
@@ -199,27 +196,21 @@ def test_suffix_tree_equals_plain_model(spark, share, gain, penalty, depth):
         below = p(context[1:], w)
         if context not in kept:
             return below
-        below = rounded(below) if context in shortest else below
         f = follow[context]
         return (f[w] + len(f) * below) / (size[context] + len(f))
 
-    mine = {s for s in cold if size[s] >= 2 and gained(s, (lambda w, s=s: rounded(p(s[1:], w))) if s in shortest else of_suffix(s)) >= gain}
+    mine = {s for s in cold if size[s] >= 2 and gained(s, (lambda w, s=s: p(s[1:], w)) if s in shortest else of_suffix(s)) >= gain}
     kept |= with_suffixes(mine, cold)
     assert kept and (share < 0.01 or share == 0.9 or kept & hot)
     if gain > 0 and share < 0.9:
         assert len(kept) < len(follow)
     for s in sorted(kept)[::7]:
-        assert sum(p(s, w) for w in [*c, "unseen"]) == pytest.approx(1, abs=1e-3)  # rounded on the way to cold contexts
+        assert sum(p(s, w) for w in [*c, "unseen"]) == pytest.approx(1)
     out = suffix_tree.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), fold_mod("doc_id", 10) != 0, share, gain, penalty, depth=depth)
     for r in out.collect():
         t = tokens[r["doc_id"]]
-        want = 0
-        for k, w in enumerate(t):
-            context = tuple(t[max(0, k - depth):k])
-            x = p(context, w)
-            n = next((n for n in range(len(context) + 1) if context[len(context) - n:] not in hot and n), None)  # words of its shortest cold context
-            want += math.log10(rounded(x) if n and context[len(context) - n:] not in kept else x)
-        assert r["score"] == pytest.approx(want, rel=1e-6)
+        want = sum(math.log10(p(tuple(t[max(0, k - depth):k]), w)) for k, w in enumerate(t))
+        assert r["score"] == pytest.approx(want, rel=1e-9)
 
 
 def test_suffix_tree_learns_context(spark):
