@@ -5,8 +5,9 @@ from tidewell.functions import scalars as X
 from tidewell.functions import states
 from tidewell.operators import kinds
 from tidewell.plans import queries as P
-from tidewell.sources import exports, files, generators, snapshots
+from tidewell.sources import exports, files, generators, snapshots, tables
 from tidewell.sources.tables import Table, parts_pressure, storage_report
+from tidewell.streaming import ingest
 from tidewell.streaming.ingest import Ledger, Rollup, refreshed, retried
 
 
@@ -191,3 +192,63 @@ def test_ttl_kinds(spark, events):
     assert kinds.expired_out(events, "event_time", now, "60 days").count() < 4000
     rolled = kinds.expired_rolled_up(events, "event_time", now, "60 days", ["tenant_id"], ["revenue"])
     assert rolled.agg(F.sum("revenue")).first()[0] == events.agg(F.sum("revenue")).first()[0] and rolled.count() < 4000
+
+
+def test_batches_by_rows_or_time_with_retries(spark):
+    now, wrote, fails = [0.0], [], [1]
+
+    def write(df, token):
+        if fails and fails.pop():
+            raise OSError("busy")
+        wrote.append((token, sorted(r[0] for r in df.collect())))
+
+    b = ingest.Batches(spark, "n int", write, rows=3, seconds=1.0, clock=lambda: now[0], sleep=lambda s: None)
+    assert [b.add((i,)) for i in range(4)] == [False, False, True, False] and wrote[0][1] == [0, 1, 2]
+    now[0] = 0.9
+    assert not b.tick()
+    now[0] = 1.0
+    assert b.tick() and wrote[1][1] == [3] and not b.tick() and not b.flush()
+    fails += [1] * 5
+    b.add((9,))
+    with pytest.raises(OSError):
+        b.flush()
+    fails.clear()
+    assert b.flush() and wrote[-1][1] == [9] and len({t for t, _ in wrote}) == 3
+
+
+def test_compacted_blocks(spark, tmp_path, events):
+    roll = ingest.Rollup(spark, str(tmp_path / "roll"))
+    for k in range(3):
+        roll.write(events.where(F.col("tenant_id") % 3 == k))
+    before = sorted(map(str, states.finished(roll.states(), ["tenant_id"]).collect()))
+    assert roll.compact() == 3 and roll.compact() == 0 and roll.compact("raw") == 3
+    assert sorted(map(str, states.finished(roll.states(), ["tenant_id"]).collect())) == before and roll.raw().count() == events.count()
+    assert roll.write(events.where(F.col("tenant_id") % 3 == 0)) is False  # its token is still known
+    # a crash after the merged folder appeared: the list hides what it replaced
+    store = ingest.Files(spark, roll.path)
+    name = store.folders(f"{roll.path}/states")[0]
+    roll.states_of(events.limit(10)).write.parquet(f"{roll.path}/states/block=old")
+    store.write(f"{roll.path}/replaced/states/{name}", '["block=old"]')
+    assert sorted(map(str, states.finished(roll.states(), ["tenant_id"]).collect())) == before
+
+
+def test_limits(spark, events):
+    assert P.bounded(events.limit(5)).count() == 5
+    with pytest.raises(P.TooLarge):
+        P.bounded(events, 10)
+    seen = []
+    P.limited(spark, lambda: events.repartition(7).count(), 60, progress=lambda done, known: seen.append((done, known)), every=0.01)
+    assert all(a <= b for a, b in seen)
+
+
+def test_altered_and_moved_partitions(spark, tmp_path, events):
+    t = tables.Table(str(tmp_path / "t"), events.schema, order=("tenant_id", "event_time"), by_month="event_time")
+    t.append(events)
+    n = events.count()
+    other = t.like(str(tmp_path / "t"), order=("country",))
+    assert other.alter(spark, lambda df: df.withColumn("device", F.lit("x"))) == len(t.partitions(spark))
+    assert t.read(spark).where("device = 'x'").count() == n
+    cold = t.like(str(tmp_path / "cold"))
+    first = t.partitions(spark)[0]
+    t.move(spark, first, cold)
+    assert cold.partitions(spark) == [first] and t.read(spark).count() + cold.read(spark).count() == n

@@ -89,10 +89,10 @@ def q_case_message_ids(spark: SparkSession, d: str) -> DataFrame:
     return detect.numbered_across_messages(detect.with_findings(t), "conv", "turn").select("conv", "turn", F.inline("findings")).select("conv", "turn", "id", "type", "value")
 
 
-@case(f"""WITH {_found_sql('conversations', "conv_id || '/' || turn", 'text')} SELECT k AS message, type, count(*) AS n FROM f GROUP BY 1, 2""")
+@case(f"""WITH {_found_sql('conversations', "conv_id || '/' || turn", 'text')} SELECT t.k AS message, count(f.k) AS n FROM t LEFT JOIN f ON f.k = t.k GROUP BY 1""")
 def q_conversation_findings(spark: SparkSession, d: str) -> DataFrame:
     t = read_table(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("message"), "text")
-    return detect.with_findings(t).select("message", F.inline("findings")).groupBy("message", "type").agg(F.count(F.lit(1)).alias("n"))
+    return detect.with_findings(t).groupBy("message").agg(F.sum(F.size("findings")).alias("n"))
 
 
 def _redacted_sql(found: str, key: str) -> str:
@@ -663,6 +663,8 @@ def q_streamed_rollup(spark: SparkSession, d: str) -> DataFrame:
     roll.stream(source, f"{at}/checkpoint", since=_CUT).awaitTermination()
     block = spark.read.parquet(f"{at}/source").where(F.col("event_time") >= F.lit(_CUT)).limit(0)
     roll.write(block, "batch-000000000000")  # its token is known: nothing happens
+    roll.compact()
+    roll.compact("raw")
     out = states.rolled(roll.states(), ["tenant_id", F.date_format("minute", "yyyy-MM-dd HH").alias("hour")]).select("tenant_id", "hour", "events", F.col("revenue").cast("decimal(18,2)").cast("double").alias("revenue"))
     return _rows(spark, [tuple(r) for r in out.collect()], "tenant_id int, hour string, events long, revenue double", at)
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.status import SparkJobInfo
 
 
 def parameterised(spark: SparkSession, sql: str, **args: object) -> DataFrame:
@@ -41,11 +42,24 @@ class OverLimit(RuntimeError):
     pass
 
 
+class TooLarge(RuntimeError):
+    pass
+
+
 LOG: list[dict] = []
+_NO_JOB = SparkJobInfo(0, [], "")
+
+
+def bounded(df: DataFrame, most_bytes: int = 2 << 30) -> DataFrame:
+    """The frame, if the planner doesn't expect its result to take more than so many bytes; for results that go to the driver."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > most_bytes:
+        raise TooLarge(f"the result may take {size} bytes; {most_bytes} are allowed")
+    return df
 
 
-def limited(spark: SparkSession, run: Callable[[], object], seconds: float = 10, query_id: str | None = None) -> object:
-    """Runs a query; its jobs are cancelled once it takes longer. The log gets a row for it."""
+def limited(spark: SparkSession, run: Callable[[], object], seconds: float = 10, query_id: str | None = None, progress: Callable[[int, int], object] | None = None, every: float = 0.2) -> object:
+    """Runs a query; its jobs are cancelled once it takes longer. ``progress`` is told the tasks done and the tasks known so far. The log gets a row for it."""
     name = query_id or f"query-{uuid.uuid4().hex[:12]}"
     spark.sparkContext.setJobGroup(name, name, interruptOnCancel=True)
     late = threading.Event()
@@ -54,8 +68,18 @@ def limited(spark: SparkSession, run: Callable[[], object], seconds: float = 10,
         late.set()
         spark.sparkContext.cancelJobGroup(name)
 
+    ended = threading.Event()
+
+    def watch() -> None:
+        tracker = spark.sparkContext.statusTracker()
+        while not ended.wait(every):
+            stages = [i for job in tracker.getJobIdsForGroup(name) for s in (tracker.getJobInfo(job) or _NO_JOB).stageIds if (i := tracker.getStageInfo(s))]
+            progress(sum(i.numCompletedTasks for i in stages), sum(i.numTasks for i in stages))
+
     timer, began = threading.Timer(seconds, stop), time.time()
     timer.start()
+    if progress:
+        threading.Thread(target=watch, daemon=True).start()
     state = "failed"
     try:
         out = run()
@@ -68,6 +92,7 @@ def limited(spark: SparkSession, run: Callable[[], object], seconds: float = 10,
         raise
     finally:
         timer.cancel()
+        ended.set()
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         LOG.append({"query_id": name, "began": began, "seconds": time.time() - began, "state": state})
 

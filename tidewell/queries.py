@@ -48,8 +48,7 @@ def q_shop_week_sql(spark: SparkSession, d: str) -> DataFrame:
 
 def q_funnel_last7d(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
-    top = e.agg(F.max("ts").alias("top"))  # one row
-    last = e.join(F.broadcast(top), F.col("ts") > F.col("top") - F.expr("INTERVAL 7 DAYS"))
+    last = e.where(F.col("ts") > e.agg(F.max("ts")).scalar() - F.expr("INTERVAL 7 DAYS"))
     return last.where(F.col("event_type").isin("view", "click", "purchase")).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"))
 
 
@@ -222,8 +221,8 @@ def _findings(spark: SparkSession, d: str, table: str = "documents", key: str =
 
 def _pattern_counts(kind: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        n = detect.match_counts("text")[kind].cast("long")
-        return read_table(spark, d, "documents").select("doc_id", n.alias("n")).where("n > 0")
+        n = F.coalesce(detect.match_counts("text")[kind].cast("long"), F.lit(0))
+        return read_table(spark, d, "documents").select("doc_id", n.alias("n"))
 
     return run
 
@@ -246,11 +245,6 @@ def q_pii_findings_by_type(spark: SparkSession, d: str) -> DataFrame:
     return _findings(spark, d).select(F.inline("findings")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def q_pii_conversations(spark: SparkSession, d: str) -> DataFrame:
-    t = read_table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return detect.numbered_across_messages(detect.with_findings(t), "conv_id", "turn").select("conv_id", "turn", F.inline("findings")).select("conv_id", "turn", "id", "type")
-
-
 def q_redacted_docs(spark: SparkSession, d: str) -> DataFrame:
     out = redact.redacted(_findings(spark, d), everywhere=False)
     return out.where("redacted > 0").select("doc_id", "redacted_text", "redacted")
@@ -262,11 +256,6 @@ def q_redact_restore(spark: SparkSession, d: str) -> DataFrame:
     return out.where("redacted > 0").select("doc_id", back.alias("same"))
 
 
-def q_au_licences(spark: SparkSession, d: str) -> DataFrame:
-    t = read_table(spark, d, "documents").where(F.col("text").rlike(r"\d{5}"))
-    return t.select("doc_id", F.size(detect.driver_licences(F.col("text"))).alias("n")).where("n > 0")
-
-
 # -- policy
 
 POLICY = """policy_id: POL-DEMO-001
@@ -325,7 +314,7 @@ QUERIES = {
         q_filters, q_lateral_alias, q_parts_pressure_shape, q_kth_value_offset, q_counts_min_max, q_ratio, q_case_tiers, q_readable_size, q_extract, q_offsets, q_shard_counts, q_clickstream, q_shops,
         q_latest_version, q_argmax_having, q_daily_revenue_summing, q_rollup_merge_exact, q_rollup_states_hourly, q_uniq_hll, q_p95_exact, q_ttl_delete, q_ttl_rollup, q_ttl_clear, q_partition_counts,
         q_latency_report, q_counter_increase, q_health_status,
-        q_pii_luhn_cards, q_pii_findings, q_pii_findings_pages, q_pii_findings_by_type, q_pii_conversations, q_redacted_docs, q_redact_restore, q_au_licences,
+        q_pii_luhn_cards, q_pii_findings, q_pii_findings_pages, q_pii_findings_by_type, q_redacted_docs, q_redact_restore,
         q_policy_decisions, q_policy_enforcement, q_audit_counts, q_policy_dry_run, q_policy_monthly_rollup,
     )},
     **{f"q_pii_{name}_counts": _pattern_counts(kind) for name, kind in (("email", "pii.email"), ("phone", "pii.phone"), ("ssn", "pii.national_id"), ("card", "pci.card_number"), ("key", "secret.api_key"))},
@@ -425,5 +414,5 @@ SQL = {
     "q_policy_monthly_rollup": _D + """, g AS (SELECT DISTINCT request_id, statement, action, mode FROM d)
         SELECT strftime(make_date(2026, (request_id % 3 + 9)::INT, 1), '%Y-%m-%d') AS period, statement, count(*) AS evaluated, count(*) FILTER (mode = 'enforce' AND action = 'redact') AS redacted,
         count(*) FILTER (mode = 'enforce' AND action = 'block') AS blocked, count(*) FILTER (mode = 'monitor') AS monitor_only FROM g GROUP BY 1, 2""",
-    **{f"q_pii_{name}_counts": f"SELECT doc_id, len(regexp_extract_all(text, '{detect.PATTERNS[kind]}'))::BIGINT AS n FROM documents WHERE len(regexp_extract_all(text, '{detect.PATTERNS[kind]}')) > 0" for name, kind in (("email", "pii.email"), ("phone", "pii.phone"), ("ssn", "pii.national_id"), ("card", "pci.card_number"), ("key", "secret.api_key"))},
+    **{f"q_pii_{name}_counts": f"SELECT doc_id, coalesce(len(regexp_extract_all(text, '{detect.PATTERNS[kind]}')), 0)::BIGINT AS n FROM documents" for name, kind in (("email", "pii.email"), ("phone", "pii.phone"), ("ssn", "pii.national_id"), ("card", "pci.card_number"), ("key", "secret.api_key"))},
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,11 @@ class Files:
     def copy(self, a: str, b: str) -> None:
         self.jvm.org.apache.hadoop.fs.FileUtil.copy(self.fs, self._path(a), self._path(b).getFileSystem(self.conf), self._path(b), False, self.conf)
 
+    def copy_all(self, pairs: list[tuple[str, str]], at_once: int = 32) -> None:
+        """Copies (from, to), so many at a time; the first failure is raised."""
+        with ThreadPoolExecutor(at_once) as pool:
+            list(pool.map(lambda ab: self.copy(*ab), pairs))
+
     def delete(self, p: str) -> None:
         self.fs.delete(self._path(p), True)
 

@@ -13,7 +13,7 @@ def backup(spark: SparkSession, tables: dict[str, str], to: str, base: str | Non
     """Copies the tables' files (name -> path). With a base only files that it (or its own base) doesn't hold are copied. Returns the manifest."""
     files = Files(spark, to)
     held = {(f["table"], f["name"], f["size"]): f["at"] for f in manifest(spark, base)["files"]} if base else {}
-    out = []
+    out, copies = [], []
     for table, path in sorted(tables.items()):
         root = files.qualified(path)
         for i in Files(spark, path).listed(path):
@@ -21,8 +21,9 @@ def backup(spark: SparkSession, tables: dict[str, str], to: str, base: str | Non
             at = held.get((table, name, i.size))
             if at is None:
                 at = f"{to}/{table}/{name}"
-                files.copy(i.path, at)
+                copies.append((i.path, at))
             out.append({"table": table, "name": name, "size": i.size, "at": at})
+    files.copy_all(copies)
     found = {"base": base, "files": out}
     files.write(f"{to}/manifest.json", json.dumps(found))
     return found
@@ -38,7 +39,9 @@ def restore(spark: SparkSession, path: str, table: str, to: str, partitions: lis
     if not allow_non_empty and files.listed(to):
         raise ValueError(f"{to} isn't empty")
     chosen = [f for f in manifest(spark, path)["files"] if f["table"] == table and (partitions is None or any(f["name"].startswith(f"yyyymm={p}/") for p in partitions))]
+    copies = []
     for n, f in enumerate(chosen):
         folder, _, name = f["name"].rpartition("/")
-        files.copy(f["at"], "/".join(x for x in (to, folder, f"r{n}-{name}" if allow_non_empty else name) if x))
+        copies.append((f["at"], "/".join(x for x in (to, folder, f"r{n}-{name}" if allow_non_empty else name) if x)))
+    files.copy_all(copies)
     return len(chosen)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +31,12 @@ class Table:
         """The same structure elsewhere, without rows."""
         return Table(**{**self.__dict__, "path": path, **changes})
 
-    def _write(self, df: DataFrame, path: str, mode: str) -> None:
+    def _write(self, df: DataFrame, path: str, mode: str, moved: bool = False) -> None:
+        """``moved``: rows lie in the parts that they are to be written from."""
         if self.by_month:
             df = df.withColumn("yyyymm", yyyymm(self.by_month))
+        if self.by_month and not moved:
+            df = df.hint("rebalance", "yyyymm")  # a month's rows come together, large months in several parts: few files each
         keys = (["yyyymm"] if self.by_month else []) + list(self.order)
         out = (df.sortWithinPartitions(*keys) if keys else df).write.mode(mode).option("compression", self.codec)
         for c in self.bloom:
@@ -66,7 +71,7 @@ class Table:
         files = Files(spark, self.path)
         if files.exists(f"{self.path}/yyyymm={part}"):
             for i in files.listed(self._detached(part)):
-                files.move(i.path, f"{self.path}/yyyymm={part}/{i.path.rsplit('/', 1)[1]}")
+                files.move(i.path, f"{self.path}/yyyymm={part}/{uuid.uuid4().hex[:8]}-{i.path.rsplit('/', 1)[1]}")  # names may be taken
             files.delete(self._detached(part))
         else:
             files.move(self._detached(part), f"{self.path}/yyyymm={part}")
@@ -91,7 +96,7 @@ class Table:
         store, own, new, old = Files(spark, self.path), f"{self.path}/yyyymm={part}", f"{self.path}/_new", f"{self.path}/_old/yyyymm={part}"
         store.delete(new)
         df = change(spark.read.parquet(own).select([c for c in self.schema.names]))
-        self._write(df.repartition(files), new, "overwrite")
+        self._write(df.repartitionByRange(files, *self.order) if files > 1 and self.order else df.repartition(files), new, "overwrite", moved=True)
         store.delete(old)
         store.move(own, old)
         if store.exists(f"{new}/yyyymm={part}"):
@@ -99,6 +104,20 @@ class Table:
         store.delete(old)
         store.delete(new)
 
+    def alter(self, spark: SparkSession, change: Callable[[DataFrame], DataFrame] = lambda df: df) -> int:
+        """Writes every partition anew in this table's layout (sort key, bloom filters, codec), with its rows changed: what an altered declaration needs to reach stored data. Returns the partitions."""
+        parts = self.partitions(spark)
+        for p in parts:
+            size = sum(i.size for i in Files(spark, self.path).listed(f"{self.path}/yyyymm={p}"))
+            self._rewrite(spark, p, change, max(1, -(-size // (512 << 20))))
+        return len(parts)
+
+    def move(self, spark: SparkSession, part: int, to: Table) -> None:
+        """A partition goes to another table of the same structure, on another store perhaps."""
+        source, target = Files(spark, self.path), f"{to.path}/yyyymm={part}"
+        source.copy_all([(i.path, f"{target}/{uuid.uuid4().hex[:8]}-{i.path.rsplit('/', 1)[1]}") for i in source.listed(f"{self.path}/yyyymm={part}")])
+        self.drop(spark, part)
+
     def optimize(self, spark: SparkSession, part: int, target_mb: int = 512) -> None:
         """Rewrites a partition as few sorted files of about ``target_mb``."""
         size = sum(i.size for i in Files(spark, self.path).listed(f"{self.path}/yyyymm={part}"))
@@ -116,25 +135,25 @@ class Table:
         return files.join(counts, "place", "left").select("partition", "name", F.coalesce("rows", F.lit(0)).alias("rows"), "bytes")
 
     def columns(self, spark: SparkSession) -> DataFrame:
-        """Compressed and uncompressed bytes of each column, from the footers, read where the files are."""
-        paths = [i.path for i in Files(spark, self.path).listed(self.path, ".parquet")]
-
-        def run(batches):
-            import pyarrow as pa
-            import pyarrow.parquet as pq
-
-            for batch in batches:
-                out = []
-                for content in batch.column(0).to_pylist():
-                    meta = pq.read_metadata(pa.BufferReader(content))
-                    out += [(c.path_in_schema, c.physical_type, c.total_compressed_size, c.total_uncompressed_size) for g in range(meta.num_row_groups) for c in [meta.row_group(g).column(i) for i in range(meta.num_columns)]]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["name", "type", "compressed", "uncompressed"])
-
-        if not paths:
-            return spark.createDataFrame([], "name string, type string, compressed long, uncompressed long")
-        found = spark.read.format("binaryFile").load(paths).select("content").mapInArrow(run, "name string, type string, compressed long, uncompressed long")
-        return found.groupBy("name", "type").agg(F.sum("compressed").alias("compressed"), F.sum("uncompressed").alias("uncompressed"))
+        """Compressed and uncompressed bytes of each column, from the footers alone: they are read in parallel at the files' ends, a batch of files in memory at a time."""
+        sizes: dict[tuple[str, str], list[int]] = {}
+        for b in _row_groups(spark, self.path):
+            for c in b.getColumns():
+                own = sizes.setdefault((c.getPath().toDotString(), c.getPrimitiveType().getPrimitiveTypeName().toString()), [0, 0])
+                own[0] += c.getTotalSize()
+                own[1] += c.getTotalUncompressedSize()
+        return spark.createDataFrame([(*k, *v) for k, v in sorted(sizes.items())], "name string, type string, compressed long, uncompressed long")
+
+
+def _row_groups(spark: SparkSession, path: str, at_once: int = 512) -> Iterator[object]:
+    files, jvm = Files(spark, path), spark._jvm
+    items = files.listed(path, ".parquet")
+    for i in range(0, len(items), at_once):
+        statuses = jvm.java.util.ArrayList()
+        for item in items[i:i + at_once]:
+            statuses.add(files.fs.getFileStatus(files._path(item.path)))
+        for footer in jvm.org.apache.parquet.hadoop.ParquetFileReader.readAllFootersInParallel(files.conf, statuses, False):
+            yield from footer.getParquetMetadata().getBlocks()
 
 
 def _place(path: Column | str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import start_of
-from ..functions.states import partial
+from ..functions.states import partial, rolled
 from ..sources.files import Files
 
 FATAL = ("ParseException", "AnalysisException", "AccessControlException")
@@ -102,11 +103,67 @@ class Rollup:
         out = live.writeStream.foreachBatch(lambda df, n: self.write(df, f"batch-{n:012d}") and None).option("checkpointLocation", checkpoint)
         return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
+    def compact(self, what: str = "states") -> int:
+        """Merges the blocks of ``states`` (equal keys too) or ``raw`` into one folder; returns how many. The new folder appears by a rename, from which on the list beside it hides the old ones; a crash leaves either view whole."""
+        files, root = Files(self.spark, self.path), f"{self.path}/{what}"
+        old = self._blocks(what)
+        if len(old) < 2:
+            return 0
+        name = f"block=merged-{uuid.uuid4().hex}"
+        df = self.spark.read.option("basePath", root).parquet(*[f"{root}/{b}" for b in old]).drop("block")
+        (rolled(df, [*self.keys, "minute"]) if what == "states" else df).write.parquet(f"{self.path}/_staging/{name}")
+        files.write(f"{self.path}/replaced/{what}/{name}", json.dumps(old))
+        files.move(f"{self.path}/_staging/{name}", f"{root}/{name}")
+        for b in old:
+            files.delete(f"{root}/{b}")
+        files.delete(f"{self.path}/replaced/{what}/{name}")
+        return len(old)
+
+    def _blocks(self, what: str) -> list[str]:
+        """Folders to read: all but those that a merged one has replaced."""
+        files = Files(self.spark, self.path)
+        there = files.folders(f"{self.path}/{what}")
+        gone = {b for i in files.listed(f"{self.path}/replaced/{what}") if (name := i.path.rsplit("/", 1)[1]) in there for b in json.loads(files.read(i.path))}
+        return [b for b in there if b.startswith("block=") and b not in gone]
+
+    def _read(self, what: str) -> DataFrame:
+        root = f"{self.path}/{what}"
+        return self.spark.read.option("basePath", root).parquet(*[f"{root}/{b}" for b in self._blocks(what)]).drop("block")
+
     def raw(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/raw").drop("block")
+        return self._read("raw")
 
     def states(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/states").drop("block")
+        return self._read("states")
+
+
+class Batches:
+    """Rows of a client, written as a block once there are ``rows`` of them or the first has waited ``seconds``, with retries; a block's token stays the same through them, so that it is written once."""
+
+    def __init__(self, spark: SparkSession, schema: str, write: Callable[[DataFrame, str], object], rows: int = 50_000, seconds: float = 1.0, clock: Callable[[], float] = time.monotonic, **retry: object):
+        self.spark, self.schema, self.write, self.rows, self.seconds, self.clock, self.retry = spark, schema, write, rows, seconds, clock, retry
+        self.held: list[tuple] = []
+        self.since = 0.0
+
+    def add(self, row: tuple) -> bool:
+        """True if this row filled a block."""
+        if not self.held:
+            self.since = self.clock()
+        self.held.append(row)
+        return self.tick()
+
+    def tick(self) -> bool:
+        """Writes the block if it is due; for a timer, when no row comes."""
+        due = len(self.held) >= self.rows or (self.held and self.clock() - self.since >= self.seconds)
+        return self.flush() if due else False
+
+    def flush(self) -> bool:
+        if not self.held:
+            return False
+        df, token = self.spark.createDataFrame(self.held, self.schema), uuid.uuid4().hex
+        retried(lambda: self.write(df, token), **self.retry)
+        self.held = []  # only now: a block that couldn't be written is still held
+        return True
 
 
 def refreshed(spark: SparkSession, build: Callable[[], DataFrame], path: str) -> None:
