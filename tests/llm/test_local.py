@@ -161,12 +161,20 @@ def test_allocation(rule):
         n = rng.randint(1, 40)
         tokens = np.array(sorted(rng.sample(range(1, n), rng.randint(0, n - 1))) + [n])
         sections = np.array(sorted(rng.choices(range(0, n + 1), k=rng.randint(0, 4))) + [n])
-        got, crossing = token_counts.allocated(tokens, sections, rule)
+        got, crossing = token_counts.allocated(np.concatenate([[0], tokens[:-1]]), tokens, sections, rule)
         assert got.sum() == pytest.approx(len(tokens)) and (crossing >= 0).all()
-    got, crossing = token_counts.allocated(np.array([3, 5]), np.array([1, 5]), rule)
+    got, crossing = token_counts.allocated(np.array([0, 3]), np.array([3, 5]), np.array([1, 5]), rule)
     assert got.tolist() == pytest.approx({"start": [1, 1], "end": [0, 2], "majority": [0, 2], "split": [1 / 3, 5 / 3]}[rule]) and crossing.tolist() == [1, 1]
 
 
+def test_character_spans():
+    text = "aé😀b"  # bytes 1, 2, 4, 1
+    spans = lambda *widths: list(zip(*(x.tolist() for x in token_counts.character_spans(text, np.array(widths))), strict=True))
+    assert spans(1, 2, 4, 1) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    assert spans(2, 2, 1, 3) == [(0, 2), (1, 3), (2, 3), (2, 4)]  # characters that tokens share
+    assert token_counts.lines("a\nb").tolist() == [2, 3] and token_counts.lines("a\n").tolist() == [2] and token_counts.lines("").tolist() == [0]
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):

@@ -37,7 +37,7 @@ from .words import PLAIN, slices, word_hashes
 U64 = np.uint64
 HALF, SHORT, PIECE = 16, 8, 64
 STOP, LEAST_WORDS = 0.005, 5
-BLOCK_ITEMS, MOST_WORDS = 20_000, 1_000_000
+BLOCK_ITEMS, MOST_WORDS = 20_000, 100_000
 
 
 @dataclass(frozen=True)

@@ -84,9 +84,9 @@ def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 42, id_col: str =
 
 
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write whole documents (unique ids) as one folder a shard, in slot order."""
+    """Write whole documents (unique ids) as one folder a shard; its files are runs of slots, in order, and however few shards there are all tasks write."""
     placed = docs.join(assigned.select(id_col, "shard", "slot"), id_col)
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed.repartitionByRange(partitions_for(docs, 128), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
