@@ -49,7 +49,9 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     of = {k: count(v[buf]) for k, v in KINDS.items()}
     words, at = word_hashes(buf, offsets)
     nw = np.diff(at).astype(float)
-    same = np.concatenate([[0], np.cumsum(np.concatenate([[False], words[1:] == words[:-1]]))]) if len(words) else np.zeros(1, int)
+    again = np.concatenate([[False], words[1:] == words[:-1]])[:len(words)]
+    again[at[:-1][nw > 0]] = False  # a document's first word repeats none of the document before
+    same = np.concatenate([[0], np.cumsum(again)])
     repeats = (same[at[1:]] - same[at[:-1]]).astype(float)
     distinct, top, lines = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n))
     for i in range(len(n)):
