@@ -18,7 +18,10 @@ PASSAGE = 200
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.3 or more; learnt on the labelled documents outside the held-out fold."""
+    """Documents that the classifier scores 0.3 or more; learnt on the labelled documents outside the held-out fold.
+
+    Null and empty texts are scored like any others; without labels every score is 0.5, so all stay; with labels of one
+    class only, that class decides for all; rows without an id and repeated rows are judged by their text."""
     known = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(F.col("label").isin(0, 1))
     stats = saved(quality.with_statistics(docs.where(fold_mod("doc_id", 5) != 0).join(known.select("doc_id"), "doc_id", "left_semi")), "stats")
     model = quality.fit(stats.join(known, "doc_id"))
@@ -26,7 +29,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at a similarity of 0.75; documents without an id stay."""
+    """One document of each group that five-word shingles link at a similarity of 0.75, that of the smallest id.
+
+    Documents without an id, and texts without words, link with nothing and stay; of repeated rows (equal id and text) one
+    stays; rows of one id with different texts are judged each by its own."""
     found = jaccard.linked(docs.select("doc_id", "text"))
     kept = docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source")
@@ -35,21 +41,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later copies of passages of PASSAGE bytes; the first copy stays, n_chars follows."""
+    """Texts without the later copies of passages of PASSAGE bytes; the first copy, by id and place, stays, n_chars follows.
+
+    All rows stay, with a text that may become empty; null texts stay null; rows without an id come after all others;
+    repeated rows of the smallest id keep their text; cuts fall between characters."""
     out = substrings.removed(docs, PASSAGE, keep_first=True, texts=True)
     text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
     return out.select(*[{"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose texts hold no item of the benchmark, with or without an id; rows are told apart by id and text."""
+    """Rows whose texts hold no item of the benchmark, with or without an id; rows are told apart by id and text.
+
+    Null and wordless texts hold nothing and stay, as do all rows if the benchmark is empty; repeated rows go together."""
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     found = leaks.leaked(keyed.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
     return keyed.join(saved(found, "leaked"), "_row", "left_anti").select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, with the digest of the decoded bytes."""
+    """Token ids, with the digest of the decoded bytes. A null text has no tokens; every row gives a row."""
     out = bpe.tokenized(docs, *bpe.rank_file())
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
