@@ -252,3 +252,29 @@ def test_altered_and_moved_partitions(spark, tmp_path, events):
     first = t.partitions(spark)[0]
     t.move(spark, first, cold)
     assert cold.partitions(spark) == [first] and t.read(spark).count() + cold.read(spark).count() == n
+
+
+def test_encodings_shrink_their_columns(spark, tmp_path):
+    series = generators.codec_series(spark, 50_000).coalesce(1)
+    sizes = {}
+    for name, options in (("plain", {}), ("own", tables.encodings(("ts", "duration"), ("temperature",)))):
+        t = Table(str(tmp_path / name), series.schema, options=options)
+        t.append(series)
+        sizes[name] = {r["name"]: r["compressed"] for r in t.columns(spark).collect()}
+        assert t.read(spark).exceptAll(series).count() == 0
+    assert sizes["own"]["ts"] < sizes["plain"]["ts"] / 10 and sizes["own"]["duration"] < sizes["plain"]["duration"]
+
+
+def test_latest_breaks_ties_by_sequence(spark):
+    rows = [(1, 5, 1, "a", False), (1, 5, 2, "b", False), (2, 1, 1, "c", False), (2, 9, 2, "d", True), (3, None, 1, "e", False)]
+    df = spark.createDataFrame(rows, "k int, v int, s int, x string, gone boolean")
+    assert sorted((r["k"], r["x"]) for r in kinds.latest(df, ["k"], "v", "gone", "s").collect()) == [(1, "b"), (3, "e")]
+    assert kinds.latest(df, ["k"], "v", "gone", "s").columns == ["k", "v", "s", "x"]
+
+
+def test_session_info(spark):
+    from tidewell.session import session_info
+
+    spark.conf.set("tidewell.macro.shard", "01")
+    r = session_info(spark).first()
+    assert r["version"].startswith("4.") and r["macros"] == {"shard": "01"} and r["host"]

@@ -5,14 +5,18 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def latest(df: DataFrame, keys: list[str], version: str | Column, deleted: str | None = None, sequence: str | None = None) -> DataFrame:
-    """The row of the greatest version per key (the last ingested on ties, by ``sequence``), less keys whose last row is a deletion."""
-    order = [F.col(version).desc() if isinstance(version, str) else version.desc()] + ([F.col(sequence).desc()] if sequence else [])
-    out = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    """The row of the greatest version per key (the last ingested on ties, by ``sequence``), less keys whose last row is a deletion. Arg-max of whole rows: combined before the shuffle, no sort."""
+    order = F.struct((F.col(version) if isinstance(version, str) else version).alias("v"), *([F.col(sequence).alias("s")] if sequence else []))
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.select(*keys).distinct()
+    own = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    out = own.select(*[F.col(c) if c in keys else F.col(f"_row.`{c}`") for c in df.columns])
     return out.where(~F.coalesce(F.col(deleted).cast("boolean"), F.lit(False))).drop(deleted) if deleted else out
 
 

@@ -25,6 +25,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def session_info(spark: SparkSession) -> DataFrame:
+    """One row: the driver's host, the engine's version, and the session's macros (settings under ``tidewell.macro``)."""
+    macros = {k.removeprefix("tidewell.macro."): v for k, v in spark.conf.getAll.items() if k.startswith("tidewell.macro.")}
+    return spark.createDataFrame([(spark.conf.get("spark.driver.host"), spark.version, macros)], "host string, version string, macros map<string,string>")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path below ``spark.checkpoint.dir``, which a cluster's machines share; a local session without one has its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
