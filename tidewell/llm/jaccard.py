@@ -236,9 +236,14 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    """Links within candidate blocks; a block of more than BLOCK shingles is cut into sub-blocks of which each pair is a task's work."""
+    """Links within candidate blocks. A block of more than BLOCK shingles is first cut into levels of size, of which only neighbours can link, and what is still larger into sub-blocks of which each pair is a task's work."""
     held = sets.join(blocks.withColumnRenamed("node", "id"), "id")
     cuts = held.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("cuts"))
+    if cuts.where("cuts > 1").limit(1).count():
+        level = F.floor(F.log("n") / math.log(100 / percent) + 1e-9)  # linked sets' levels differ by one at most
+        large = held.join(cuts, "component").withColumn("level", F.explode(F.when(F.col("cuts") > 1, F.array(level, level - 1)).otherwise(F.array(F.lit(0)))))
+        held = large.withColumn("component", F.when(F.col("cuts") > 1, F.xxhash64("component", "level")).otherwise(F.col("component"))).drop("cuts", "level")
+        cuts = held.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("cuts"))
     cut = held.join(cuts, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
     pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     lean = pairs.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "shingles")
