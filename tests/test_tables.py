@@ -278,3 +278,17 @@ def test_session_info(spark):
     spark.conf.set("tidewell.macro.shard", "01")
     r = session_info(spark).first()
     assert r["version"].startswith("4.") and r["macros"] == {"shard": "01"} and r["host"]
+
+
+def test_set_index_rules_files_out(spark, tmp_path, events):
+    path = str(tmp_path / "t")
+    events.repartitionByRange(6, "country").write.parquet(path)
+    tables.set_index(spark, path, "country", 3)
+    got = tables.read_indexed(spark, path, "country", "DE")
+    assert got.count() == events.where("country = 'DE'").count() and len(got.inputFiles()) < 6
+    assert tables.read_indexed(spark, path, "country", "none").count() == 0
+    tables.set_index(spark, path, "url", 3)  # too many values: no file is ruled out
+    url = events.first()["url"]
+    assert tables.read_indexed(spark, path, "url", url).count() == events.where(F.col("url") == url).count()
+    events.limit(5).withColumn("country", F.lit("DE")).write.mode("append").parquet(path)
+    assert tables.read_indexed(spark, path, "country", "DE").count() == events.where("country = 'DE'").count() + 5

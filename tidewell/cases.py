@@ -479,6 +479,12 @@ def q_health_space(spark: SparkSession, d: str) -> DataFrame:
 # -- scalars and states
 
 
+@case(_E + "SELECT tenant_id, count(*) AS rows, 1::BIGINT AS shards, true AS in_range FROM e GROUP BY tenant_id")
+def q_shard_of_tenant(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d).withColumn("shard", X.shard_number("tenant_id", 4))
+    return e.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("shard").alias("shards"), F.bool_and(F.col("shard").between(1, 4)).alias("in_range"))
+
+
 @case("SELECT s_suppkey, s_suppkey * 1000.0::DOUBLE * 40.0::DOUBLE * 30 * 2 * 1.3::DOUBLE AS bytes FROM supplier")
 def q_capacity(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "supplier").select("s_suppkey", X.capacity_bytes(F.col("s_suppkey") * 1000.0, F.lit(40.0), F.lit(30), F.lit(2)).alias("bytes"))
@@ -737,6 +743,26 @@ def q_bucketed(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, [tuple(r) for r in rows], "o_custkey long, orders long", root)
 
 
+@case("SELECT 'one' AS read, o_orderkey FROM orders WHERE o_custkey = 3 UNION ALL SELECT 'shard folders', 1 UNION ALL SELECT 'all', count(*) FROM orders")
+def q_sharded_table(spark: SparkSession, d: str) -> DataFrame:
+    root = scratch(spark, "sharded")
+    tables.write_sharded(_orders(spark, d), root, "o_custkey", 4)
+    one = tables.read_sharded(spark, root, "o_custkey", 4, 3)
+    folders = {f.split("shard=")[1][0] for f in one.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
+    rows = [("one", r["o_orderkey"]) for r in one.collect()] + [("shard folders", len(folders)), ("all", tables.read_sharded(spark, root, "o_custkey", 4).count())]
+    return _rows(spark, rows, "read string, o_orderkey long", root)
+
+
+@case("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (7, 11)")
+def q_set_index(spark: SparkSession, d: str) -> DataFrame:
+    root = scratch(spark, "indexed")
+    own = read_table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    own.repartitionByRange(8, "o_custkey").write.parquet(f"{root}/t")
+    tables.set_index(spark, f"{root}/t", "o_custkey", 150)
+    rows = [tuple(r) for k in (7, 11) for r in tables.read_indexed(spark, f"{root}/t", "o_custkey", k).collect()]
+    return _rows(spark, rows, "o_orderkey long, o_custkey long", root)
+
+
 @case("SELECT host, count(*) AS n FROM (SELECT CASE r_regionkey % 2 WHEN 0 THEN 'a' ELSE 'b' END AS host FROM region) GROUP BY 1")
 def q_gathered_copies(spark: SparkSession, d: str) -> DataFrame:
     r = read_table(spark, d, "region")

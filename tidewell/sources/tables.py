@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.scalars import readable_size, yyyymm
+from ..functions.scalars import readable_size, shard_number, yyyymm
 from ..plans.queries import tagged
 from .files import Files
 
@@ -198,6 +198,39 @@ def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, order: tupl
     (out.option("path", path) if path else out).bucketBy(buckets, key).sortBy(key, *[c for c in order if c != key]).format("parquet").saveAsTable(name)
 
 
+def write_sharded(df: DataFrame, path: str, key: str, shards: int) -> None:
+    """Appends each row to its shard's folder, by a hash of the key; large shards in several files."""
+    df.withColumn("shard", shard_number(key, shards)).hint("rebalance", "shard").write.mode("append").partitionBy("shard").parquet(path)
+
+
+def read_sharded(spark: SparkSession, path: str, key: str, shards: int, equal_to: object = None) -> DataFrame:
+    """All shards as one table; for one key only its shard's folder is read."""
+    df = spark.read.parquet(path)
+    if equal_to is not None:
+        value = F.lit(equal_to).cast(df.schema[key].dataType)
+        df = df.where((F.col("shard") == shard_number(value, shards)) & (F.col(key) == value))
+    return df.drop("shard")
+
+
+def set_index(spark: SparkSession, path: str, column: str, most: int) -> None:
+    """An index beside a table's files: each file's distinct values of a column, null for files that have more than ``most``."""
+    place, seen = F.input_file_name(), F.col(column)
+    held = spark.read.parquet(path).select(place.alias("file"), seen.alias("v")).distinct()
+    counts = held.groupBy("file").agg(F.count("v").alias("n"))
+    few = held.join(counts.where(F.col("n") <= most), "file").groupBy("file").agg(F.collect_set("v").alias("held"))  # at most ``most`` a file
+    counts.select("file").join(few, "file", "left").write.mode("overwrite").parquet(f"{path}_index/{column}")
+
+
+def read_indexed(spark: SparkSession, path: str, column: str, value: object) -> DataFrame:
+    """Rows of one value, from the files that the index doesn't rule out; files written since the index was count as not ruled out."""
+    files = Files(spark, path)
+    index = spark.read.parquet(f"{path}_index/{column}")
+    known = {files.qualified(r["file"]): r["may"] for r in index.select("file", (F.col("held").isNull() | F.array_contains("held", F.lit(value))).alias("may")).toLocalIterator()}
+    chosen = [i.path for i in files.listed(path, ".parquet") if known.get(i.path, True)]
+    whole = spark.read.parquet(path)
+    return (spark.read.schema(whole.schema).option("basePath", path).parquet(*chosen) if chosen else whole.limit(0)).where(F.col(column) == F.lit(value))
+
+
 def gathered_copies(copies: dict[str, DataFrame]) -> DataFrame:
     """All nodes' copies of a relation as one, with the node each row comes from."""
     from functools import reduce
