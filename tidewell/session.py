@@ -34,7 +34,8 @@ def session_info(spark: SparkSession) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path below ``spark.checkpoint.dir``, which a cluster's machines share; a local session without one has its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not root and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(root or tempfile.gettempdir() + '/checkpoints').rstrip('/')}/tidewell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
