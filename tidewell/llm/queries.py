@@ -58,4 +58,16 @@ SQL = {
                (SELECT min(other) FROM reach r WHERE r.vec_id = v.vec_id) AS component_id,
                v.vec_id = (SELECT min(other) FROM reach r WHERE r.vec_id = v.vec_id) AS kept
         FROM v""",
+    "op9_ngram_jaccard": r"""
+        WITH RECURSIVE
+        w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS meet FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS MATERIALIZED (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * meet >= 75 * (x.n + y.n - meet)),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.v FROM reach r JOIN links l ON l.u = r.other),
+        c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.doc_id = d.doc_id""",
 }
