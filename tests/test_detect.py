@@ -44,6 +44,17 @@ def test_findings_equal_plain_rule(found):
     assert rows[len(CASES)]["findings"] == []
 
 
+def test_emails_in_long_runs_and_next_to_each_other(spark):
+    import time
+
+    texts = ["a@b.com_x@y.org z@w.io@v.io", "x" * 300_000 + " me@x.io", "a.b" * 100_000 + "@c.de", "me@x.ioé_y@z.co"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    began = time.time()
+    got = {r["id"]: [(f["type"], f["start"], f["end"]) for f in r["findings"]] for r in detect.with_findings(df).collect()}
+    assert time.time() - began < 20
+    assert got == {i: greedy(t) for i, t in enumerate(texts) if i != 1} | {1: [("pii.email", 300_001, 300_008)]}
+
+
 def test_redact_and_restore(found):
     out = {r["id"]: r for r in redact.redacted(found).withColumn("back", redact.restored("redacted_text", "vault")).collect()}
     assert out[0]["redacted_text"].count("[EMAIL_1]") == 2 and "[PHONE_1]" in out[0]["redacted_text"] and "[EMAIL_2]" not in out[0]["redacted_text"]

@@ -113,7 +113,19 @@ def luhn(value: Column) -> Column:
 
 def match_counts(text: Column | str) -> dict[str, Column]:
     """Raw matches of each pattern, before checks and overlaps."""
-    return {t: F.regexp_count(text, F.lit(ascii_boundaries(p))) for t, p in PATTERNS.items()}
+    return {t: F.regexp_count(text, F.lit(as_run(t, p))) for t, p in PATTERNS.items()}
+
+
+def as_run(kind: str, pattern: str) -> str:
+    """The pattern with the same matches, for an engine that backtracks: where it can begin is seen at once, and a run of an email's local characters is read once, from its first or from where the match before ended, however long it is."""
+    full = ascii_boundaries(pattern)
+    if pattern != PATTERNS.get(kind):
+        return full
+    first = GUARDS[kind][1]
+    if kind == "pii.email":
+        local, rest = full.split("+@")
+        return rf"(?:(?<!{local})|\G){local}++@{rest}"
+    return (f"(?=[{first}])" if first else "") + full
 
 
 def _typed(spans: Column, kind: str) -> Column:
@@ -130,11 +142,8 @@ def with_findings(df: DataFrame, text: str = "text", patterns: Mapping[str, str]
     t = F.coalesce(F.col(text), F.lit(""))
     full, guards = {}, {}
     for i, (kind, p) in enumerate(patterns.items()):
-        guard, first = GUARDS[kind] if p == PATTERNS.get(kind) else (lambda t, p=p: t.rlike(ascii_boundaries(p)), None)
-        full[kind] = (f"(?=[{first}])" if first else "") + ascii_boundaries(p)
-        guards[f"_g{i}"] = guard(t)
-    if patterns.get("pii.email") == PATTERNS["pii.email"]:
-        full["pii.email"] = full["pii.email"].replace("+@", "++@")  # what precedes @ never holds one, so nothing is tried again
+        full[kind] = as_run(kind, p)
+        guards[f"_g{i}"] = GUARDS[kind][0](t) if p == PATTERNS.get(kind) else t.rlike(full[kind])
     cols = {}
     for i, p in enumerate(full.values()):
         cols[f"_p{i}"], cols[f"_h{i}"] = F.when(F.col(f"_g{i}"), F.split(t, p, -1)), F.when(F.col(f"_g{i}"), F.regexp_extract_all(t, F.lit(p), 0))

@@ -16,6 +16,7 @@ from ..functions.spans import barrier
 from .detect import SOURCES
 from .policy_checks import FIELDS, unmet, violations
 
+
 @dataclass(frozen=True)
 class Condition:
     field: str
