@@ -327,11 +327,14 @@ def _searched(docs: DataFrame, items: list, vocabulary: Vocabulary, project: np.
                 y = added(project[known], half_of(place, at, first), int(first[-1]) + 1)
                 p = y[:-1] + y[1:]
                 p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
-                for b in range(0, len(p), 8192):
-                    c = p[b:b + 8192] @ q.T
+                some = np.flatnonzero(p.any(1))  # the others hold no word of the retrieval: cosine 0
+                for b in range(0, len(some), 8192):
+                    own = some[b:b + 8192]
+                    c = p[own] @ q.T
                     x, k = np.nonzero(c >= rule.cosine)
-                    doc = np.searchsorted(first, x + b, "right") - 1
-                    for w, d, item in zip((x + b).tolist(), doc.tolist(), owner[k].tolist(), strict=True):
+                    w = own[x]
+                    doc = np.searchsorted(first, w, "right") - 1
+                    for w, d, item in zip(w.tolist(), doc.tolist(), owner[k].tolist(), strict=True):
                         if w + 1 < first[d + 1]:
                             n, h = len(items[item][1]), (w - int(first[d])) * HALF
                             regions.setdefault((d, item), []).append((h - n, h + 2 * HALF + n))
