@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
+from .centroids import op11_exact_centroids
 from .chat import op1_chat_format
 from .jaccard import op9_ngram_jaccard
 from .leaks import op8_latent_leaks
 from .quality import op6_quality_qda
 from .sharding import op10_feistel_shards
+from .spelling import op12_parity_variants
 from .substrings import op4_suffix_dedup
 from .suffix_tree import op2_suffix_tree_lm
 from .token_counts import op5_section_tokens
 from .vectors import op3_ego_near_dedup
+from .word_bpe import op13_speculative_bpe
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
@@ -24,8 +27,26 @@ QUERIES = {
     "op8_latent_leaks": op8_latent_leaks,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_feistel_shards": op10_feistel_shards,
+    "op11_exact_centroids": op11_exact_centroids,
+    "op12_parity_variants": op12_parity_variants,
+    "op13_speculative_bpe": op13_speculative_bpe,
 }
 
+
+def _centroid_rounds(rounds: int) -> str:
+    """The CTEs of the rounds: assignments a<i> from centroids c<i>, from which c<i+1> follows."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""
+        a{i} AS MATERIALIZED (SELECT id, min_by(c, (d, c)) AS c, min(d) AS d FROM (
+            SELECT x.id, c.c, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{i} c ON c.i = x.i GROUP BY 1, 2) GROUP BY id)""")
+        if i < rounds:
+            out.append(f"""
+        m{i} AS (SELECT a.c, x.i, sum(x.v) AS s, count(*)::HUGEINT AS n FROM a{i} a JOIN x ON x.id = a.id GROUP BY 1, 2),
+        c{i + 1} AS MATERIALIZED (SELECT c.c, c.i, CASE WHEN m.n IS NULL THEN c.v ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS v FROM c{i} c LEFT JOIN m{i} m ON m.c = c.c AND m.i = c.i)""")
+    return ",".join(out)
+
+
 SQL = {
     "op1_chat_format": r"""
         WITH t AS (
@@ -70,4 +91,38 @@ SQL = {
         reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.v FROM reach r JOIN links l ON l.u = r.other),
         c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.doc_id = d.doc_id""",
+    "op11_exact_centroids": f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::HUGEINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+        x AS MATERIALIZED (SELECT id, unnest(range(1, 65)) AS i, unnest(v) AS v FROM kept),
+        first AS (SELECT id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM kept QUALIFY c < 8),
+        c0 AS MATERIALIZED (SELECT f.c, x.i, x.v FROM first f JOIN x ON x.id = f.id),{_centroid_rounds(10)},
+        h AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS sha FROM c10 GROUP BY c)
+        SELECT vec_id, a.c::INT AS cluster, a.d::BIGINT AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+               (sum(a.d) OVER ())::BIGINT AS inertia, h.sha AS centroid_sha256
+        FROM a10 a JOIN kept ON kept.id = a.id JOIN h ON h.c = a.c""",
+    "op12_parity_variants": r"""
+        WITH RECURSIVE
+        steps AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS t),
+        runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+        each AS MATERIALIZED (SELECT doc_id, run, count(*) AS times FROM runs GROUP BY 1, 2),
+        coded AS (SELECT run, times, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+                      lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [(192 | (ord(c) >> 6))::BIGINT, (128 | (ord(c) & 63))::BIGINT] END)) AS bytes FROM each),
+        summed AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295, bytes), lambda r, b: xor(r >> 8, t[(xor(r, b) & 255) + 1])), 4294967295) AS h FROM coded, steps),
+        w AS MATERIALIZED (
+            SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(times)::BIGINT AS n
+            FROM summed GROUP BY 1 HAVING length(word) >= 6 AND sum(times) >= 5),
+        cut AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+        near AS MATERIALIZED (
+            SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT c.word, w.word, w.n FROM cut c JOIN w ON w.word = c.rest
+            UNION SELECT w.word, c.word, c.n FROM cut c JOIN w ON w.word = c.rest),
+        best AS (SELECT word, count(*) AS n_near, min((-m, encode(other), other)) AS b FROM near GROUP BY word),
+        forms AS MATERIALIZED (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 5 * w.n THEN b[3] END AS form, CASE WHEN -b[1] >= 5 * w.n THEN -b[1] END AS form_n
+            FROM w LEFT JOIN best ON best.word = w.word),
+        path(word, last) AS (SELECT word, word FROM forms UNION ALL SELECT p.word, f.form FROM path p JOIN forms f ON f.word = p.last WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, p.last AS root, f.n, f.n_near, f.form_n::BIGINT AS form_n
+        FROM forms f JOIN path p ON p.word = f.word JOIN forms l ON l.word = p.last WHERE l.form IS NULL""",
 }
