@@ -1,11 +1,11 @@
 """Spelling variants of a corpus' words by letter-parity bitmasks.
 
 A word's mask has a bit a letter, set where the letter occurs an odd number of times. An edit of one letter flips one bit
-(insertion, deletion) or two (replacement), so of three bands of the mask at least one stays as it is: words that share a band
-and lie at most one letter apart in length meet in a join, whose condition counts the differing bits and then verifies the
-edit. A group of words with one band's value and length that is larger than GROUP is cut again by the same argument, as its
-words still differ in two of the remaining bits at most: those bits are split into three bands too, up to LEVELS times, when
-the key holds 63 of the 90 bits. What is large then, a vocabulary of few letters, meets as it is. Only near pairs leave the
+(insertion, deletion) or two (replacement). So of three bands of the mask at least one stays as it is for words of one length,
+and two do for words whose lengths differ by one: words that share them, and lengths that fit, meet in a join whose condition
+counts the differing bits and then verifies the edit. A group of words with one band's value and length that is larger than
+GROUP is cut again by the same argument, as its words still differ in two of the remaining bits at most: those bits are split
+into three bands too, up to LEVELS times, when the key holds 63 of the 90 bits. What is large then, a vocabulary of few letters, meets as it is. Only near pairs leave the
 join. All of it is DataFrame functions.
 
 Defined cases: null and empty texts have no words, rows without an id use the empty id in the checksum, repeated rows count
@@ -85,30 +85,45 @@ class Bands:
 KEY = ["path", "key_low", "key_high", "at"]
 
 
+def _keyed(rows: DataFrame, fixed: Column) -> DataFrame:
+    """rows once for each of ``fixed`` (array of path, of_low, of_high), with the mask's bits there as the key."""
+    out = rows.select(*[c for c in rows.columns if c != "path"], F.explode(fixed).alias("c"))
+    return out.select("*", "c.path", F.col("low").bitwiseAND(F.col("c.of_low")).alias("key_low"), F.col("high").bitwiseAND(F.col("c.of_high")).alias("key_high")).drop("c")
+
+
+def _met(left: DataFrame, right: DataFrame, flips: int, ordered: bool) -> DataFrame:
+    """(a, n_a, b, n_b): near pairs of rows that share their key. Bits are counted before any letter is looked at."""
+    x = left.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
+    y = right.select(*KEY, F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    flipped = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b")))
+    once = [F.col("a") < F.col("b")] if ordered else []
+    return x.join(y, [*[x[f"_{k}"] == y[k] for k in KEY], flipped <= flips, *once, F.levenshtein(F.col("a"), F.col("b"), 1) == 1]).select("a", "n_a", "b", "n_b")
+
+
+def _longer(rows: DataFrame) -> DataFrame:
+    """Near pairs of which b is a letter longer: one bit differs, so two of three bands are the same."""
+    bands = [BITS[j::3] for j in range(3)]
+    fixed = F.array(*[F.struct(F.lit(j).alias("path"), *[F.lit(m).cast("long").alias(c) for c, m in zip(("of_low", "of_high"), _mask([b for i, band in enumerate(bands) if i != j for b in band]), strict=True)]) for j in range(3)])
+    return _met(_keyed(rows.withColumn("at", F.col("size")), fixed), _keyed(rows.withColumn("at", F.col("size") - 1), fixed), 1, False)
+
+
 def near_pairs(words: DataFrame, group: int | None = None) -> DataFrame:
     """(a, n_a, b, n_b) for every two of the distinct ``words`` (word, n) that are one inserted, deleted or replaced code point apart, once each."""
     group = group or GROUP
-    rows = masked(words)
-    sides = F.array(*[F.struct(F.lit(right).alias("right"), (F.col("size") - less).alias("at")) for right, less in ((False, 0), (True, 0), (True, 1))])  # the left one is the shorter, or both are of a size
-    now = saved(rows.select("*", F.explode(sides).alias("side")).select("word", "n", "size", "low", "high", "side.*", F.lit(0).alias("path")), "sides")
-    bands, found, used = Bands.start(), None, [now]
+    rows = saved(masked(words), "masks")
+    found, used = saved(_longer(rows), "pairs"), [rows]
+    used.append(found)
+    now, bands = rows.withColumn("at", F.col("size")).withColumn("path", F.lit(0)), Bands.start()
     for level in range(1, LEVELS + 1):
         bands = bands.below()
-        dealt = now.select(*[c for c in now.columns if c != "path"], F.explode(bands.children()).alias("c")).select("*", "c.path", F.col("low").bitwiseAND(F.col("c.of_low")).alias("key_low"), F.col("high").bitwiseAND(F.col("c.of_high")).alias("key_high")).drop("c")
-        sizes = dealt.groupBy(*KEY).agg(F.count_if(~F.col("right")).alias("lefts"), F.count_if("right").alias("rights"))
-        paired = sizes.where((F.col("lefts") > 0) & (F.col("rights") > 0)).select(*KEY, ((F.col("lefts") + F.col("rights") > group) & F.lit(level < LEVELS)).alias("large"))
-        dealt = saved(dealt.join(paired, KEY), "bands")
-        used.append(dealt)
+        dealt = _keyed(now, bands.children())
+        sizes = dealt.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        dealt = saved(dealt.join(sizes.select(*KEY, ((F.col("rows") > group) & F.lit(level < LEVELS)).alias("large")), KEY), "bands")
         small = dealt.where(~F.col("large"))
-        left = small.where(~F.col("right")).select(*KEY, F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("size").alias("size_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
-        right = small.where("right").select(*KEY, F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("size").alias("size_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-        flipped = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b")))
-        once = (F.col("size_a") < F.col("size_b")) | (F.col("a") < F.col("b"))
-        met = [left[k] == right[k] for k in KEY]
-        pairs = saved(left.join(right, [*met, once, flipped <= 2, F.levenshtein(F.col("a"), F.col("b"), 1) == 1]).select("a", "n_a", "b", "n_b"), "pairs")
-        used.append(pairs)
-        found = pairs if found is None else found.unionByName(pairs)
-        now = dealt.where("large").select("word", "n", "size", "low", "high", "right", "at", "path")
+        pairs = saved(_met(small, small, 2, True), "pairs")
+        used += [dealt, pairs]
+        found = found.unionByName(pairs)
+        now = dealt.where("large").select("word", "n", "size", "low", "high", "at", "path")
         if now.isEmpty():
             break
     out = saved(found.distinct(), "near")
