@@ -8,9 +8,9 @@ import duckdb
 import pytest
 import xxhash
 
-from tidewell import cases, queries
+from tidewell import cases, queries, whole
 
-QUERIES, SQL = queries.QUERIES | cases.QUERIES, queries.SQL | cases.SQL
+QUERIES, SQL = queries.QUERIES | cases.QUERIES | whole.QUERIES, queries.SQL | cases.SQL | whole.SQL
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

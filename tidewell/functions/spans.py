@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,17 +15,42 @@ def barrier(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once for each row, however often and deep inside lambdas it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+#: Spans that one fold copies with each step; longer arrays go in blocks of so many.
+BLOCK = 128
+
+
 def located(parts: Column, hits: Column) -> Column:
-    """array<struct<start, end, value>> in characters from a text split at its matches and the matches themselves."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    """array<struct<start, end, value, byte_start, byte_end>> from a text split at its matches and the matches themselves, in characters and UTF-8 bytes. Blocks of matches begin where the lengths before them end, so that the work is about linear."""
+    none = F.array().cast("array<struct<start:int,end:int,value:string,byte_start:int,byte_end:int>>")
     pairs = F.arrays_zip(F.slice(parts, 1, F.greatest(F.size(hits), F.lit(1))).alias("gap"), hits.alias("hit"))
 
+    def place(chars: Column, octets: Column) -> Column:
+        return F.struct(chars.alias("at"), octets.alias("byte"))
+
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("out"))
+        start, byte = acc["at"] + F.char_length(x["gap"]), acc["byte"] + F.octet_length(x["gap"])
+        end, byte_end = start + F.char_length(x["hit"]), byte + F.octet_length(x["hit"])
+        own = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), byte.alias("byte_start"), byte_end.alias("byte_end"))
+        return F.struct(end.alias("at"), byte_end.alias("byte"), F.concat(acc["out"], F.array(own)).alias("out"))
+
+    def block(own: Column, at: Column) -> Column:
+        return F.aggregate(own, F.struct(at["at"].alias("at"), at["byte"].alias("byte"), none.alias("out")), step, lambda a: a["out"])
 
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, empty, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    def long(own: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / BLOCK).cast("int")), lambda i: F.slice(own, i * BLOCK + 1, F.lit(BLOCK)))
+        return bound(cut, begun)
+
+    def begun(cut: Column) -> Column:
+        sizes = F.transform(cut, lambda c: F.aggregate(c, place(F.lit(0), F.lit(0)), lambda n, x: place(n["at"] + F.char_length(x["gap"]) + F.char_length(x["hit"]), n["byte"] + F.octet_length(x["gap"]) + F.octet_length(x["hit"]))))
+        starts = F.aggregate(sizes, F.array(place(F.lit(0), F.lit(0))), lambda acc, n: F.concat(acc, F.array(place(F.element_at(acc, -1)["at"] + n["at"], F.element_at(acc, -1)["byte"] + n["byte"]))))
+        return F.flatten(F.transform(F.arrays_zip(cut.alias("c"), F.slice(starts, 1, F.size(cut)).alias("at")), lambda x: block(x["c"], x["at"])))
+
+    return F.when(F.size(hits) > BLOCK, bound(pairs, long)).when(F.size(hits) > 0, block(pairs, place(F.lit(0), F.lit(0)))).otherwise(none)
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -32,8 +59,26 @@ def overlaps(a: Column, b: Column) -> Column:
 
 
 def accepted(candidates: Column, kind: str) -> Column:
-    """Greedy fold in the array's order: a span that overlaps an accepted one goes, and nothing is looked for again."""
-    return F.aggregate(candidates, F.array().cast(f"array<{kind}>"), lambda acc, x: F.when(F.exists(acc, lambda y: overlaps(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+    """Greedy fold in the array's order: a span that overlaps an accepted one goes, and nothing is looked for again. Long arrays go in blocks: the accepted spans lie sorted by place, where a search by halves finds the only one that a candidate can overlap."""
+
+    def fold(spans: Column, kind: str) -> Column:
+        return F.aggregate(spans, F.array().cast(f"array<{kind}>"), lambda acc, x: F.when(F.exists(acc, lambda y: overlaps(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+
+    place = "struct<start:int,end:int,i:int>"
+
+    def meets(kept: Column, x: Column) -> Column:
+        """Whether the last kept span that begins before x's end reaches beyond x's start."""
+        steps = F.array(*[F.lit(1 << k) for k in range(27, -1, -1)])
+        last = F.aggregate(steps, F.lit(0), lambda at, n: F.when((at + n <= F.size(kept)) & (F.get(kept, at + n - 1)["start"] < x["end"]), at + n).otherwise(at))
+        return F.coalesce(F.get(kept, last - 1)["end"] > x["start"], F.lit(False))
+
+    def step(kept: Column, i: Column) -> Column:
+        own = F.transform(F.slice(candidates, i * BLOCK + 1, F.lit(BLOCK)), lambda x, j: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), (i * BLOCK + j).alias("i")))
+        return F.array_sort(F.concat(kept, fold(F.filter(own, lambda x: ~meets(kept, x)), place)))
+
+    kept = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(candidates) - 1) / BLOCK).cast("int")), F.array().cast(f"array<{place}>"), step)
+    long = F.transform(F.array_sort(F.transform(kept, lambda x: x["i"])), lambda i: F.get(candidates, i))
+    return F.when(F.size(candidates) > BLOCK, long).otherwise(fold(candidates, kind))
 
 
 def by_score_then_length(spans: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ascii_boundaries, byte_offset, literal_matches, mapped, passes_threshold
+from ..functions.scalars import ascii_boundaries, literal_matches, mapped, passes_threshold
 from ..functions.spans import accepted, barrier, by_length_stable, by_score_stable, by_score_then_length, by_start, large_chunks, located, rebased
 
 # The detectors in order of priority.
@@ -103,6 +103,7 @@ GUARDS: dict[str, tuple[Callable[[Column], Column], str | None]] = {
 
 FINDING = "struct<id:string,type:string,start:int,end:int,byte_start:int,byte_end:int,value:string>"
 SPAN = "struct<type:string,start:int,end:int,value:string>"
+PLACED = "struct<type:string,start:int,end:int,byte_start:int,byte_end:int,value:string>"
 
 
 def luhn(value: Column) -> Column:
@@ -132,6 +133,10 @@ def _typed(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("type"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
 
 
+def _placed(spans: Column, kind: str) -> Column:
+    return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("type"), *[x[n].alias(n) for n in ("start", "end", "byte_start", "byte_end", "value")]))
+
+
 def _checked(spans: Column, check: Callable[[Column], Column]) -> Column:
     return F.filter(spans, lambda x: check(x["value"]))
 
@@ -150,12 +155,12 @@ def with_findings(df: DataFrame, text: str = "text", patterns: Mapping[str, str]
     cut = barrier(barrier(df, **guards), **cols)
     spans = []
     for i, kind in enumerate(full):
-        hits = _typed(located(F.coalesce(F.col(f"_p{i}"), F.array()), F.coalesce(F.col(f"_h{i}"), F.array())), kind)
+        hits = _placed(located(F.coalesce(F.col(f"_p{i}"), F.array()), F.coalesce(F.col(f"_h{i}"), F.array())), kind)
         check = valid.get(kind)
         spans.append(hits if check is None else _checked(hits, check))
     found = barrier(cut, _found=F.concat(*spans))
-    kept = barrier(found, _kept=accepted(F.col("_found"), SPAN))
-    findings = F.transform(F.col("_kept"), lambda x, i: F.struct(F.concat(F.lit("f"), (i + 1).cast("string")).alias("id"), x["type"].alias("type"), x["start"].alias("start"), x["end"].alias("end"), byte_offset(t, x["start"]).alias("byte_start"), byte_offset(t, x["end"]).alias("byte_end"), x["value"].alias("value")))
+    kept = barrier(found, _kept=accepted(F.col("_found"), PLACED))
+    findings = F.transform(F.col("_kept"), lambda x, i: F.struct(F.concat(F.lit("f"), (i + 1).cast("string")).alias("id"), x["type"].alias("type"), x["start"].alias("start"), x["end"].alias("end"), x["byte_start"].alias("byte_start"), x["byte_end"].alias("byte_end"), x["value"].alias("value")))
     return kept.select(*df.columns, findings.cast(f"array<{FINDING}>").alias("findings"))
 
 
@@ -269,3 +274,24 @@ def grounded_entities(df: DataFrame, entities: str = "entities", text: str = "te
 
     step = barrier(df, _spans=run(F.col(text), F.col(entities)))
     return barrier(step, _kept=accepted(by_length_stable(F.col("_spans")), SPAN)).select(*df.columns, by_start(F.col("_kept")).alias("findings"))
+
+
+def grounded_in_chunks(df: DataFrame, key: str, namer: Callable[[str], list[tuple[str, str]]], text: str = "text") -> DataFrame:
+    """(key, error, findings): a model names (label, value) in each chunk of a text; the distinct ones of all its chunks are
+    looked for in the whole text, longest first where they overlap. One bad chunk fails its row, which then has no findings.
+    Keys are distinct."""
+
+    @F.pandas_udf("struct<error:string,named:array<struct<label:string,value:string>>>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in s:
+            try:
+                rows.append((None, [{"label": label, "value": value} for label, value in namer(t)] if t else []))
+            except Exception as e:  # the row fails closed
+                rows.append((type(e).__name__, []))
+        return pd.DataFrame(rows, columns=["error", "named"])
+
+    chunks = df.select(key, F.explode(F.transform(large_chunks(F.col(text)), lambda c: c["chunk"])).alias("_chunk"))
+    named = barrier(chunks, _d=run(F.col("_chunk"))).groupBy(F.col(key).alias("_key")).agg(F.max("_d.error").alias("error"), F.array_distinct(F.flatten(F.collect_set("_d.named"))).alias("_named"))
+    met = df.select(key, text).join(named, F.col(key) == F.col("_key"), "left").withColumn("_named", F.when(F.col("error").isNull(), F.array_sort(F.coalesce("_named", F.array()))).otherwise(F.array()))
+    return grounded_entities(met, "_named", text).select(key, "error", "findings")

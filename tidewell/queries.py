@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as X
 from .functions import states
-from .operators import detect, evidence, kinds, policy, redact
+from .operators import detect, evidence, kinds, policy, ranks, redact
 from .plans.queries import parameterised, time_filter
 from .session import read_table
 from .sources import generators
@@ -98,7 +98,7 @@ def q_parts_pressure_shape(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_kth_value_offset(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy("o_totalprice", "o_orderkey").offset(1000).limit(1)
+    return ranks.kth_row(read_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 1000, ["o_totalprice", "o_orderkey"])
 
 
 def q_counts_min_max(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +176,7 @@ def q_uniq_hll(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_p95_exact(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).groupBy("event_type").agg(F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    return ranks.percentiles(_events(spark, d), ["event_type"], "value", {"p95": 0.95}).select("event_type", F.round("p95", 6).alias("p95"))
 
 
 def q_ttl_delete(spark: SparkSession, d: str) -> DataFrame:
