@@ -608,3 +608,49 @@ def test_stages_equal_brute_force(spark):
     bad = {i for i, t, *_ in rows if any(holds(plain(t), b) for b in benchmark)}
     kept = {r["doc_id"] for r in C.decontaminated(spark, docs, d).collect()}
     assert bad == {18} and kept == set(range(len(texts))) - bad
+
+
+def test_near_duplicates_of_one_id(spark):
+    """A row that shares its id with a kept text, but is itself a copy of a smaller id's, goes; no column but id and text is needed."""
+    import corpus_pipeline as C
+
+    rng = random.Random(8)
+    a, b = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(80)) for _ in range(2))
+    rows = [(1, a), (5, a + " tail"), (5, b), (5, b), (7, b + " tail"), (None, a), (9, "")]
+    got = C.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame([(1, a), (5, b), (None, a), (9, "")], "doc_id long, text string").collect()))
+
+
+def test_latent_search_alone_finds_what_the_exact_mode_does(spark):
+    """Whole and reworded items, 300 of them: the cosine's gate loses none that the rarest words would bring."""
+    rng = random.Random(21)
+    vocab = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    prose = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [prose(rng.randint(8, 70)) for _ in range(300)]
+    rows = []
+    for i, item in enumerate(items):
+        own = [w if rng.random() > rng.choice([0, 0.1, 0.25]) else rng.choice(vocab) for w in item]
+        rows.append((i, " ".join([*prose(rng.randint(0, 90)), *own, *prose(rng.randint(0, 90))])))
+    rows += [(1000 + i, " ".join(prose(200))) for i in range(60)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    pairs = [{(r["doc_id"], r["item_id"]) for r in leaks.leaked(docs, bench, rule).collect()} for rule in (leaks.Rule(), leaks.Rule(cosine=2.0, exact=True))]
+    assert len(pairs[1]) >= 200
+    assert pairs[0] == pairs[1]
+
+
+def test_bound_never_rules_out_an_accepted_place():
+    rng = np.random.default_rng(6)
+    own = [rng.integers(0, 400, n).astype(np.uint64) for n in (3, 8, 16, 17, 40, 700)]
+    vocabulary = leaks.Vocabulary(np.concatenate(own))
+    rule = leaks.Rule()
+    bound = leaks.Bound(own, vocabulary, rule)
+    for _ in range(40):
+        k = int(rng.integers(0, len(own)))
+        text = np.concatenate([rng.integers(0, 2000, int(rng.integers(0, 90))), own[k], rng.integers(0, 2000, int(rng.integers(0, 90)))]).astype(np.uint64)
+        place, ids = vocabulary.ids(text)
+        halves = bound.set(place // leaks.HALF, ids, -(-len(text) // leaks.HALF) + 1)
+        for w in range(len(halves) - 1):
+            h, n = w * leaks.HALF, len(own[k])
+            near = text[max(0, h - n):h + 2 * leaks.HALF + n]
+            if leaks.best_place(own[k], own[k][-6:], near, rule)[0]:
+                assert bound.possible(halves, np.array([w]), np.array([k])).all()

@@ -7,8 +7,10 @@ give the leading right singular vectors (Nystroem form). In a third pass every p
 space with every benchmark item, and candidates are checked where they are found: the longest common subsequence of words and
 the share of the item's answer, in places of at most twice the item's words.
 
-No cosine of a fixed rank is low enough for all that the check accepts, so the latent space never rules a pair out: places
-that hold as many of an item's rarest words as any accepted match must (Demand) are candidates at any cosine.
+The gate of the cosine is far below what an accepted pair has as a rule (the README gives the recall measured); each candidate's
+surroundings are bounded by signatures of their words before any subsequence is computed. Since no cosine of a fixed rank is low
+enough for all that the check accepts, ``Rule(exact=True)`` also takes the places that hold as many of an item's rarest words as
+any accepted match must (Demand), at any cosine.
 
 The benchmark is the stated query set: its texts go to every task in blocks of at most BLOCK_ITEMS items, and its words span
 the matrix. A benchmark of over MOST_WORDS distinct words is searched in several turns, each with a matrix of its own.
@@ -42,14 +44,15 @@ BLOCK_ITEMS, MOST_WORDS = 20_000, 100_000
 
 @dataclass(frozen=True)
 class Rule:
-    """Least cosine of a candidate; least share of the item in common order; the lower share that does if the answer is there; least share of the answer; share of the passages from which on a word is a stop word of the retrieval (1: none is); words of a place, in times the item's."""
+    """Least cosine of a candidate; least share of the item in common order; the lower share that does if the answer is there; least share of the answer; share of the passages from which on a word is a stop word of the retrieval (1: none is); words of a place, in times the item's; whether places that hold enough of an item's rarest words are candidates too, at any cosine, so that no accepted pair can be lost."""
 
-    cosine: float = 0.5
+    cosine: float = 0.3
     common: float = 0.7
     with_answer: float = 0.6
     answer: float = 0.8
     stop: float = STOP
     span: int = 2
+    exact: bool = False
 
     def least(self, n: int) -> int:
         """Words that a match of an item of n words has in common with it at least."""
@@ -134,6 +137,45 @@ class Demand:
         return doc[same], item[x][same], begin[same]
 
 
+class Bound:
+    """How many words an item can have in common with the surroundings of a passage at most: known words set bits of their half passage, and each bit of the item that the surroundings lack is a word that they lack."""
+
+    LANES, FAR = 8, 32  # 64-bit lanes of a signature; halves around a passage up to which it is asked
+
+    def __init__(self, items: list[np.ndarray], vocabulary: Vocabulary, rule: Rule):
+        self.size = np.array([len(own) for own in items])
+        self.least = np.array([rule.least(n) for n in self.size.tolist()])
+        self.reach = -(-self.size // HALF)
+        self.bits = self.set(np.repeat(np.arange(len(items)), self.size), np.concatenate([vocabulary.ids(own)[1] for own in items]), len(items))
+        self.own = np.bitwise_count(self.bits).sum(1, dtype=np.int64)
+
+    def set(self, row: np.ndarray, ids: np.ndarray, rows: int) -> np.ndarray:
+        bit = (ids.astype(U64) * U64(0x9E3779B97F4A7C15) >> U64(55)).astype(np.int64)  # 512 of them
+        out = np.zeros((rows, self.LANES), U64)
+        for begin in range(0, rows, 65_536):  # rows ascend
+            a, z = np.searchsorted(row, [begin, begin + 65_536])
+            flags = np.zeros((min(65_536, rows - begin), self.LANES * 64), bool)
+            flags[row[a:z] - begin, bit[a:z]] = True
+            out[begin:begin + 65_536] = np.packbits(flags, axis=1, bitorder="little").view(U64)
+        return out
+
+    def possible(self, halves_: np.ndarray, passage: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Of the candidates (passage, item) those whose surroundings may hold enough of the item's words; halves_ are the signatures of all half passages of a slice."""
+        out = np.ones(len(passage), bool)
+        reach, around, to = self.reach[item], halves_.copy(), 0
+        around[:-1] |= halves_[1:]
+        for r in np.unique(reach[reach <= self.FAR]).tolist():
+            while to < r:
+                to += 1
+                around[to:] |= halves_[:-to]
+                around[:-to - 1] |= halves_[to + 1:]
+            own = np.flatnonzero(reach == r)
+            k = item[own]
+            met = np.bitwise_count(around[passage[own]] & self.bits[k]).sum(1, dtype=np.int64)
+            out[own] = self.size[k] - (self.own[k] - met) >= self.least[k]
+        return out
+
+
 def passage_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
     """Half passages that hold each word, and their number."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -297,19 +339,20 @@ def _leaked(docs: DataFrame, items: list, rule: Rule, rank: int, kinds: StructTy
     counts = passage_counts(docs, vocabulary)
     project = latent(docs, vocabulary, [x[1] for x in items], rank, counts=counts, stop=rule.stop)
     blocks = [items[i:i + BLOCK_ITEMS] for i in range(0, len(items), BLOCK_ITEMS)]
-    return reduce(DataFrame.unionByName, [_searched(docs, block, vocabulary, project, Demand([x[1] for x in block], vocabulary, counts[0], rule.stop * counts[1], rule), rule, kinds) for block in blocks])
+    return reduce(DataFrame.unionByName, [_searched(docs, block, vocabulary, project, Demand([x[1] for x in block], vocabulary, counts[0], rule.stop * counts[1], rule) if rule.exact else None, rule, kinds) for block in blocks])
 
 
-def _searched(docs: DataFrame, items: list, vocabulary: Vocabulary, project: np.ndarray, demand: Demand, rule: Rule, kinds: StructType) -> DataFrame:
+def _searched(docs: DataFrame, items: list, vocabulary: Vocabulary, project: np.ndarray, demand: Demand | None, rule: Rule, kinds: StructType) -> DataFrame:
     pieces = [(k, w[i:i + PIECE]) for k, (_, w, _) in enumerate(items) for i in range(0, len(w), PIECE)]
     q = np.stack([project[vocabulary.ids(w)[1]].sum(0) for _, w in pieces])
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
     owner = np.array([k for k, _ in pieces])
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, project, q.astype(np.float32), owner, items, demand))  # bounded by MOST_WORDS and BLOCK_ITEMS
+    bound = Bound([own for _, own, _ in items], vocabulary, rule)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, project, q.astype(np.float32), owner, items, demand, bound))  # bounded by MOST_WORDS and BLOCK_ITEMS
     arrow = [to_arrow_type(f.dataType) for f in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, project, q, owner, items, demand = shared.value
+        vocabulary, project, q, owner, items, demand, bound = shared.value
         use = project.any(1)
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
@@ -320,18 +363,23 @@ def _searched(docs: DataFrame, items: list, vocabulary: Vocabulary, project: np.
                 if not len(place):
                     continue
                 regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                for d, item, g in zip(*(x.tolist() for x in demand.met(place, known, at)), strict=True):
+                for d, item, g in zip(*(x.tolist() for x in demand.met(place, known, at)), strict=True) if demand else ():
                     n = rule.span * len(items[item][1])
                     regions.setdefault((d, item), []).append((g - n + 1 - int(at[d]), g + n - int(at[d])))
-                place, known = place[use[known]], known[use[known]]
-                y = added(project[known], half_of(place, at, first), int(first[-1]) + 1)
+                half = half_of(place, at, first)
+                signs = bound.set(half, known, int(first[-1]) + 1)
+                known, half = known[use[known]], half[use[known]]
+                y = added(project[known], half, int(first[-1]) + 1)
                 p = y[:-1] + y[1:]
                 p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
                 for b in range(0, len(p), 8192):
                     c = p[b:b + 8192] @ q.T
                     x, k = np.nonzero(c >= rule.cosine)
-                    doc = np.searchsorted(first, x + b, "right") - 1
-                    for w, d, item in zip((x + b).tolist(), doc.tolist(), owner[k].tolist(), strict=True):
+                    x, item = x + b, owner[k]
+                    good = bound.possible(signs, x, item)
+                    x, item = x[good], item[good]
+                    doc = np.searchsorted(first, x, "right") - 1
+                    for w, d, item in zip(x.tolist(), doc.tolist(), item.tolist(), strict=True):
                         if w + 1 < first[d + 1]:
                             n, h = len(items[item][1]), (w - int(first[d])) * HALF
                             regions.setdefault((d, item), []).append((h - n, h + 2 * HALF + n))
