@@ -33,10 +33,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without an id, and texts without words, link with nothing and stay; of repeated rows (equal id and text) one
     stays; rows of one id with different texts are judged each by its own."""
-    found = jaccard.linked(docs.select("doc_id", "text"))
-    kept = docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source")
-    once = kept.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
+    keyed = docs.withColumn("_row", F.xxhash64("text"))
+    found = jaccard.linked(keyed.select("doc_id", "text", "_row"), row_col="_row")
+    kept = keyed.join(found.where("doc_id = component_id").select("doc_id", "_row"), ["doc_id", "_row"], "left_semi")
+    same = Window.partitionBy("doc_id", "_row").orderBy(*[F.to_json(F.struct(c)) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])
+    once = kept.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(docs.columns)
     return once.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

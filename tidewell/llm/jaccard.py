@@ -127,10 +127,11 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(buf, offsets, k)
 
 
-def linked(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row; ids are integers."""
+def linked(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id, n_shingles, component_id) for every row; ids are integers. With ``row_col``, a long that tells rows of one id apart, that column too."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(row_col).alias("_row")] if row_col else []))
+    own = ", _row long" if row_col else ""
     count = partitions_for(docs, 6)
     parts = spread_keys(count)
 
@@ -139,9 +140,9 @@ def linked(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id
             rows = [(len(h), *digest(h)) for h in _sets(batch.column(1), k)]
             if rows:
                 n, a, b = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0), n, a, b], ["doc_id", "n", "a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), n, a, b, *batch.columns[2:]], ["doc_id", "n", "a", "b", *batch.schema.names[2:]])
 
-    rows = saved(docs.mapInArrow(measured, "doc_id long, n long, a long, b long"), "sets")
+    rows = saved(docs.mapInArrow(measured, "doc_id long, n long, a long, b long" + own), "sets")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
     # half of a class's shingles, those smallest by fingerprint, are enough to see that it shares too few
@@ -179,7 +180,7 @@ def linked(docs: DataFrame, percent: int = 75, k: int = 5, id_col: str = "doc_id
     info = classes.join(named.withColumnRenamed("node", "a"), "a", "left").select("n", "a", "b", "copies", F.coalesce("least", "rep").alias("least"))
     out = with_class(rows, info, ["n", "a", "b"], "copies", F.col("n") > 0)
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), mine.alias("component_id"))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), mine.alias("component_id"), *([F.col("_row").alias(row_col)] if row_col else []))
 
 
 def _candidates(sets: DataFrame, percent: int) -> DataFrame:
