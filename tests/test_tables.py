@@ -292,3 +292,39 @@ def test_set_index_rules_files_out(spark, tmp_path, events):
     assert tables.read_indexed(spark, path, "url", url).count() == events.where(F.col("url") == url).count()
     events.limit(5).withColumn("country", F.lit("DE")).write.mode("append").parquet(path)
     assert tables.read_indexed(spark, path, "country", "DE").count() == events.where("country = 'DE'").count() + 5
+
+
+def test_requests_that_go_on_and_that_are_refused(spark):
+    good = ['{"model":"m"}', '{"messages":null}', '{"messages":[]}', '{"messages":[{"role":"user","content":null}]}', '{"messages":[{"content":"a","name":7}, null]}', '{"model":{"x":1},"messages":[{}]}']
+    bad = ["", "no json", "[]", '"text"', '{"messages":"x"}', '{"messages":["x"]}', '{"messages":[{"content":[{"type":"text","text":"hi"}]}]}', '{"messages":[{"content":1}]}', '{"messages":[{"role":{"a":1},"content":"x"}]}', '{"messages": [']
+    got = {r["raw"]: r["error"] for r in files.chat_requests(spark.createDataFrame([(x,) for x in good + bad], "raw string")).collect()}
+    assert got == dict.fromkeys(good) | dict.fromkeys(bad, "bad request")
+
+
+def test_half_written_blocks_are_neither_read_nor_merged(spark, tmp_path, monkeypatch):
+    from tidewell.streaming.ingest import Ledger, Rollup
+
+    def block(n):
+        return spark.range(10).select(F.lit("t").alias("tenant_id"), F.lit("view").alias("event_type"), F.timestamp_seconds(F.col("id") + 100 * n).alias("event_time"), F.col("id").alias("user_id"), F.lit(1.0).alias("revenue"), F.lit(5).alias("duration_ms"))
+
+    def counts(r):
+        return r.raw().count(), r.states().agg(F.sum("events")).first()[0]
+
+    r = Rollup(spark, str(tmp_path / "rollup"))
+    assert r.write(block(1), "a") and r.write(block(2), "b")
+    with monkeypatch.context() as m:  # a crash after both outputs, before the mark
+        m.setattr(Rollup, "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            r.write(block(3), "c")
+    assert counts(r) == (20, 20)
+    assert r.compact() == 2 and r.compact("raw") == 2
+    assert counts(r) == (20, 20)
+    assert r.write(block(3), "c") and counts(r) == (30, 30)
+    with monkeypatch.context() as m:  # a crash between the two marks
+        m.setattr(Ledger, "add", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            r.write(block(4), "d")
+    assert counts(r) == (40, 40)
+    r.compact()
+    r.compact("raw")
+    assert not r.write(block(4), "d") and not r.write(block(3), "c") and counts(r) == (40, 40)

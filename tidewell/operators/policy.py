@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import json
@@ -103,11 +104,17 @@ def parse_runtime(raw: bytes | str) -> Runtime:
     return Runtime(tuple({k: str(x[k]) for k in ("policy_id", "statement", "app", "expires")} for x in doc.get("exceptions") or []), modes)
 
 
+@functools.lru_cache(maxsize=1024)
+def _broken(raw: bytes) -> tuple[str, ...]:
+    """What is wrong with a policy's text, found once for each text."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    return tuple(" ".join(x for x in (r["policy_id"], r["statement"], r["part"], r["message"]) if x) for r in violations(spark, [parse_policy(raw)]).collect())
+
+
 def compiled(raw: bytes | str, approval: dict[str, Any] | None = None) -> Policy:
     """The policy if it is valid and, where an approval is given, approved; else PolicyError with all that is wrong."""
     p = parse_policy(raw)
-    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-    found = [" ".join(x for x in (r["policy_id"], r["statement"], r["part"], r["message"]) if x) for r in violations(spark, [p]).collect()]
+    found = list(_broken(raw if isinstance(raw, bytes) else raw.encode()))
     found += [f"the approval lacks {what} {value}" for what, value in unmet(p, approval)] if approval is not None else []
     if found:
         raise PolicyError(found)

@@ -86,11 +86,25 @@ CHAT = "model string, messages array<struct<role string, content string>>"
 
 
 def chat_requests(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds the typed part of a request's JSON; the raw text stays, with all fields that nobody declared. Bad JSON: error, and no messages."""
+    """Adds the typed part of a request's JSON; the raw text stays, with all fields that nobody declared. An error, and no messages, for what is no JSON object, or has messages that aren't objects or whose role or content is neither a string nor null: contents in parts are refused, as none of them would be looked at. A request may have no messages at all."""
     from pyspark.sql import functions as F
 
-    parsed = F.from_json(raw, CHAT)
-    return df.select("*", parsed["model"].alias("model"), parsed["messages"].alias("messages"), F.when(parsed["messages"].isNull(), "bad request").alias("error"))
+    whole = F.try_parse_json(raw)
+    each = F.try_variant_get(whole, "$.messages", "array<variant>")
+
+    def kind(v, path: str = "$"):
+        return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+    def is_text(v, path: str):
+        return kind(v, path).isNull() | kind(v, path).isin("VOID", "STRING")
+
+    def is_message(m):
+        return m.isNull() | (kind(m) == "VOID") | kind(m).startswith("OBJECT") & is_text(m, "$.role") & is_text(m, "$.content")
+
+    held = kind(whole, "$.messages")
+    good = kind(whole).startswith("OBJECT") & (held.isNull() | (held == "VOID") | held.startswith("ARRAY")) & F.forall(F.coalesce(each, F.array().cast("array<variant>")), is_message)
+    parsed = F.when(F.coalesce(good, F.lit(False)), F.from_json(raw, CHAT))
+    return df.select("*", parsed["model"].alias("model"), parsed["messages"].alias("messages"), F.when(parsed.isNull(), "bad request").alias("error"))
 
 
 def rewritten(raw, messages):

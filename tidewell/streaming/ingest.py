@@ -60,7 +60,7 @@ def block_token(df: DataFrame) -> str:
 
 @dataclass
 class Rollup:
-    """A raw table and its per-minute states. A block goes to both or counts as not written: outputs are folders named by the block's token, so a repetition overwrites its own files."""
+    """A raw table and its per-minute states. A block goes to both or counts as not written: outputs are folders named by the block's token, so a repetition overwrites its own files, and neither is read or merged before a mark says that both are there."""
 
     spark: SparkSession
     path: str
@@ -79,11 +79,11 @@ class Rollup:
         block = block.persist()
         try:
             token = token or block_token(block)
-            if ledger.holds(token):
+            if self._seen(ledger, token):
                 return False
             block.write.mode("overwrite").parquet(f"{self.path}/raw/block={token}")
             self.states_of(block).write.mode("overwrite").parquet(f"{self.path}/states/block={token}")
-            ledger.add(token)
+            self._commit(ledger, token)
             return True
         finally:
             block.unpersist()
@@ -91,12 +91,25 @@ class Rollup:
     def backfill(self, history: DataFrame, before: str, token: str = "backfill") -> bool:
         """Rolls up history before a cutoff once; the live stream takes what is at or after it."""
         ledger = Ledger(self.spark, f"{self.path}/ledger")
-        if ledger.holds(token):
+        if self._seen(ledger, token):
             return False
         self.states_of(history.where(F.col(self.at) < F.lit(before))).write.mode("overwrite").parquet(f"{self.path}/states/block={token}")
-        ledger.add(token)
+        self._commit(ledger, token)
         return True
 
+    def _commit(self, ledger: Ledger, token: str) -> None:
+        """From here on readers see the block, and a repetition of it is one."""
+        ledger.files.write(f"{self.path}/commits/{token}", "")
+        ledger.add(token)
+
+    def _seen(self, ledger: Ledger, token: str) -> bool:
+        if ledger.holds(token):
+            return True
+        if ledger.files.exists(f"{self.path}/commits/{token}"):  # a crash between the two marks
+            ledger.add(token)
+            return True
+        return False
+
     def stream(self, source: DataFrame, checkpoint: str, since: str | None = None, every: str | None = None) -> StreamingQuery:
         """Micro-batches by ``every`` (such as '1 second'), or all that is there and an end. Late rows add partial rows to old minutes."""
         live = source.where(F.col(self.at) >= F.lit(since)) if since else source
@@ -109,6 +122,9 @@ class Rollup:
         old = self._blocks(what)
         if len(old) < 2:
             return 0
+        ledger = Ledger(self.spark, f"{self.path}/ledger")
+        for b in old:
+            self._seen(ledger, b.removeprefix("block="))
         name = f"block=merged-{uuid.uuid4().hex}"
         df = self.spark.read.option("basePath", root).parquet(*[f"{root}/{b}" for b in old]).drop("block")
         (rolled(df, [*self.keys, "minute"]) if what == "states" else df).write.parquet(f"{self.path}/_staging/{name}")
@@ -120,11 +136,12 @@ class Rollup:
         return len(old)
 
     def _blocks(self, what: str) -> list[str]:
-        """Folders to read: all but those that a merged one has replaced."""
+        """Folders to read: blocks written to the end, but for those that a merged one has replaced."""
         files = Files(self.spark, self.path)
         there = files.folders(f"{self.path}/{what}")
         gone = {b for i in files.listed(f"{self.path}/replaced/{what}") if (name := i.path.rsplit("/", 1)[1]) in there for b in json.loads(files.read(i.path))}
-        return [b for b in there if b.startswith("block=") and b not in gone]
+        whole = {f"block={i.path.rsplit('/', 1)[1]}" for i in files.listed(f"{self.path}/commits")}
+        return [b for b in there if b not in gone and (b in whole or b.startswith("block=merged-"))]
 
     def _read(self, what: str) -> DataFrame:
         root = f"{self.path}/{what}"

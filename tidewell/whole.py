@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.spans import barrier, located
-from .operators import detect, evidence, identifiers, intervals, named_values
-from .queries import _E, _events, _found_sql
+from .operators import detect, evidence, gateway, identifiers, intervals, named_values, policy
+from .queries import _E, POLICY, RUNTIME, _events
 from .session import read_table, scratch
 from .sources.keyed import Keyed
 
@@ -270,3 +270,30 @@ def q_keyed_sums(spark: SparkSession, d: str) -> DataFrame:
     t.compact()
     both = before.select(F.lit("appended").alias("state"), "day", "tenant_id", "events", "revenue").unionByName(t.read().select(F.lit("merged").alias("state"), "day", "tenant_id", "events", "revenue"))
     return both.withColumn("revenue", F.col("revenue").cast("double"))
+
+
+# -- requests through the gateway
+
+_KEYS = [("gw-0", "sales-copilot", [], "external", "provider-a"), ("gw-1", "support-bot", [], "external", "provider-a"), ("gw-2", "hr-assistant", ["personal-data"], "external", "provider-a"), ("gw-3", "claims-assistant", [], "self-hosted", "own")]
+
+
+@case("""WITH m AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1),
+    o AS (SELECT conv_id, turns, CASE WHEN conv_id % 7 = 0 THEN 401 WHEN conv_id % 5 = 0 THEN 400 WHEN conv_id % 11 = 0 THEN 200 WHEN conv_id % 3 = 0 THEN 403 ELSE 200 END AS status FROM m)
+    SELECT conv_id AS request_id, status,
+        CASE WHEN status IN (400, 401) THEN 'reject' WHEN conv_id % 11 = 0 THEN 'pass' WHEN conv_id % 4 = 1 AND status = 403 THEN 'monitor' WHEN status = 403 THEN 'block' WHEN conv_id % 4 = 0 THEN 'redact' WHEN conv_id % 4 = 1 THEN 'monitor' ELSE 'pass' END AS action,
+        CASE WHEN status = 200 AND conv_id % 11 <> 0 AND conv_id % 4 = 0 THEN turns ELSE 0 END AS masked, CASE WHEN status = 200 AND conv_id % 11 <> 0 AND conv_id % 4 <> 0 THEN turns ELSE 0 END AS open FROM o""".replace("WHEN conv_id % 3 = 0 THEN 403 ELSE 200 END AS status", "WHEN conv_id % 3 = 0 AND conv_id % 4 <> 1 THEN 403 ELSE 200 END AS status").replace("WHEN conv_id % 4 = 1 AND status = 403 THEN 'monitor' ", ""))
+def q_gateway_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as chat requests, each turn with its reader's address, every third with a card: unknown keys, contents in parts, requests without messages, blocked, redacted and watched ones."""
+    c = read_table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    card = F.when(F.col("conv_id") % 3 == 0, " card 4111 1111 1111 1111").otherwise("")
+    said = F.concat("text", F.lit(" write u"), "conv_id", F.lit("@x.org"), card)
+    turns = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", said.alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    whole = F.to_json(F.struct(F.lit("m").alias("model"), "messages"))
+    parts = F.to_json(F.struct(F.lit("m").alias("model"), F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), m["content"].alias("text"))).alias("content"))).alias("messages")))
+    raw = F.when(F.col("conv_id") % 5 == 0, parts).when(F.col("conv_id") % 11 == 0, '{"model":"m"}').otherwise(whole)
+    key = F.when(F.col("conv_id") % 7 == 0, "gw-x").otherwise(F.concat(F.lit("gw-"), F.col("conv_id") % 4))
+    requests = turns.select(F.col("conv_id").alias("request_id"), key.alias("key"), raw.alias("raw"), F.lit(None).cast("string").alias("upstream_error"))
+    keys = spark.createDataFrame(_KEYS, "key string, app_id string, app_approved_for array<string>, destination_hosting string, destination_provider string")
+    out = gateway.passed(requests, keys, [policy.compiled(POLICY)], RUNTIME, "2026-12-01T00:00:00Z")
+    count = lambda what: F.coalesce(F.regexp_count("forwarded", F.lit(what)), F.lit(0)).cast("long")
+    return out.select("request_id", "status", "action", count(r"\[EMAIL_1\]").alias("masked"), count(r"u[0-9]+@x\.org").alias("open"))
