@@ -91,14 +91,15 @@ def half_of(places: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray
     return first[doc] + (places - at[doc]) // HALF
 
 
-def added(rows: np.ndarray, to: np.ndarray, size: int) -> np.ndarray:
-    """Sums of rows by target index."""
-    out = np.zeros((size, rows.shape[1]), rows.dtype)
+def summed(values: np.ndarray, index: np.ndarray, to: np.ndarray, size: int) -> np.ndarray:
+    """Sums of values[index] by target index; the rows are gathered once, in the targets' order."""
+    out = np.zeros((size, values.shape[1]), values.dtype)
     if len(to):
-        order = np.argsort(to, kind="stable")
-        t = to[order]
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        out[t[first]] = np.add.reduceat(rows[order], first, axis=0)
+        if (to[1:] < to[:-1]).any():
+            order = np.argsort(to, kind="stable")
+            to, index = to[order], index[order]
+        first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+        out[to[first]] = np.add.reduceat(values[index], first, axis=0)
     return out
 
 
@@ -228,16 +229,14 @@ def latent(docs: DataFrame, vocabulary: Vocabulary, items: list[np.ndarray], ran
                 if not len(place):
                     continue
                 half = half_of(place, at, first)
-                y = added(weighted[ids], half, int(first[-1]) + 2)
+                y = summed(weighted, ids, half, int(first[-1]) + 2)
                 # passage k is halves k and k + 1 of one document
                 last = np.zeros(len(y), bool)
                 last[first[1:][np.diff(first) > 0] - 1] = True
                 p = y[:-1] + y[1:]
                 p[last[:-1]] = 0
-                both = p[half]
-                inner = half > 0
-                both[inner] += p[half[inner] - 1]
-                total += added(both, ids, m)
+                p[1:] += p[:-1].copy()  # of each half, the two passages that it is in
+                total += summed(p, half, ids, m)
         known = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(known, pa.int32()), pa.array([r.tobytes() for r in total[known]], pa.binary())], ["i", "v"])
 
@@ -369,7 +368,7 @@ def _searched(docs: DataFrame, items: list, vocabulary: Vocabulary, project: np.
                 half = half_of(place, at, first)
                 signs = bound.set(half, known, int(first[-1]) + 1)
                 known, half = known[use[known]], half[use[known]]
-                y = added(project[known], half, int(first[-1]) + 1)
+                y = summed(project, known, half, int(first[-1]) + 1)
                 p = y[:-1] + y[1:]
                 p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
                 for b in range(0, len(p), 8192):
