@@ -11,9 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cases import _ORDER, _redacted_sql
+from .functions import scalars as X
+from .functions import spans as S
 from .functions.spans import barrier, located
-from .operators import detect, evidence, gateway, identifiers, intervals, named_values, policy
-from .queries import _E, POLICY, RUNTIME, _events
+from .operators import detect, evidence, gateway, identifiers, intervals, named_values, policy, redact
+from .queries import _E, POLICY, RUNTIME, _events, _found_sql
 from .session import read_table, scratch
 from .sources.keyed import Keyed
 
@@ -297,3 +300,121 @@ def q_gateway_conversations(spark: SparkSession, d: str) -> DataFrame:
     out = gateway.passed(requests, keys, [policy.compiled(POLICY)], RUNTIME, "2026-12-01T00:00:00Z")
     count = lambda what: F.coalesce(F.regexp_count("forwarded", F.lit(what)), F.lit(0)).cast("long")
     return out.select("request_id", "status", "action", count(r"\[EMAIL_1\]").alias("masked"), count(r"u[0-9]+@x\.org").alias("open"))
+
+
+# -- personal data in whole tables, planted by row
+
+SECRETS = "coalesce(text, '') || ' SSN ' || lpad(cast(doc_id * 7919 % 1000 AS string), 3, '0') || '-' || lpad(cast(doc_id * 31 % 100 AS string), 2, '0') || '-' || lpad(cast(doc_id * 104729 % 10000 AS string), 4, '0') || '; key sk-' || md5(cast(doc_id AS string)) || ' or AKIA' || upper(substr(md5(cast(doc_id + 1 AS string)), 1, 16)) || ', ünd u' || cast(doc_id % 13 AS string) || '@x.org, call +1 415-555-0134. ' || CASE doc_id % 3 WHEN 0 THEN 'licence NSW ' WHEN 1 THEN 'order ' ELSE 'driver ' END || lpad(cast(doc_id * 15485863 % 10000000 AS string), 7, '0') || ' card 4111 1111 1111 1' || lpad(cast(doc_id * 37 % 1000 AS string), 3, '0') || ' u' || cast(doc_id % 13 AS string) || '@x.org'"
+_PLANTED = f"planted AS (SELECT doc_id AS k, {SECRETS} AS text FROM documents)"
+_SAID = SECRETS.replace("doc_id", "conv_id")
+
+
+def _planted(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", F.expr(SECRETS).alias("text"))
+
+
+@case(f"""WITH {_PLANTED}, {_found_sql('planted', 'k', 'text')}, n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY {_ORDER}, s) AS j FROM f)
+    SELECT n.k AS doc_id, 'f' || j AS id, type, s AS start_at, e AS end_at, strlen(substr(x, 1, s::INT))::BIGINT AS byte_start, strlen(substr(x, 1, e::INT))::BIGINT AS byte_end, value FROM n JOIN t ON n.k = t.k""")
+def q_planted_findings(spark: SparkSession, d: str) -> DataFrame:
+    """All five detectors over every document: ids, characters, bytes."""
+    found = detect.with_findings(_planted(spark, d)).select("doc_id", F.inline("findings"))
+    return found.select("doc_id", "id", "type", *[F.col(a).cast("long").alias(b) for a, b in (("start", "start_at"), ("end", "end_at"), ("byte_start", "byte_start"), ("byte_end", "byte_end"))], "value")
+
+
+@case(f"""WITH cases AS (SELECT conv_id * 1000 + turn AS k, conv_id, turn, {_SAID} AS text FROM conversations), {_found_sql('cases', 'k', 'text')}
+    SELECT conv_id, turn, 'f' || row_number() OVER (PARTITION BY conv_id ORDER BY turn, {_ORDER}, s) AS id, type, value FROM f JOIN cases ON f.k = cases.k""")
+def q_planted_message_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that count on through a conversation's turns."""
+    t = read_table(spark, d, "conversations").select("conv_id", "turn", F.expr(_SAID).alias("text"))
+    return detect.numbered_across_messages(detect.with_findings(t), "conv_id", "turn").select("conv_id", "turn", F.inline("findings")).select("conv_id", "turn", "id", "type", "value")
+
+
+@case(_redacted_sql(f"{_PLANTED}, {_found_sql('planted', 'k', 'text')}", "doc_id"))
+def q_planted_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact.redacted(detect.with_findings(_planted(spark, d)), everywhere=False).where("redacted > 0").select("doc_id", "redacted_text", "redacted")
+
+
+@case(f"WITH {_PLANTED} SELECT k AS doc_id, sha256(text) AS restored FROM planted")
+def q_planted_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of the texts restored from what was redacted and its vault."""
+    out = redact.redacted(detect.with_findings(_planted(spark, d)), style="suffix")
+    return out.select("doc_id", F.sha2(redact.restored("redacted_text", "vault"), 256).alias("restored"))
+
+
+@case(f"WITH {_PLANTED} SELECT k AS doc_id, replace(text, 'u' || k % 13 || '@x.org', '[EMAIL_1]') AS redacted_text FROM planted")
+def q_planted_everywhere(spark: SparkSession, d: str) -> DataFrame:
+    """A value that one finding names goes wherever it stands."""
+    value = F.concat(F.lit("u"), F.col("doc_id") % 13, F.lit("@x.org"))
+    at = F.instr("text", value) - 1
+    one = F.array(F.struct(F.lit("f1").alias("id"), F.lit("pii.email").alias("type"), at.alias("start"), (at + F.length(value)).alias("end"), F.lit(0).alias("byte_start"), F.lit(0).alias("byte_end"), value.alias("value")))
+    return redact.redacted(_planted(spark, d).withColumn("findings", one.cast(f"array<{detect.FINDING}>"))).select("doc_id", "redacted_text")
+
+
+def _licences_sql() -> str:
+    near = "(?i)\\b(?:" + "|".join(detect.LICENCE_CONTEXT) + ")\\b"
+    ctes = ", ".join(_matches_sql(f"m{i}", p) for i, (p, _) in enumerate(detect.LICENCE_PATTERNS))
+    rows = " UNION ALL ".join(f"SELECT k, x, value, s, {score}::DOUBLE AS score FROM m{i}" for i, (_, score) in enumerate(detect.LICENCE_PATTERNS))
+    return f"""WITH t AS (SELECT doc_id AS k, {SECRETS} AS x FROM documents), {ctes},
+        b AS (SELECT k, value, s, round(score + CASE WHEN regexp_matches(substr(x, greatest(s - {detect.CONTEXT_CHARS}, 0)::BIGINT + 1, length(value) + {2 * detect.CONTEXT_CHARS}), '{near}') THEN {detect.CONTEXT_BOOST} ELSE 0 END, 3) AS score FROM ({rows}))
+        SELECT k AS doc_id, value, s::INT AS start_at, score FROM b WHERE score >= {detect.DEFAULT_THRESHOLD}"""
+
+
+@case(_licences_sql())
+def q_planted_licences(spark: SparkSession, d: str) -> DataFrame:
+    found = _planted(spark, d).select("doc_id", F.inline(detect.driver_licences(F.col("text"))))
+    return found.select("doc_id", "value", F.col("start").alias("start_at"), "score")
+
+
+@case(f"WITH t AS (SELECT doc_id AS k, {SECRETS} AS x FROM documents), " + ", ".join(_matches_sql(f"m{i}", p) for i, (p, _) in enumerate(detect.KEY_PATTERNS)) + " " + " UNION ALL ".join(f"SELECT k AS doc_id, 'API_KEY' AS label, value, s::INT AS start_at, {score}::DOUBLE AS score FROM m{i}" for i, (_, score) in enumerate(detect.KEY_PATTERNS)))
+def q_planted_key_scores(spark: SparkSession, d: str) -> DataFrame:
+    found = _planted(spark, d).select("doc_id", F.inline(detect.api_keys(F.col("text"))))
+    return found.select("doc_id", "label", "value", F.col("start").alias("start_at"), "score")
+
+
+_LABELS = list(detect.ENTITY_LABELS) + ["DATE_TIME"]
+_LABEL_OF = "CASE doc_id % " + str(len(_LABELS)) + " " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_LABELS)) + " END"
+
+
+@case(f"""WITH e AS (SELECT doc_id, {_LABEL_OF} AS label, doc_id * 37 % 100 / 100.0::DOUBLE AS score, substr({SECRETS}, 1, 4) AS value FROM documents)
+    SELECT doc_id, CASE label {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in detect.ENTITY_LABELS.items())} END AS type, value FROM e
+    WHERE label <> 'DATE_TIME' AND score >= CASE label {" ".join(f"WHEN '{k}' THEN {v}" for k, v in detect.THRESHOLDS.items())} ELSE {detect.DEFAULT_THRESHOLD} END""")
+def q_recognised_labels(spark: SparkSession, d: str) -> DataFrame:
+    """An entity a document, of every label and score: those of a known label that reach its threshold, as findings."""
+    entity = F.struct(F.expr(_LABEL_OF).alias("label"), F.lit(0).alias("start"), F.lit(4).alias("end"), (F.col("doc_id") * 37 % 100 / F.lit(100.0)).alias("score"))
+    return detect.recognised(_planted(spark, d).withColumn("entities", F.array(entity))).select("doc_id", F.inline("findings")).select("doc_id", "type", "value")
+
+
+def _addresses(text: str) -> list[dict]:
+    if len(text) % 17 == 0:
+        raise TimeoutError
+    return [{"type": "pii.email", "start": m.start(), "end": len(text) + 1 if len(text) % 19 == 0 else m.end(), "score": 0.9} for m in re.finditer(r"u[0-9]+@x\.org", text)]
+
+
+@case(f"""WITH t AS (SELECT doc_id AS k, {SECRETS} AS x FROM documents), {_matches_sql('m', 'u[0-9]+@x[.]org')}
+    SELECT k AS doc_id, CASE WHEN length(x) % 17 = 0 THEN 'TimeoutError' WHEN length(x) % 19 = 0 THEN 'ValueError' ELSE '' END AS error, CASE WHEN length(x) % 17 = 0 OR length(x) % 19 = 0 THEN -1 ELSE s END::INT AS start_at,
+        CASE WHEN length(x) % 17 = 0 OR length(x) % 19 = 0 THEN -1 ELSE strlen(substr(x, 1, s::BIGINT)) END::INT AS byte_start FROM (SELECT DISTINCT k, x, CASE WHEN length(x) % 17 = 0 OR length(x) % 19 = 0 THEN 0 ELSE s END AS s FROM m)""")
+def q_plugged_detector(spark: SparkSession, d: str) -> DataFrame:
+    """A plugged-in detector that fails on some texts and misplaces spans in others: those rows are marked, not passed on unchecked."""
+    out = detect.detected_by(_planted(spark, d), _addresses)
+    return out.select("doc_id", F.coalesce("error", F.lit("")).alias("error"), F.inline_outer("findings")).select("doc_id", "error", F.coalesce("start", F.lit(-1)).alias("start_at"), F.coalesce("byte_start", F.lit(-1)).alias("byte_start"))
+
+
+@case(f"""WITH {_PLANTED}, c AS (SELECT k, text, 'u' || k % 13 || '@x.org' AS value, CASE WHEN k % 2 = 0 THEN instr(text, 'u' || k % 13 || '@x.org') - 1 ELSE k % 50 END AS s FROM planted)
+    SELECT k AS doc_id, (CASE WHEN k % 5 = 0 THEN -1 WHEN substr(text, s + 1, length(value)) = value THEN s ELSE instr(text, value) - 1 END)::INT AS start_at FROM c""")
+def q_refound_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans at the right place, at a wrong one, or of values that aren't there."""
+    value = F.concat(F.lit("u"), F.col("doc_id") % 13, F.lit("@x.org"))
+    at = F.when(F.col("doc_id") % 2 == 0, F.instr("text", value) - 1).otherwise((F.col("doc_id") % 50).cast("int"))
+    said = F.when(F.col("doc_id") % 5 == 0, F.concat(value, F.lit("#nowhere"))).otherwise(value)
+    df = _planted(spark, d).withColumn("span", F.struct(at.alias("start"), (at + F.length(value)).alias("end"), said.alias("value")))
+    return df.select("doc_id", F.coalesce(S.refound(F.col("text"), F.col("span"))["start"], F.lit(-1)).alias("start_at"))
+
+
+@case("""SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN source END AS label, CASE WHEN doc_id % 4 < 2 THEN doc_id::INT ELSE -1 END AS n FROM documents""")
+def q_fenced_replies(spark: SparkSession, d: str) -> DataFrame:
+    """JSON in prose and fences, broken, or absent."""
+    own = F.to_json(F.struct(F.col("source").alias("label"), F.col("doc_id").alias("n")))
+    kind = F.col("doc_id") % 4
+    reply = F.when(kind == 0, F.concat(F.lit("Sure:\n```json\n"), own, F.lit("\n```"))).when(kind == 1, own).when(kind == 2, "{oops}").otherwise("no object")
+    df = read_table(spark, d, "documents").select("doc_id", X.fenced_json(reply, "label string, n int").alias("j"))
+    return df.select("doc_id", "j.label", F.coalesce("j.n", F.lit(-1)).alias("n"))
