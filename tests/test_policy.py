@@ -136,3 +136,36 @@ def test_alert_holds_without_a_break(spark):
     df = spark.createDataFrame(rows, "s string, m int, v int").select("s", F.timestamp_seconds(F.col("m") * 180).alias("at"), "v")
     assert [r["v"] for r in evidence.alerts(df, ["s"], "at", F.col("v") > 300).collect()] == [400]
     assert evidence.increase(df, ["s"], "at", "v").where("increase = 399").count() == 2
+
+
+def test_checks_that_fail_open(spark):
+    def policy_of(*modes):
+        return policy.Policy("p", "1", (), tuple(policy.Statement(str(i), "gateway", "redact", m, ("pii.name",), (policy.Condition("app.id", equals="a"),) if i else ()) for i, m in enumerate(modes)))
+
+    rows = [(1, "a", "Timeout"), (2, "b", "Timeout"), (3, "a", None)]
+    df = spark.createDataFrame(rows, "request_id int, app_id string, error string")
+
+    def outcome(*modes):
+        out = policy.failing_open(df, [policy_of(*modes)] if modes else [])
+        return {r["request_id"]: (r["error"], [(x["statement"], x["check_status"]) for x in r["checks_skipped"]]) for r in out.collect()}
+
+    skipped = lambda *ids: (None, [(i, "skipped: Timeout") for i in ids])
+    assert outcome("open", "open") == {1: skipped("0", "1"), 2: skipped("0"), 3: (None, [])}
+    assert outcome("open", "closed") == {1: ("Timeout", []), 2: skipped("0"), 3: (None, [])}
+    assert outcome("closed") == outcome() == {1: ("Timeout", []), 2: ("Timeout", []), 3: (None, [])}
+
+
+def test_a_request_goes_on_without_a_check_that_fails_open(spark):
+    from tidewell.operators import gateway
+
+    def down(text):
+        raise TimeoutError
+
+    raw = json.dumps({"messages": [{"role": "user", "content": "write a@b.io"}]})
+    requests = spark.createDataFrame([(1, "k", raw)], "request_id int, key string, raw string")
+    keys = spark.createDataFrame([("k", "sales-copilot", "external")], "key string, app_id string, destination_hosting string")
+    for mode, status, action in (("open", 200, "redact"), ("closed", 503, "unchecked")):
+        p = policy.compiled(POLICY.replace("on_check_failure: closed", f"on_check_failure: {mode}"))
+        r = gateway.passed(requests, keys, [p], RUNTIME, "2026-12-01T00:00:00Z", down).first()
+        assert (r["status"], r["action"], len(r["checks_skipped"])) == (status, action, 2 if mode == "open" else 0)
+        assert ("[EMAIL_1]" in r["forwarded"]) if mode == "open" else r["forwarded"] is None

@@ -46,6 +46,15 @@ class Statement:
     def needs_service(self) -> bool:
         return needs_service(self.detect)
 
+    def applies(self) -> Column:
+        """On a request row: all conditions hold and no exemption does."""
+        out = F.lit(True)
+        for c in self.applies_when:
+            out = out & c.holds()
+        for c in self.unless:
+            out = out & ~c.holds()
+        return out
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -170,12 +179,7 @@ def decisions(requests: DataFrame, findings: DataFrame, policies: list[Policy],
     wanted = _small(spark, [(p.policy_id, p.version, s.id, s.action, t, i) for i, (p, s) in enumerate(statements) for t in s.detect], "policy_id string, policy_version string, statement string, action string, type string, _n int")
     fires = F.lit(False)
     for i, (_, s) in reversed(list(enumerate(statements))):
-        holds = F.lit(True)
-        for c in s.applies_when:
-            holds = holds & c.holds()
-        for c in s.unless:
-            holds = holds & ~c.holds()
-        fires = F.when(F.col("_n") == i, holds).otherwise(fires)
+        fires = F.when(F.col("_n") == i, s.applies()).otherwise(fires)
     hit = findings.select("request_id", "id", "type").join(wanted, "type").join(complete(requests).select("request_id", *REQUEST_FIELDS), "request_id").where(fires)
     active = [(x["policy_id"], x["statement"], x["app"], x["expires"]) for x in runtime.exceptions]
     excepted = _small(spark, active, "policy_id string, statement string, app_id string, expires string").where(F.to_timestamp("expires") > F.to_timestamp(F.lit(as_of))).select("policy_id", "statement", "app_id", F.lit(True).alias("exception_used")).distinct()
@@ -186,6 +190,25 @@ def decisions(requests: DataFrame, findings: DataFrame, policies: list[Policy],
     return by.agg(F.array_sort(F.collect_set("id")).alias("finding_ids"), F.array_sort(F.collect_list("type")).alias("finding_types"))
 
 
+SKIPPED = "array<struct<policy_id:string,policy_version:string,statement:string,action:string,check_status:string>>"
+
+
+def failing_open(requests: DataFrame, policies: list[Policy]) -> DataFrame:
+    """Requests whose check has an ``error`` go on without it, their error cleared, where a statement applies to them and every one that does says ``on_check_failure: open``; ``checks_skipped`` then lists those statements. Any other failed check stays one."""
+    statements = [(p, s) for p in policies for s in p.gateway]
+    df = complete(requests)
+    own = F.array_compact(F.array(*[F.when(s.applies(), F.struct(*[F.lit(v).alias(n) for n, v in (("policy_id", p.policy_id), ("policy_version", p.version), ("statement", s.id), ("action", s.action))], F.concat(F.lit("skipped: "), "error").alias("check_status"), F.lit(s.on_check_failure == "open").alias("open"))) for p, s in statements])) if statements else F.array()
+    step = barrier(df, _own=own.cast(SKIPPED.replace("check_status:string", "check_status:string,open:boolean")))
+    goes = F.col("error").isNotNull() & (F.size("_own") > 0) & F.forall("_own", lambda x: x["open"])
+    listed = F.when(goes, F.transform("_own", lambda x: x.dropFields("open"))).otherwise(F.array().cast(SKIPPED))
+    return step.select(*[F.when(~goes, F.col("error")).alias("error") if c == "error" else F.col(c) for c in requests.columns], listed.alias("checks_skipped"))
+
+
+def skip_records(requests: DataFrame) -> DataFrame:
+    """(request_id, policy_id, policy_version, statement, action, skipped, check_status): a record for each skipped check."""
+    return requests.select("request_id", F.inline("checks_skipped")).withColumn("skipped", F.lit(True))
+
+
 # What each outcome's error body says; {} is the statement that blocked, with its policy.
 MESSAGES = {
     400: "invalid JSON",

@@ -16,7 +16,7 @@ from .functions import scalars as X
 from .functions import spans as S
 from .functions.spans import barrier, located
 from .operators import detect, evidence, gateway, identifiers, intervals, named_values, policy, redact
-from .queries import _E, POLICY, RUNTIME, _events, _found_sql
+from .queries import _E, POLICY, RUNTIME, _events, _found_sql, _requests
 from .session import read_table, scratch
 from .sources.keyed import Keyed
 
@@ -418,3 +418,41 @@ def q_fenced_replies(spark: SparkSession, d: str) -> DataFrame:
     reply = F.when(kind == 0, F.concat(F.lit("Sure:\n```json\n"), own, F.lit("\n```"))).when(kind == 1, own).when(kind == 2, "{oops}").otherwise("no object")
     df = read_table(spark, d, "documents").select("doc_id", X.fenced_json(reply, "label string, n int").alias("j"))
     return df.select("doc_id", "j.label", F.coalesce("j.n", F.lit(-1)).alias("n"))
+
+
+# -- checks that fail
+
+_OPEN = """policy_id: POL-OPEN-001
+version: "2.0"
+approvers: [security]
+statements:
+  - {id: "2.1", enforced_by: gateway, applies_when: [{field: destination.hosting, equals: external}], unless: [{field: app.approved_for, contains: personal-data}], detect: [pii.email, pii.phone, pii.national_id], action: redact, on_check_failure: open}
+  - {id: "2.2", enforced_by: gateway, applies_when: [{field: destination.hosting, equals: self-hosted}], detect: [pci.card_number, secret.api_key], action: block, on_check_failure: closed}
+"""
+_GOES_ON = "doc_id % 7 = 0 AND doc_id % 5 <> 0 AND doc_id % 4 <> 2"
+
+
+def _failed_checks(spark: SparkSession, d: str) -> DataFrame:
+    return policy.failing_open(_requests(spark, d).withColumn("error", F.when(F.col("request_id") % 7 == 0, "Timeout")), [policy.compiled(_OPEN)])
+
+
+@case(f"SELECT doc_id AS request_id, CASE WHEN doc_id % 7 = 0 AND NOT ({_GOES_ON}) THEN 503 ELSE 200 END AS status, CASE WHEN {_GOES_ON} THEN '2.1 skipped: Timeout' ELSE '' END AS skipped FROM documents")
+def q_failed_checks(spark: SparkSession, d: str) -> DataFrame:
+    """A seventh of the requests loses its check: those under statements that fail open go on, marked."""
+    r = _failed_checks(spark, d)
+    none = spark.createDataFrame([], "request_id long, policy_id string, statement string, action string, mode string, finding_ids array<string>")
+    return policy.enforced(r, none).select("request_id", "status", F.array_join(F.transform("checks_skipped", lambda x: F.concat_ws(" ", x["statement"], x["check_status"])), ", ").alias("skipped"))
+
+
+@case(f"""WITH {_PLANTED}, {_found_sql('planted', 'k', 'text')}, h AS (SELECT DISTINCT k AS doc_id, CASE WHEN type IN ('pci.card_number', 'secret.api_key') THEN '2.2' ELSE '2.1' END AS statement FROM f),
+    d AS (SELECT * FROM h WHERE (doc_id % 7 <> 0 OR {_GOES_ON}) AND CASE statement WHEN '2.2' THEN doc_id % 5 = 0 ELSE doc_id % 5 <> 0 AND doc_id % 4 <> 2 END)
+    SELECT statement, (count(*) + coalesce(any_value(s.n), 0))::BIGINT AS evaluated, count(*) FILTER (statement = '2.1') AS redacted, count(*) FILTER (statement = '2.2') AS blocked, coalesce(any_value(s.n), 0)::BIGINT AS skipped_checks
+    FROM d LEFT JOIN (SELECT '2.1' AS statement, count(*) AS n FROM documents WHERE {_GOES_ON}) s USING (statement) GROUP BY statement""")
+def q_skipped_check_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions and skipped checks of all requests in one period's evidence."""
+    r = _failed_checks(spark, d)
+    found = detect.with_findings(_planted(spark, d)).select(F.col("doc_id").alias("request_id"), F.inline("findings"))
+    made = policy.decisions(r.where("error IS NULL"), found, [policy.compiled(_OPEN)], policy.Runtime((), {}), "2026-12-01T00:00:00Z")
+    skipped = policy.skip_records(r).select("policy_id", "policy_version", "statement", F.lit("none").alias("action"), F.lit("skipped").alias("mode"), "skipped")
+    records = made.select("policy_id", "policy_version", "statement", "action", "mode", F.lit(False).alias("skipped")).unionByName(skipped).withColumn("at", F.lit("2026-12-01").cast("timestamp"))
+    return evidence.period_rollup(records).select("statement", "evaluated", "redacted", "blocked", "skipped_checks")
