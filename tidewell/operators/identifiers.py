@@ -92,7 +92,7 @@ def iban(value: Column) -> Column:
 
 @dataclass(frozen=True)
 class Recogniser:
-    """``score`` is the shape's own; ``check`` settles it; ``guard`` is a cheap pattern that a text must hold."""
+    """``score`` is the shape's own; ``check`` settles it; ``guard`` is a cheap pattern that a text must hold; a match begins with one of ``first``, which is looked at before anything else."""
 
     label: str
     pattern: str
@@ -100,6 +100,11 @@ class Recogniser:
     context: tuple[str, ...]
     check: Callable[[Column], Column] | None = None
     guard: str = "[0-9]"
+    first: str = "0-9"
+
+    @property
+    def run(self) -> str:
+        return f"(?=[{self.first}]){ascii_boundaries(self.pattern)}"
 
 
 # Shapes by the issuers' public formats. Scores and context words are ours.
@@ -111,12 +116,12 @@ RECOGNISERS = (
     Recogniser("ABA_ROUTING_NUMBER", r"\b[0123678]\d{3}-?\d{4}-?\d\b", 0.1, ("aba", "routing", "bank"), routing, "[0-9][0-9-]{8}"),
     Recogniser("US_NPI", r"\b[12]\d{3}[ -]?\d{3}[ -]?\d{3}\b", 0.1, ("npi", "provider"), npi, "[0-9][0-9 -]{9}"),
     Recogniser("US_MBI", r"\b[1-9][AC-HJKMNP-RT-Y][0-9AC-HJKMNP-RT-Y]\d-?[AC-HJKMNP-RT-Y][0-9AC-HJKMNP-RT-Y]\d-?[AC-HJKMNP-RT-Y]{2}\d{2}\b", 0.3, ("mbi", "beneficiary", "medicare")),
-    Recogniser("UK_NINO", r"\b(?:[ACEHJLMOPRSWXY][A-CEGHJ-NPR-TW-Z]|B[A-CEHJ-NPR-TW-Z]|G[ACEGHJ-NPR-TW-Z]|K[A-CEGHJ-MPR-TW-Z]|N[A-CEGHJLMNPRSW-Z]|T[A-CEGHJ-MPR-TW-Z]|Z[A-CEGHJ-NPR-TW-Y])[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D]\b", 0.5, ("nino", "national insurance")),
-    Recogniser("UK_PASSPORT", r"\b[A-Z]{2}\d{7}\b", 0.2, ("passport",)),
-    Recogniser("UK_DRIVING_LICENCE", r"\b[A-Z9]{5}\d(?:0[1-9]|1[0-2]|5[1-9]|6[0-2])(?:0[1-9]|[12]\d|3[01])\d[A-Z9]{2}[A-Z0-9]{3}\b", 0.5, ("licence", "driving", "dvla")),
-    Recogniser("UK_POSTCODE", r"\b(?:GIR[ ]?0AA|[A-PR-UWYZ](?:\d{1,2}|[A-HK-Y]\d[0-9A-Z]?|\d[A-HJKPSTUW])[ ]?\d[ABD-HJLNP-UW-Z]{2})\b", 0.2, ("postcode", "address")),
-    Recogniser("UK_VEHICLE_REGISTRATION", r"\b[A-HJ-PR-Y]{2}(?:0[2-9]|[12]\d|5[1-9]|[67]\d)[ ]?[A-HJ-PR-Z]{3}\b", 0.2, ("vehicle", "registration", "plate")),
-    Recogniser("IBAN_CODE", r"\b[A-Z]{2}\d{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?\b", 0.1, ("iban", "account"), iban, "[A-Z]{2}[0-9]{2}"),
+    Recogniser("UK_NINO", r"\b(?:[ACEHJLMOPRSWXY][A-CEGHJ-NPR-TW-Z]|B[A-CEHJ-NPR-TW-Z]|G[ACEGHJ-NPR-TW-Z]|K[A-CEGHJ-MPR-TW-Z]|N[A-CEGHJLMNPRSW-Z]|T[A-CEGHJ-MPR-TW-Z]|Z[A-CEGHJ-NPR-TW-Y])[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D]\b", 0.5, ("nino", "national insurance"), first="A-Z"),
+    Recogniser("UK_PASSPORT", r"\b[A-Z]{2}\d{7}\b", 0.2, ("passport",), first="A-Z"),
+    Recogniser("UK_DRIVING_LICENCE", r"\b[A-Z9]{5}\d(?:0[1-9]|1[0-2]|5[1-9]|6[0-2])(?:0[1-9]|[12]\d|3[01])\d[A-Z9]{2}[A-Z0-9]{3}\b", 0.5, ("licence", "driving", "dvla"), first="A-Z9"),
+    Recogniser("UK_POSTCODE", r"\b(?:GIR[ ]?0AA|[A-PR-UWYZ](?:\d{1,2}|[A-HK-Y]\d[0-9A-Z]?|\d[A-HJKPSTUW])[ ]?\d[ABD-HJLNP-UW-Z]{2})\b", 0.2, ("postcode", "address"), first="A-Z"),
+    Recogniser("UK_VEHICLE_REGISTRATION", r"\b[A-HJ-PR-Y]{2}(?:0[2-9]|[12]\d|5[1-9]|[67]\d)[ ]?[A-HJ-PR-Z]{3}\b", 0.2, ("vehicle", "registration", "plate"), first="A-Z"),
+    Recogniser("IBAN_CODE", r"\b[A-Z]{2}\d{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?\b", 0.1, ("iban", "account"), iban, "[A-Z]{2}[0-9]{2}", "A-Z"),
 )
 
 
@@ -124,7 +129,7 @@ def with_entities(df: DataFrame, text: str = "text", recognisers: Iterable[Recog
     """Adds ``entities`` (ENTITY): matches of each recogniser in its order and then by place, each scored, those under their threshold left out. Entities of different labels may overlap; ``detect.recognised`` settles that. Null text: none."""
     recognisers = tuple(recognisers)
     t = F.coalesce(F.col(text), F.lit(""))
-    patterns = [ascii_boundaries(r.pattern) for r in recognisers]
+    patterns = [r.run for r in recognisers]
     cut = barrier(df, **{f"_g{i}": t.rlike(r.guard) for i, r in enumerate(recognisers)})
     cut = barrier(cut, **{f"_h{i}": F.when(F.col(f"_g{i}"), F.regexp_extract_all(t, F.lit(p), F.lit(0))) for i, p in enumerate(patterns)})
     cut = barrier(cut, **{f"_s{i}": F.when(F.size(f"_h{i}") > 0, located(F.split(t, p, -1), F.col(f"_h{i}"))) for i, p in enumerate(patterns)})
