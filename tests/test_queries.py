@@ -1,16 +1,13 @@
 """Every registered query with an SQL twin against DuckDB on the smallest tables."""
 
 import os
-import struct
-from collections import Counter, defaultdict
 
 import duckdb
 import pytest
-import xxhash
 
 from tidewell import cases, queries, whole
 
-QUERIES, SQL = queries.QUERIES | cases.QUERIES | whole.QUERIES, queries.SQL | cases.SQL | whole.SQL
+QUERIES, SQL = queries.QUERIES | cases.QUERIES | cases.GOLDEN | whole.QUERIES, queries.SQL | cases.SQL | cases.GOLDEN_SQL | whole.SQL
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -46,35 +43,6 @@ def test_clickstream_rows_follow_the_events_table(spark, duck):
     assert rows == duck.execute("SELECT count(*) FROM events").fetchone()[0]
 
 
-def spark_hash(*xs):
-    """xxhash64 over longs (int) and ints (tuples of one), chained by seed."""
-    h = 42
-    for x in xs:
-        h = xxhash.xxh64(struct.pack("<i", x[0]) if isinstance(x, tuple) else struct.pack("<q", x), h).intdigest()
-    return h
-
-
-def test_clickstream_against_plain_generator(spark, duck):
-    n = duck.execute("SELECT count(*) FROM events").fetchone()[0]
-    want, money = Counter(), defaultdict(int)
-    for i in range(n):
-        h = lambda k, i=i: spark_hash(i, (k,)) >> 1
-        key = (["page_view"] * 4 + ["click"] * 2 + ["add_to_cart", "purchase", "signup", "search"])[h(3) % 10], ["desktop", "mobile", "mobile", "tablet"][h(5) % 4]
-        want[key] += 1
-        money[key] += h(8) % 50_000 if key[0] == "purchase" else 0
-    got = {(r["event_type"], r["device"]): (r["n"], r["revenue"]) for r in QUERIES["q_clickstream"](spark, DIR).collect()}
-    assert got == {k: (v, pytest.approx(money[k] / 100)) for k, v in want.items()}
-
-
-def test_shard_counts_against_plain_hash(spark, duck):
-    want, tenants = Counter(), defaultdict(set)
-    for (k,) in duck.execute("SELECT json_extract_string(props, '$.k')::INT FROM events").fetchall():
-        signed = (spark_hash((k,)) ^ (1 << 63)) - (1 << 63)
-        want[signed % 4 + 1] += 1
-        tenants[signed % 4 + 1].add(k)
-    assert {r["shard"]: (r["rows"], r["tenants"]) for r in QUERIES["q_shard_counts"](spark, DIR).collect()} == {s: (n, len(tenants[s])) for s, n in want.items()}
-
-
 def test_sketches_are_near_exact_figures(spark, duck):
     users = dict(duck.execute("SELECT event_type, count(DISTINCT user_id) FROM events GROUP BY 1").fetchall())
     for r in QUERIES["q_uniq_hll"](spark, DIR).collect():

@@ -1,4 +1,4 @@
-"""Registered queries over small literal relations, stored tables and whole driver tables, each with an SQL twin.
+"""Queries over stored tables and whole driver tables, and golden ones over small literal relations, each with an SQL twin.
 
 Where the expected rows can be computed in SQL they are; golden cases state them as literal rows."""
 
@@ -23,15 +23,23 @@ from .streaming.ingest import Ledger, Rollup, refreshed
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+#: Queries that read no given table: tests run them against their twins, the entry doesn't register them.
+GOLDEN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+GOLDEN_SQL: dict[str, str] = {}
 
-def case(sql: str):
+
+def case(sql: str, of: dict = QUERIES, twins: dict = SQL):
     def add(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        of[f.__name__], twins[f.__name__] = f, sql
         return f
 
     return add
 
 
+def golden(sql: str):
+    return case(sql, GOLDEN, GOLDEN_SQL)
+
+
 def literal(v: object) -> str:
     if v is None:
         return "NULL"
@@ -75,14 +83,14 @@ def _texts(spark: SparkSession) -> DataFrame:
 # -- detection and redaction
 
 
-@case(f"""WITH cases AS {_TEXTS}, {_found_sql('cases', 'k', 'text')}, n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY {_ORDER}, s) AS j FROM f)
+@golden(f"""WITH cases AS {_TEXTS}, {_found_sql('cases', 'k', 'text')}, n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY {_ORDER}, s) AS j FROM f)
     SELECT n.k AS case_id, 'f' || j AS id, type, s AS start_at, e AS end_at, strlen(substr(x, 1, s::INT))::BIGINT AS byte_start, strlen(substr(x, 1, e::INT))::BIGINT AS byte_end, value FROM n JOIN t ON n.k = t.k""")
 def q_case_findings(spark: SparkSession, d: str) -> DataFrame:
     found = detect.with_findings(_texts(spark)).select("k", F.inline("findings"))
     return found.select(F.col("k").alias("case_id"), "id", "type", *[F.col(a).cast("long").alias(b) for a, b in (("start", "start_at"), ("end", "end_at"), ("byte_start", "byte_start"), ("byte_end", "byte_end"))], "value")
 
 
-@case(f"""WITH cases AS (SELECT k, k % 2 AS conv, k // 2 AS turn, text FROM {_TEXTS}), {_found_sql('cases', 'k', 'text')}
+@golden(f"""WITH cases AS (SELECT k, k % 2 AS conv, k // 2 AS turn, text FROM {_TEXTS}), {_found_sql('cases', 'k', 'text')}
     SELECT conv, turn, 'f' || row_number() OVER (PARTITION BY conv ORDER BY turn, {_ORDER}, s) AS id, type, value FROM f JOIN cases ON f.k = cases.k""")
 def q_case_message_ids(spark: SparkSession, d: str) -> DataFrame:
     t = _texts(spark).select((F.col("k") % 2).alias("conv"), F.expr("k div 2").alias("turn"), "text")
@@ -106,7 +114,7 @@ def _redacted_sql(found: str, key: str) -> str:
 SQL["q_redacted_docs"] = _redacted_sql(_F, "doc_id")
 
 
-@case(_redacted_sql(f"cases AS {_TEXTS}, {_found_sql('cases', 'k', 'text')}", "case_id"))
+@golden(_redacted_sql(f"cases AS {_TEXTS}, {_found_sql('cases', 'k', 'text')}", "case_id"))
 def q_case_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact.redacted(detect.with_findings(_texts(spark)), everywhere=False).where("redacted > 0").select(F.col("k").alias("case_id"), "redacted_text", "redacted")
 
@@ -130,19 +138,19 @@ def _given(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, f"case_id int, text string, findings array<{detect.FINDING}>")
 
 
-@case(f"SELECT * FROM {values([(k, out) for k, _, _, out in GIVEN], 'case_id INT, redacted_text VARCHAR')}")
+@golden(f"SELECT * FROM {values([(k, out) for k, _, _, out in GIVEN], 'case_id INT, redacted_text VARCHAR')}")
 def q_case_redact_everywhere(spark: SparkSession, d: str) -> DataFrame:
     return redact.redacted(_given(spark), style="suffix").select("case_id", "redacted_text")
 
 
-@case(f"SELECT * FROM {values([(1, '[EMAIL_2] then [EMAIL_1]', 'a@b.io then [EMAIL_1]')], 'case_id INT, backwards VARCHAR, chosen VARCHAR')}")
+@golden(f"SELECT * FROM {values([(1, '[EMAIL_2] then [EMAIL_1]', 'a@b.io then [EMAIL_1]')], 'case_id INT, backwards VARCHAR, chosen VARCHAR')}")
 def q_case_numbering(spark: SparkSession, d: str) -> DataFrame:
     df = detect.with_findings(spark.createDataFrame([(1, "a@b.io then c@d.io")], "case_id int, text string"))
     back = redact.redacted(df, numbering="reverse").select("case_id", F.col("redacted_text").alias("backwards"))
     return back.join(redact.redacted(df, ids=F.array(F.lit("f2"))).select("case_id", F.col("redacted_text").alias("chosen")), "case_id")
 
 
-@case(f"WITH cases AS {_TEXTS} SELECT k AS case_id, text AS restored FROM cases")
+@golden(f"WITH cases AS {_TEXTS} SELECT k AS case_id, text AS restored FROM cases")
 def q_case_restored(spark: SparkSession, d: str) -> DataFrame:
     out = redact.redacted(detect.with_findings(_texts(spark)), style="suffix")
     return out.select(F.col("k").alias("case_id"), redact.restored("redacted_text", "vault").alias("restored"))
@@ -225,7 +233,7 @@ def q_rebased_spans(spark: SparkSession, d: str) -> DataFrame:
 FOUND_AGAIN = [(1, "Ann met Bob", 0, 3, "Ann", 0, 3), (2, "Ann met Bob", 0, 3, "Bob", 8, 11), (3, "Ann met Bob", 0, 3, "Eve", None, None), (4, "é Bob, Bob", 3, 6, "Bob", 2, 5)]
 
 
-@case(f"SELECT case_id, coalesce(CASE WHEN substr(text, s + 1, e - s) = value THEN s ELSE nullif(instr(text, value), 0) - 1 END, -1)::INT AS start_at, coalesce(CASE WHEN substr(text, s + 1, e - s) = value THEN e ELSE nullif(instr(text, value), 0) - 1 + length(value) END, -1)::INT AS end_at FROM {values([r[:5] for r in FOUND_AGAIN], 'case_id INT, text VARCHAR, s INT, e INT, value VARCHAR')}")
+@golden(f"SELECT case_id, coalesce(CASE WHEN substr(text, s + 1, e - s) = value THEN s ELSE nullif(instr(text, value), 0) - 1 END, -1)::INT AS start_at, coalesce(CASE WHEN substr(text, s + 1, e - s) = value THEN e ELSE nullif(instr(text, value), 0) - 1 + length(value) END, -1)::INT AS end_at FROM {values([r[:5] for r in FOUND_AGAIN], 'case_id INT, text VARCHAR, s INT, e INT, value VARCHAR')}")
 def q_case_refound(spark: SparkSession, d: str) -> DataFrame:
     df = spark.createDataFrame([(k, t, (a, z, v)) for k, t, a, z, v, _, _ in FOUND_AGAIN], "case_id int, text string, span struct<start:int,end:int,value:string>")
     return df.select("case_id", S.refound(F.col("text"), F.col("span")).alias("x")).select("case_id", F.coalesce("x.start", F.lit(-1)).alias("start_at"), F.coalesce("x.end", F.lit(-1)).alias("end_at"))
@@ -234,7 +242,7 @@ def q_case_refound(spark: SparkSession, d: str) -> DataFrame:
 NAMED = [("person", "Ann"), ("person", "Ann Lee"), ("colour", "red"), ("email", " "), ("iban", "XX00"), ("person", "Ann")]
 
 
-@case(f"SELECT * FROM {values([(1, 'pii.name', 0, 7), (1, 'pii.name', 12, 15), (2, 'pii.name', 4, 7), (2, 'pii.bank_account', 8, 12), (2, 'pii.bank_account', 13, 17)], 'case_id INT, type VARCHAR, start_at INT, end_at INT')}")
+@golden(f"SELECT * FROM {values([(1, 'pii.name', 0, 7), (1, 'pii.name', 12, 15), (2, 'pii.name', 4, 7), (2, 'pii.bank_account', 8, 12), (2, 'pii.bank_account', 13, 17)], 'case_id INT, type VARCHAR, start_at INT, end_at INT')}")
 def q_case_grounded(spark: SparkSession, d: str) -> DataFrame:
     df = spark.createDataFrame([(1, "Ann Lee met Ann", NAMED), (2, "red Ann XX00 XX00", NAMED), (3, "none", NAMED), (4, None, None)], "case_id int, text string, entities array<struct<label:string,value:string>>")
     return detect.grounded_entities(df).select("case_id", F.inline("findings")).select("case_id", "type", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
@@ -243,13 +251,13 @@ def q_case_grounded(spark: SparkSession, d: str) -> DataFrame:
 LICENCES = [(1, "my driver licence is 12345678 ok"), (2, "order 12345678 shipped"), (3, "NSW 1234567 without a word for it"), (4, "licence NSW 1234567"), (5, "DL: AB12345")]
 
 
-@case(f"SELECT * FROM {values([(1, '12345678', 21, 0.55), (4, 'NSW 1234567', 8, 0.75), (4, '1234567', 12, 0.55), (5, 'AB12345', 4, 0.55)], 'case_id INT, value VARCHAR, start_at INT, score DOUBLE')}")
+@golden(f"SELECT * FROM {values([(1, '12345678', 21, 0.55), (4, 'NSW 1234567', 8, 0.75), (4, '1234567', 12, 0.55), (5, 'AB12345', 4, 0.55)], 'case_id INT, value VARCHAR, start_at INT, score DOUBLE')}")
 def q_case_licences(spark: SparkSession, d: str) -> DataFrame:
     df = spark.createDataFrame(LICENCES, "case_id int, text string")
     return df.select("case_id", F.inline(detect.driver_licences(F.col("text")))).select("case_id", "value", F.col("start").alias("start_at"), "score")
 
 
-@case(f"""WITH cases AS {_TEXTS} SELECT k AS case_id, 'API_KEY' AS label, unnest(regexp_extract_all(text, '\\bsk-[A-Za-z0-9_-]{{20,}}\\b')) AS value, 0.8::DOUBLE AS score FROM cases
+@golden(f"""WITH cases AS {_TEXTS} SELECT k AS case_id, 'API_KEY' AS label, unnest(regexp_extract_all(text, '\\bsk-[A-Za-z0-9_-]{{20,}}\\b')) AS value, 0.8::DOUBLE AS score FROM cases
     UNION ALL SELECT k, 'API_KEY', unnest(regexp_extract_all(text, '\\bAKIA[0-9A-Z]{{16}}\\b')), 0.9 FROM cases""")
 def q_case_key_scores(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark).select(F.col("k").alias("case_id"), F.inline(detect.api_keys(F.col("text")))).select("case_id", "label", "value", "score")
@@ -258,7 +266,7 @@ def q_case_key_scores(spark: SparkSession, d: str) -> DataFrame:
 ENTITIES = [(i, label, s) for i, (label, s) in enumerate([("PERSON", 0.6), ("PERSON", 0.59), ("LOCATION", 0.7), ("PHONE_NUMBER", 0.4), ("PHONE_NUMBER", 0.39), ("API_KEY", 0.45), ("US_SSN", 0.5), ("US_SSN", 0.49), ("UK_POSTCODE", 0.8), ("AU_TFN", 0.9), ("IBAN_CODE", 0.5), ("CREDIT_CARD", 1.0), ("DATE_TIME", 0.99)])]
 
 
-@case(f"""WITH e AS {values(ENTITIES, 'case_id INT, label VARCHAR, score DOUBLE')}
+@golden(f"""WITH e AS {values(ENTITIES, 'case_id INT, label VARCHAR, score DOUBLE')}
     SELECT case_id, CASE WHEN label = 'PERSON' THEN 'pii.name' WHEN label IN ('LOCATION', 'UK_POSTCODE') THEN 'pii.address' WHEN label = 'PHONE_NUMBER' THEN 'pii.phone' WHEN label = 'API_KEY' THEN 'secret.api_key'
         WHEN label = 'IBAN_CODE' THEN 'pii.bank_account' WHEN label = 'CREDIT_CARD' THEN 'pci.card_number' ELSE 'pii.national_id' END AS type FROM e
     WHERE label <> 'DATE_TIME' AND score >= CASE WHEN label IN ('PERSON', 'LOCATION') THEN 0.6 WHEN label IN ('PHONE_NUMBER', 'API_KEY') THEN 0.4 ELSE 0.5 END""")
@@ -277,13 +285,13 @@ def _names(t: str) -> list[dict]:
 PLUGGED = [(1, "é Ann"), (2, "boom Ann"), (3, "Ann is long"), (4, "nobody"), (5, None)]
 
 
-@case(f"SELECT * FROM {values([(1, None, 2, 5, 3, 6), (2, 'TimeoutError', -1, -1, -1, -1), (3, 'ValueError', -1, -1, -1, -1), (4, None, -1, -1, -1, -1), (5, None, -1, -1, -1, -1)], 'case_id INT, error VARCHAR, start_at INT, end_at INT, byte_start INT, byte_end INT')}")
+@golden(f"SELECT * FROM {values([(1, None, 2, 5, 3, 6), (2, 'TimeoutError', -1, -1, -1, -1), (3, 'ValueError', -1, -1, -1, -1), (4, None, -1, -1, -1, -1), (5, None, -1, -1, -1, -1)], 'case_id INT, error VARCHAR, start_at INT, end_at INT, byte_start INT, byte_end INT')}")
 def q_case_plugged_detector(spark: SparkSession, d: str) -> DataFrame:
     out = detect.detected_by(spark.createDataFrame(PLUGGED, "case_id int, text string"), _names)
     return out.select("case_id", "error", F.inline_outer("findings")).select("case_id", "error", *[F.coalesce(a, F.lit(-1)).alias(b) for a, b in (("start", "start_at"), ("end", "end_at"), ("byte_start", "byte_start"), ("byte_end", "byte_end"))])
 
 
-@case(f"SELECT * FROM {values([(1, 'Ann', 3), (2, None, -1), (3, None, -1), (4, 'x', 7)], 'case_id INT, label VARCHAR, n INT')}")
+@golden(f"SELECT * FROM {values([(1, 'Ann', 3), (2, None, -1), (3, None, -1), (4, 'x', 7)], 'case_id INT, label VARCHAR, n INT')}")
 def q_case_fenced_json(spark: SparkSession, d: str) -> DataFrame:
     rows = [(1, 'Sure:\n```json\n{"label": "Ann",\n "n": 3}\n```'), (2, "no object"), (3, "{oops}"), (4, '{"label":"x","n":7}')]
     df = spark.createDataFrame(rows, "case_id int, reply string")
@@ -330,7 +338,7 @@ REQUESTS = [  # key, raw, upstream error; status, action, error body, what is fo
 ]
 
 
-@case(f"SELECT * FROM {values([(i, *r[3:]) for i, r in enumerate(REQUESTS)], 'request_id INT, status INT, action VARCHAR, error_body VARCHAR, forwarded VARCHAR')}")
+@golden(f"SELECT * FROM {values([(i, *r[3:]) for i, r in enumerate(REQUESTS)], 'request_id INT, status INT, action VARCHAR, error_body VARCHAR, forwarded VARCHAR')}")
 def q_gateway_outcomes(spark: SparkSession, d: str) -> DataFrame:
     df = spark.createDataFrame([(i, k, raw, up) for i, (k, raw, up, *_) in enumerate(REQUESTS)], "request_id int, key string, raw string, upstream_error string")
     keys = spark.createDataFrame(KEYS, "key string, app_id string, app_approved_for array<string>, destination_hosting string, destination_provider string")
@@ -345,7 +353,7 @@ KEPT = [
 ]
 
 
-@case(f"SELECT * FROM {values([(1, KEPT[0][1].replace(chr(34) + 'a' + chr(34), chr(34) + 'A' + chr(92) + chr(34) + '1' + chr(34))), (2, KEPT[1][1]), (3, KEPT[2][1])], 'case_id INT, raw VARCHAR')}")
+@golden(f"SELECT * FROM {values([(1, KEPT[0][1].replace(chr(34) + 'a' + chr(34), chr(34) + 'A' + chr(92) + chr(34) + '1' + chr(34))), (2, KEPT[1][1]), (3, KEPT[2][1])], 'case_id INT, raw VARCHAR')}")
 def q_rewritten_requests(spark: SparkSession, d: str) -> DataFrame:
     df = spark.createDataFrame(KEPT, "case_id int, raw string, content string")
     return df.select("case_id", files.rewritten("raw", F.array("content")).alias("raw"))
@@ -361,7 +369,7 @@ statements:
 """
 
 
-@case(f"SELECT * FROM {values([(None, 'policy', 3), ('1.x', 'statement', 2), ('2', 'statement', 5), ('3', 'detector', 1), ('3', 'condition', 2), ('3', 'exemption', 1)], 'statement VARCHAR, part VARCHAR, broken BIGINT')}")
+@golden(f"SELECT * FROM {values([(None, 'policy', 3), ('1.x', 'statement', 2), ('2', 'statement', 5), ('3', 'detector', 1), ('3', 'condition', 2), ('3', 'exemption', 1)], 'statement VARCHAR, part VARCHAR, broken BIGINT')}")
 def q_policy_violations(spark: SparkSession, d: str) -> DataFrame:
     found = policy_checks.violations(spark, [policy.parse_policy(x) for x in (BAD, POLICY)])
     return found.groupBy("statement", "part").agg(F.count(F.lit(1)).alias("broken"))
@@ -370,7 +378,7 @@ def q_policy_violations(spark: SparkSession, d: str) -> DataFrame:
 _GENERATED = [("1.1", "pii.email", "redact"), ("1.1", "pii.phone", "redact"), ("1.1", "pii.national_id", "redact"), ("1.1", "undetected", None), ("1.1", "pii.email", None), ("1.2", "pci.card_number", "block"), ("1.2", "secret.api_key", "block"), ("1.2", "undetected", None)]
 
 
-@case(f"SELECT * FROM {values([(*r, r[2]) for r in _GENERATED], 'statement VARCHAR, type VARCHAR, expected VARCHAR, fired VARCHAR')}")
+@golden(f"SELECT * FROM {values([(*r, r[2]) for r in _GENERATED], 'statement VARCHAR, type VARCHAR, expected VARCHAR, fired VARCHAR')}")
 def q_policy_cases(spark: SparkSession, d: str) -> DataFrame:
     p = policy.compiled(POLICY)
     made = policy_checks.cases(p)
@@ -380,7 +388,7 @@ def q_policy_cases(spark: SparkSession, d: str) -> DataFrame:
     return df.join(got, "request_id", "left").select(F.coalesce("statement", "want").alias("statement"), "type", "expected", "fired")
 
 
-@case(f"SELECT * FROM {values([('none', None), ('other version', 'version'), ('changed', 'content_sha256'), ('unsigned', 'role'), ('other policy', 'policy_id')], 'approval VARCHAR, lacks VARCHAR')}")
+@golden(f"SELECT * FROM {values([('none', None), ('other version', 'version'), ('changed', 'content_sha256'), ('unsigned', 'role'), ('other policy', 'policy_id')], 'approval VARCHAR, lacks VARCHAR')}")
 def q_policy_approvals(spark: SparkSession, d: str) -> DataFrame:
     p = policy.parse_policy(POLICY)
     good = {"policy_id": p.policy_id, "version": p.version, "content_sha256": p.sha256, "approvals": [{"role": r} for r in p.approvers]}
@@ -392,7 +400,7 @@ def q_policy_approvals(spark: SparkSession, d: str) -> DataFrame:
 _NEEDS = POLICY.replace("pii.email", "pii.name")
 
 
-@case(f"""SELECT name, 'POL-DEMO-001@1.0+' || left(sha256(raw), 8) AS revision, 'pol_demo_001' AS package, name = 'service' AS needs_service, true AS verified, true AS other_key_refused, name = 'service' AS refused_alone
+@golden(f"""SELECT name, 'POL-DEMO-001@1.0+' || left(sha256(raw), 8) AS revision, 'pol_demo_001' AS package, name = 'service' AS needs_service, true AS verified, true AS other_key_refused, name = 'service' AS refused_alone
     FROM {values([('plain', POLICY), ('service', _NEEDS)], 'name VARCHAR, raw VARCHAR')}""")
 def q_policy_bundles(spark: SparkSession, d: str) -> DataFrame:
     def holds(raw: bytes, key: bytes, service: bool) -> bool:
@@ -445,20 +453,20 @@ def q_alerts(spark: SparkSession, d: str) -> DataFrame:
 LOGGED = [("a", 5.0, 100.0, "finished"), ("b", 9.0, 101.0, "finished"), ("c", 1.0, 102.0, "failed"), ("d", 9.0, 103.0, "finished"), ("e", 3.0, 104.0, "running"), ("f", 30.0, 105.0, "running")]
 
 
-@case(f"SELECT * FROM {values([('slowest', 'b', 9.0), ('slowest', 'd', 9.0), ('since', 'd', 9.0), ('running', 'e', 3.0), ('running', 'f', 30.0)], 'list VARCHAR, query_id VARCHAR, seconds DOUBLE')}")
+@golden(f"SELECT * FROM {values([('slowest', 'b', 9.0), ('slowest', 'd', 9.0), ('since', 'd', 9.0), ('running', 'e', 3.0), ('running', 'f', 30.0)], 'list VARCHAR, query_id VARCHAR, seconds DOUBLE')}")
 def q_health_queries(spark: SparkSession, d: str) -> DataFrame:
     log = spark.createDataFrame(LOGGED, "query_id string, seconds double, began double, state string")
     named = lambda df, name: df.select(F.lit(name).alias("list"), "query_id", "seconds")
     return named(health.slowest(log, n=2), "slowest").unionByName(named(health.slowest(log, F.lit(102.0)), "since")).unionByName(named(health.running(log), "running"))
 
 
-@case(f"SELECT * FROM {values([(60, 'UNKNOWN_TABLE', 2, 'no t', 7), (62, 'SYNTAX', 1, 'bad', 9)], 'code INT, name VARCHAR, n BIGINT, sample VARCHAR, last INT')}")
+@golden(f"SELECT * FROM {values([(60, 'UNKNOWN_TABLE', 2, 'no t', 7), (62, 'SYNTAX', 1, 'bad', 9)], 'code INT, name VARCHAR, n BIGINT, sample VARCHAR, last INT')}")
 def q_health_errors(spark: SparkSession, d: str) -> DataFrame:
     df = spark.createDataFrame([(60, "UNKNOWN_TABLE", "no t", 5), (60, "UNKNOWN_TABLE", "no t", 7), (62, "SYNTAX", "bad", 9), (1, "OTHER", "x", 1)], "code int, name string, message string, at int")
     return health.errors_by_code(df, [60, 62])
 
 
-@case(f"SELECT * FROM {values([('stuck', 't1', 12.0), ('merge', 't1', 0.33), ('mutation', 't2', None)], 'kind VARCHAR, name VARCHAR, value DOUBLE')}")
+@golden(f"SELECT * FROM {values([('stuck', 't1', 12.0), ('merge', 't1', 0.33), ('mutation', 't2', None)], 'kind VARCHAR, name VARCHAR, value DOUBLE')}")
 def q_health_work(spark: SparkSession, d: str) -> DataFrame:
     queue = spark.createDataFrame([("t1", 12, "gone"), ("t2", 12, ""), ("t3", 2, "gone"), ("t4", 50, None)], "table string, num_tries int, last_exception string")
     merges = spark.createDataFrame([("t1", 0.3333)], "table string, progress double")
@@ -467,7 +475,7 @@ def q_health_work(spark: SparkSession, d: str) -> DataFrame:
     return stuck.unionByName(health.merges_and_mutations(merges, mutations).select("kind", F.col("table").alias("name"), F.col("progress").alias("value")))
 
 
-@case(f"SELECT * FROM {values([('disk', 'd1', '10.00 GiB', '100.00 GiB', True), ('disk', 'd2', '50.00 GiB', '100.00 GiB', False), ('queue', 'x', '3', '300', True)], 'kind VARCHAR, name VARCHAR, a VARCHAR, b VARCHAR, flag BOOLEAN')}")
+@golden(f"SELECT * FROM {values([('disk', 'd1', '10.00 GiB', '100.00 GiB', True), ('disk', 'd2', '50.00 GiB', '100.00 GiB', False), ('queue', 'x', '3', '300', True)], 'kind VARCHAR, name VARCHAR, a VARCHAR, b VARCHAR, flag BOOLEAN')}")
 def q_health_space(spark: SparkSession, d: str) -> DataFrame:
     g = 1 << 30
     disks = health.disks(spark.createDataFrame([("d1", 10 * g, 100 * g), ("d2", 50 * g, 100 * g)], "name string, free_bytes long, total_bytes long"))
@@ -587,7 +595,7 @@ def q_table_columns(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, [tuple(r) for r in rows], "name string, measured boolean", t.path)
 
 
-@case("SELECT 1::BIGINT AS id, '' AS note, 0::INT AS n, false AS flag, true AS no_tags UNION ALL SELECT 2, 'x', 5, false, true")
+@golden("SELECT 1::BIGINT AS id, '' AS note, 0::INT AS n, false AS flag, true AS no_tags UNION ALL SELECT 2, 'x', 5, false, true")
 def q_table_defaults(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.types import StructType
 
@@ -642,7 +650,7 @@ def q_audit_lines(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, [tuple(r) for r in rows], "doc_id long, source string, lines long", at)
 
 
-@case(f"SELECT * FROM {values([('a.json', 19, 'm', 0), ('b.json', 45, 'n', 1), ('c.json', 3, None, -1)], 'file VARCHAR, chars INT, model VARCHAR, messages INT')}")
+@golden(f"SELECT * FROM {values([('a.json', 19, 'm', 0), ('b.json', 45, 'n', 1), ('c.json', 3, None, -1)], 'file VARCHAR, chars INT, model VARCHAR, messages INT')}")
 def q_prompt_files(spark: SparkSession, d: str) -> DataFrame:
     at = scratch(spark, "prompts")
     store = Files(spark, at)

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .city import number_hash, unsigned_mod
+
 #: A word boundary over ASCII word characters only, whatever the regex engine's own rule is.
 ASCII_B = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
@@ -51,20 +53,15 @@ def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
 
-def hashed(*cols: Column | object) -> Column:
-    """A non-negative 63-bit hash of the arguments."""
-    return F.shiftrightunsigned(F.xxhash64(*[c if isinstance(c, Column) else F.lit(c) for c in cols]), 1)
-
-
 def hash_uuid(*cols: Column | object) -> Column:
     """A reproducible id in UUID form."""
     h = F.md5(F.concat_ws("|", *[(c if isinstance(c, Column) else F.lit(c)).cast("string") for c in cols]))
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
-def shard_number(key: Column | str, shards: int) -> Column:
-    """1..shards by a hash of the key."""
-    return (F.pmod(F.xxhash64(key), F.lit(shards)) + 1).cast("int")
+def shard_number(key: Column | str, shards: int, whole: bool = True) -> Column:
+    """1..shards by the key's hash: the city hash of whole numbers, else Spark's own."""
+    return ((unsigned_mod(number_hash(key), shards) if whole else F.pmod(F.xxhash64(key), F.lit(shards))) + 1).cast("int")
 
 
 def byte_offset(text: Column, chars: Column) -> Column:

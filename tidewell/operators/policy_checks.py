@@ -59,7 +59,11 @@ def parts(p: Policy) -> list[tuple]:
 
 def violations(spark: SparkSession, policies: Iterable[Policy]) -> DataFrame:
     """(policy_id, statement, part, name, message): every rule that a part of a policy breaks."""
-    df = spark.createDataFrame([r for p in policies for r in parts(p)], PART)
+    return broken_rules(spark.createDataFrame([r for p in policies for r in parts(p)], PART))
+
+
+def broken_rules(df: DataFrame) -> DataFrame:
+    """The same of a relation of parts (PART), of however many policies: one pass, nothing is shuffled."""
     of = F.when(F.col("part").isin("condition", "exemption"), "field").otherwise(F.col("part"))
     catalogues = {"statement": ACTIONS, "detector": tuple(sorted(SOURCES)), "field": tuple(sorted(FIELDS))}
     known = F.lit(False)
@@ -79,6 +83,21 @@ def unmet(p: Policy, approval: dict[str, Any]) -> list[tuple[str, str]]:
     return sorted(due - held)
 
 
+def unsigned(policies: DataFrame, approvals: DataFrame) -> DataFrame:
+    """(policy_id, version, content_sha256, role, lacks): signatures that policies still need.
+
+    ``policies`` holds policy_id, version, content_sha256 and the roles of its approvers; ``approvals`` a signature a row: policy_id,
+    version, content_sha256, role. ``lacks`` says what is missing: a signature of the role at all, one of this version, or one of
+    this content. Repeated signatures and roles count once; a null in a signature signs nothing; policies without approvers need none."""
+    due = policies.select("policy_id", "version", "content_sha256", F.explode(F.array_distinct("approvers")).alias("role")).distinct()
+    held = approvals.select("policy_id", "role", F.col("version").alias("_version"), F.col("content_sha256").alias("_content")).dropna().distinct()
+    of = F.col("_version") == F.col("version")
+    best = F.max(F.when(of & (F.col("_content") == F.col("content_sha256")), 3).when(of, 2).when(F.col("_version").isNotNull(), 1).otherwise(0))
+    lacks = F.when(F.col("_best") == 0, "role").when(F.col("_best") == 1, "version").when(F.col("_best") == 2, "content_sha256")
+    found = due.join(held, ["policy_id", "role"], "left").groupBy("policy_id", "version", "content_sha256", "role").agg(best.alias("_best"))
+    return found.where("_best < 3").select("policy_id", "version", "content_sha256", "role", lacks.alias("lacks"))
+
+
 def cases(p: Policy) -> list[dict[str, Any]]:
     """A test case for each part of a gateway statement. A detector's: data of its type fires the statement. The statement's own: data that nothing detects doesn't. An exemption's: nor does detected data under it. Conditions make up the request of them all."""
     rows = [dict(zip([c.split()[0] for c in PART.split(", ")], r, strict=True)) for r in parts(p)]

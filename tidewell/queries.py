@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import city
 from .functions import scalars as X
 from .functions import states
 from .operators import detect, evidence, kinds, policy, ranks, redact
@@ -135,7 +136,8 @@ def q_clickstream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_shops(spark: SparkSession, d: str) -> DataFrame:
-    return generators.shops(spark).select("tenant_id", "name", "tier")
+    """A shop for every customer."""
+    return generators.shops(spark, read_table(spark, d, "customer").count())
 
 
 # -- table kinds and states
@@ -380,8 +382,13 @@ SQL = {
     "q_readable_size": "SELECT source, sum(strlen(text))::BIGINT AS bytes, CASE WHEN sum(strlen(text)) >= 1048576 THEN printf('%.2f MiB', sum(strlen(text)) / 1048576.0) WHEN sum(strlen(text)) >= 1024 THEN printf('%.2f KiB', sum(strlen(text)) / 1024.0) ELSE printf('%.2f B', sum(strlen(text))::DOUBLE) END AS size FROM documents GROUP BY source",
     "q_extract": r"SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, substr(url, 1, 20) AS head, list_contains(regexp_split_to_array(html, '[^0-9A-Za-z_]+'), 'div') AS has_div FROM pages",
     "q_offsets": "SELECT doc_id, strlen(substr(text, 1, 20))::BIGINT AS bytes20, sha256(text) AS sha FROM documents",
-    "q_shops": """SELECT (n + 1)::INT AS tenant_id, (['Acme', 'Nordic', 'Sunrise', 'Blue', 'Urban', 'Pixel', 'Green', 'Metro'])[1 + n % 8] || ' ' || (['Outfitters', 'Books', 'Gadgets', 'Home', 'Coffee', 'Sports'])[1 + (n // 8) % 6] || ' #' || (n + 1) AS name,
-        CASE WHEN n < 20 THEN 'enterprise' WHEN n < 200 THEN 'pro' ELSE 'free' END AS tier FROM (SELECT unnest(range(1000)) AS n)""",
+    "q_shops": f"""SELECT (number + 1)::INT AS tenant_id, ({generators.SHOP_FIRST})[1 + number % 8] || ' ' || ({generators.SHOP_SECOND})[1 + (number // 8) % 6] || ' #' || (number + 1) AS name,
+        CASE WHEN number < 20 THEN 'enterprise' WHEN number < 200 THEN 'pro' ELSE 'free' END AS tier, ({generators.COUNTRIES})[1 + (h % 10)::INT] AS country
+        FROM ({city.hash_sql("SELECT unnest(range((SELECT count(*) FROM customer))) AS number", "number")})""",
+    "q_shard_counts": _E + f"SELECT (h % 4 + 1)::INT AS shard, count(*) AS rows, count(DISTINCT tenant_id) AS tenants FROM ({city.hash_sql('SELECT tenant_id FROM e', 'tenant_id')}) GROUP BY 1",
+    "q_clickstream": f"""SELECT event_type, device, count(*) AS n, sum(CASE event_type WHEN 'purchase' THEN cents ELSE 0 END)::DOUBLE / 100 AS revenue FROM (
+        SELECT number, ({generators.EVENT_MIX})[1 + max(h % 10) FILTER (seed = 3)::INT] AS event_type, ({generators.DEVICES})[1 + max(h % 4) FILTER (seed = 5)::INT] AS device, max(h % 50000) FILTER (seed = 8) AS cents
+        FROM ({city.hash_sql("SELECT unnest(range((SELECT count(*) FROM events))) AS number", "number", (3, 5, 8))}) GROUP BY number) GROUP BY ALL""",
     "q_latest_version": "SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1 AND o_orderstatus <> 'F'",
     "q_argmax_having": "SELECT o_custkey, o_orderpriority AS priority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1 AND o_orderstatus = 'O'",
     "q_daily_revenue_summing": _E + f"SELECT strftime(ts, '%Y-%m-%d') AS day, tenant_id, count(*) AS orders, sum(revenue)::{_M}::DOUBLE AS revenue FROM e WHERE event_type = 'purchase' GROUP BY 1, 2",

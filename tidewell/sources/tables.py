@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from ..functions.scalars import readable_size, shard_number, yyyymm
 from ..plans.queries import tagged
@@ -198,9 +198,13 @@ def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, order: tupl
     (out.option("path", path) if path else out).bucketBy(buckets, key).sortBy(key, *[c for c in order if c != key]).format("parquet").saveAsTable(name)
 
 
+def _whole(df: DataFrame, key: str) -> bool:
+    return isinstance(df.schema[key].dataType, IntegralType)
+
+
 def write_sharded(df: DataFrame, path: str, key: str, shards: int) -> None:
     """Appends each row to its shard's folder, by a hash of the key; large shards in several files."""
-    df.withColumn("shard", shard_number(key, shards)).hint("rebalance", "shard").write.mode("append").partitionBy("shard").parquet(path)
+    df.withColumn("shard", shard_number(key, shards, _whole(df, key))).hint("rebalance", "shard").write.mode("append").partitionBy("shard").parquet(path)
 
 
 def read_sharded(spark: SparkSession, path: str, key: str, shards: int, equal_to: object = None) -> DataFrame:
@@ -208,7 +212,7 @@ def read_sharded(spark: SparkSession, path: str, key: str, shards: int, equal_to
     df = spark.read.parquet(path)
     if equal_to is not None:
         value = F.lit(equal_to).cast(df.schema[key].dataType)
-        df = df.where((F.col("shard") == shard_number(value, shards)) & (F.col(key) == value))
+        df = df.where((F.col("shard") == shard_number(value, shards, _whole(df, key))) & (F.col(key) == value))
     return df.drop("shard")
 
 

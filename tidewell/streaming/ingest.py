@@ -6,12 +6,15 @@ import json
 import random
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import start_of
 from ..functions.states import partial, rolled
@@ -154,6 +157,41 @@ class Rollup:
         return self._read("states")
 
 
+def first_blocks(headers: DataFrame, keep: int = 1000, expiry: timedelta = timedelta(hours=1)) -> DataFrame:
+    """A stream's block headers without repetitions: of ``source``, ``token``, ``at`` (a timestamp) and any other columns, the rows whose token isn't among the source's last ``keep`` ones or was met longer than ``expiry`` ago.
+
+    The tokens live in the stream's own state, restored on a restart: at most ``keep`` a source, gone once the watermark has passed
+    the source's newest block by ``expiry``. A source's headers, a row a block however many rows that has, meet in one task and pass
+    through it; headers without a source, a token or a time pass unprotected."""
+    span = int(expiry.total_seconds() * 1000)
+
+    def fresh(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = dict(zip(*state.get, strict=True)) if state.exists else {}
+        newest = max(known.values(), default=0)
+        for frame in frames:
+            new = []
+            for token, at in zip(frame["token"], frame["at"], strict=True):
+                ms = None if pd.isna(at) else int(at.timestamp() * 1000)
+                if key[0] is None or token is None or ms is None:
+                    new.append(True)
+                    continue
+                newest = max(newest, ms)
+                new.append(token not in known or known[token] < ms - span)
+                if new[-1]:
+                    known.pop(token, None)  # to the end of the order
+                    known[token] = ms
+                    while len(known) > keep:
+                        del known[next(iter(known))]
+            yield frame[new]
+        state.update((list(known), list(known.values())))
+        state.setTimeoutTimestamp(max(newest + span, state.getCurrentWatermarkMs() + 1))
+
+    return headers.withWatermark("at", f"{span} milliseconds").groupBy("source").applyInPandasWithState(fresh, headers.schema, "tokens array<string>, met array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 class Batches:
     """Rows of a client, written as a block once there are ``rows`` of them or the first has waited ``seconds``, with retries; a block's token stays the same through them, so that it is written once."""
 

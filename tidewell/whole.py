@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,11 @@ from .cases import _ORDER, _redacted_sql
 from .functions import scalars as X
 from .functions import spans as S
 from .functions.spans import barrier, located
-from .operators import detect, evidence, gateway, identifiers, intervals, named_values, policy, redact
+from .operators import detect, evidence, gateway, identifiers, intervals, named_values, policy, policy_checks, redact
 from .queries import _E, POLICY, RUNTIME, _events, _found_sql, _requests
 from .session import read_table, scratch
 from .sources.keyed import Keyed
+from .streaming.ingest import first_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -456,3 +458,78 @@ def q_skipped_check_rollup(spark: SparkSession, d: str) -> DataFrame:
     skipped = policy.skip_records(r).select("policy_id", "policy_version", "statement", F.lit("none").alias("action"), F.lit("skipped").alias("mode"), "skipped")
     records = made.select("policy_id", "policy_version", "statement", "action", "mode", F.lit(False).alias("skipped")).unionByName(skipped).withColumn("at", F.lit("2026-12-01").cast("timestamp"))
     return evidence.period_rollup(records).select("statement", "evaluated", "redacted", "blocked", "skipped_checks")
+
+
+# -- policies as relations
+
+
+_PART = """SELECT CASE o_custkey % 5 WHEN 0 THEN 'pol-' ELSE 'POL-AI-' END || lpad(cast(o_custkey % 1000 AS string), 3, '0') AS policy_id,
+    CASE o_custkey % 7 WHEN 0 THEN '' ELSE '1.' || cast(o_custkey % 3 AS string) END AS version, cast(o_custkey % 3 AS int) AS signers,
+    CASE o_orderkey % 11 WHEN 0 THEN '1.x' ELSE '1.' || cast(o_orderkey % 10 AS string) END AS statement, cast(1 + o_orderkey % 2 AS int) AS uses,
+    CASE o_orderkey % 4 WHEN 0 THEN 'workflow' WHEN 1 THEN 'nobody' ELSE 'gateway' END AS enforced_by, CASE o_custkey % 2 WHEN 0 THEN 'block' ELSE 'burn' END AS action,
+    CASE o_custkey % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'closed' ELSE 'maybe' END AS failure, cast(o_custkey % 3 AS int) AS detectors,
+    CASE o_custkey % 6 WHEN 0 THEN 'policy' WHEN 1 THEN 'statement' WHEN 2 THEN 'detector' WHEN 3 THEN 'exemption' ELSE 'condition' END AS part,
+    CASE o_custkey % 6 WHEN 0 THEN 'policy' WHEN 1 THEN CASE o_custkey % 2 WHEN 0 THEN 'block' ELSE 'burn' END WHEN 2 THEN CASE o_orderkey % 3 WHEN 0 THEN 'pii.email' ELSE 'pii.passport' END
+        ELSE CASE o_orderkey % 3 WHEN 0 THEN 'app.id' WHEN 1 THEN 'app.approved_for' ELSE 'app.colour' END END AS name,
+    CASE o_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'x' END AS equals, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'x' END AS contains FROM orders"""
+
+
+def _broken_sql() -> str:
+    fields = ", ".join(sorted(policy_checks.FIELDS))
+    sources = ", ".join(sorted(detect.SOURCES))
+    gated, field = "enforced_by = 'gateway'", "part IN ('condition', 'exemption') AND enforced_by = 'gateway'"
+    single = "name IN ('app.id', 'app.risk_tier', 'destination.hosting', 'destination.provider')"
+    rules = [
+        ("part = 'policy' AND NOT regexp_full_match(policy_id, 'POL-[A-Z]+-[0-9][0-9][0-9]')", "'the id ' || policy_id || ' has another form than POL-AI-003'"),
+        ("part = 'policy' AND length(version) = 0", "'no version'"),
+        ("part = 'policy' AND signers = 0", "'no approvers'"),
+        ("part = 'statement' AND NOT regexp_full_match(statement, '[0-9]+([.][0-9]+)*')", "'an id is numbers joined by dots'"),
+        ("part = 'statement' AND uses > 1", "'the id is used ' || uses || ' times'"),
+        ("part = 'statement' AND enforced_by = 'nobody'", "'nothing called nobody enforces statements'"),
+        (f"part = 'statement' AND {gated} AND action = 'burn'", "'there is no action burn'"),
+        (f"part = 'statement' AND {gated} AND failure = 'maybe'", "'on_check_failure says neither open nor closed'"),
+        (f"part = 'statement' AND {gated} AND detectors = 0", "'no detector is named'"),
+        (f"part = 'detector' AND {gated} AND name = 'pii.passport'", f"'there is no detector pii.passport, only {sources}'"),
+        (f"{field} AND name = 'app.colour'", f"'there is no field app.colour, only {fields}'"),
+        (f"{field} AND name = 'app.approved_for' AND (contains IS NULL OR contains = '' OR equals IS NOT NULL)", "'app.approved_for is a list: compare by contains'"),
+        (f"{field} AND {single} AND (equals IS NULL OR equals = '' OR contains IS NOT NULL)", "name || ' is one value: compare by equals'"),
+    ]
+    return f"WITH p AS ({_PART}) " + " UNION ALL ".join(f"SELECT policy_id, statement, part, name, {say} AS message FROM p WHERE {wrong}" for wrong, say in rules)
+
+
+@case(_broken_sql())
+def q_policy_part_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Every rule that the parts of many policies break; a part for each order."""
+    return policy_checks.broken_rules(spark.sql(_PART.replace("FROM orders", "FROM {orders}"), orders=read_table(spark, d, "orders")))
+
+
+_DUE = "SELECT o_orderkey AS policy_id, cast(1 + o_custkey % 2 AS string) AS version, {sha} AS content_sha256, {roles} AS approvers FROM orders"
+_HELD = "SELECT l_orderkey AS policy_id, cast(1 + l_linenumber % 2 AS string) AS version, {sha} AS content_sha256, CASE l_partkey % 4 WHEN 0 THEN 'legal' WHEN 1 THEN 'security' WHEN 2 THEN 'privacy' END AS role FROM lineitem"
+_ROLES = "CASE o_orderkey % 3 WHEN 0 THEN {0}'legal', 'security'{1} WHEN 1 THEN {0}'privacy'{1} ELSE {0}'legal', 'privacy', 'legal'{1} END"
+
+
+@case(f"""WITH due AS (SELECT DISTINCT policy_id, version, content_sha256, unnest(approvers) AS role FROM ({_DUE.format(sha="sha256(cast(o_orderkey AS string))", roles=_ROLES.format("[", "]"))})),
+    held AS ({_HELD.format(sha="sha256(cast(l_orderkey + l_suppkey % 2 AS string))")})
+    SELECT *, CASE WHEN NOT EXISTS (SELECT 1 FROM held h WHERE h.policy_id = due.policy_id AND h.role = due.role) THEN 'role'
+        WHEN NOT EXISTS (SELECT 1 FROM held h WHERE h.policy_id = due.policy_id AND h.role = due.role AND h.version = due.version) THEN 'version' ELSE 'content_sha256' END AS lacks
+    FROM due WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.policy_id = due.policy_id AND h.role = due.role AND h.version = due.version AND h.content_sha256 = due.content_sha256)""")
+def q_missing_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """A policy for each order, a signature for each of its lines: what still has to be signed, and why."""
+    due = _DUE.format(sha="sha2(cast(o_orderkey AS string), 256)", roles=_ROLES.format("array(", ")")).replace("FROM orders", "FROM {orders}")
+    held = _HELD.format(sha="sha2(cast(l_orderkey + l_suppkey % 2 AS string), 256)").replace("FROM lineitem", "FROM {lineitem}")
+    return policy_checks.unsigned(spark.sql(due, orders=read_table(spark, d, "orders")), spark.sql(held, lineitem=read_table(spark, d, "lineitem")))
+
+
+# -- blocks in a stream's state
+
+
+@case(_E + "SELECT DISTINCT tenant_id::VARCHAR AS source, strftime(ts, '%Y-%m-%d %H') AS token, 1::BIGINT AS blocks FROM e")
+def q_stream_first_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Hours of each shop as blocks, every event a delivery of its hour's: each block is accepted once, although the stream restarts and everything is delivered again."""
+    at = scratch(spark, "first_blocks")
+    e = _events(spark, d).select(F.col("tenant_id").cast("string").alias("source"), F.date_format("ts", "yyyy-MM-dd HH").alias("token"), F.col("ts").cast("timestamp").alias("at"))
+    for _ in range(2):
+        e.repartition(2).write.mode("append").parquet(f"{at}/headers")
+        headers = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/headers")
+        first_blocks(headers, keep=100_000, expiry=timedelta(days=3650)).writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("source", "token").agg(F.count(F.lit(1)).alias("blocks"))
