@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -328,3 +330,16 @@ def test_half_written_blocks_are_neither_read_nor_merged(spark, tmp_path, monkey
     r.compact()
     r.compact("raw")
     assert not r.write(block(4), "d") and not r.write(block(3), "c") and counts(r) == (40, 40)
+
+
+def test_incremental_copies_take_changed_files_of_equal_size(spark, tmp_path):
+    store = files.Files(spark, str(tmp_path))
+    store.write(f"{tmp_path}/t/a", "old")
+    store.write(f"{tmp_path}/t/b", "same")
+    snapshots.backup(spark, {"t": f"{tmp_path}/t"}, f"{tmp_path}/full")
+    time.sleep(1.1)  # stores that keep times in seconds
+    store.write(f"{tmp_path}/t/a", "new")
+    made = snapshots.backup(spark, {"t": f"{tmp_path}/t"}, f"{tmp_path}/inc", f"{tmp_path}/full")
+    assert [f["name"] for f in made["files"] if "/inc/" in f["at"]] == ["a"]
+    snapshots.restore(spark, f"{tmp_path}/inc", "t", f"{tmp_path}/back")
+    assert (store.read(f"{tmp_path}/back/a"), store.read(f"{tmp_path}/back/b")) == ("new", "same")

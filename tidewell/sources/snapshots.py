@@ -10,19 +10,19 @@ from .files import Files
 
 
 def backup(spark: SparkSession, tables: dict[str, str], to: str, base: str | None = None) -> dict:
-    """Copies the tables' files (name -> path). With a base only files that it (or its own base) doesn't hold are copied. Returns the manifest."""
+    """Copies the tables' files (name -> path). With a base only files that it (or its own base) doesn't hold are copied; a file is the same by name, size and time of change. Returns the manifest."""
     files = Files(spark, to)
-    held = {(f["table"], f["name"], f["size"]): f["at"] for f in manifest(spark, base)["files"]} if base else {}
+    held = {(f["table"], f["name"], f["size"], f.get("modified")): f["at"] for f in manifest(spark, base)["files"]} if base else {}
     out, copies = [], []
     for table, path in sorted(tables.items()):
         root = files.qualified(path)
         for i in Files(spark, path).listed(path):
             name = i.path[len(root):].lstrip("/")
-            at = held.get((table, name, i.size))
+            at = held.get((table, name, i.size, i.modified))
             if at is None:
                 at = f"{to}/{table}/{name}"
                 copies.append((i.path, at))
-            out.append({"table": table, "name": name, "size": i.size, "at": at})
+            out.append({"table": table, "name": name, "size": i.size, "modified": i.modified, "at": at})
     files.copy_all(copies)
     found = {"base": base, "files": out}
     files.write(f"{to}/manifest.json", json.dumps(found))

@@ -11,6 +11,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .cases import _ORDER, _redacted_sql
 from .functions import scalars as X
@@ -19,8 +20,9 @@ from .functions.spans import barrier, located
 from .operators import detect, evidence, gateway, identifiers, intervals, named_values, policy, policy_checks, redact
 from .queries import _E, POLICY, RUNTIME, _events, _found_sql, _requests
 from .session import read_table, scratch
+from .sources import tables
 from .sources.keyed import Keyed
-from .streaming.ingest import first_blocks
+from .streaming.ingest import Rollup, first_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -533,3 +535,77 @@ def q_stream_first_blocks(spark: SparkSession, d: str) -> DataFrame:
         headers = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/headers")
         first_blocks(headers, keep=100_000, expiry=timedelta(days=3650)).writeStream.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
     return spark.read.parquet(f"{at}/out").groupBy("source", "token").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+# -- stored tables in their layouts, rates, crashes
+
+
+@case(_E + """, m AS (SELECT tenant_id, date_trunc('day', ts) AS day, count(*) AS n FROM e GROUP BY 1, 2), w AS (SELECT *, lag(n) OVER (PARTITION BY tenant_id ORDER BY day) AS b, lag(day) OVER (PARTITION BY tenant_id ORDER BY day) AS t FROM m)
+    SELECT tenant_id, strftime(day, '%Y-%m-%d') AS day, n, CASE WHEN n < b THEN n ELSE n - b END AS increase, CASE WHEN n < b THEN n ELSE n - b END / ((epoch_us(day) - epoch_us(t)) / 1e6) AS rate FROM w WHERE b IS NOT NULL""")
+def q_counter_rates(spark: SparkSession, d: str) -> DataFrame:
+    """A shop's events by day read as a counter: falls are restarts, rates are by second of the time since the last sample."""
+    daily = _events(spark, d).groupBy("tenant_id", F.date_trunc("day", "ts").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    return evidence.increase(daily, ["tenant_id"], "at", "n").where("increase IS NOT NULL").select("tenant_id", F.date_format("at", "yyyy-MM-dd").alias("day"), "n", "increase", "rate")
+
+
+class _Crash(Exception):
+    pass
+
+
+@case(_E + """, n AS (SELECT count(*) AS all_rows, count(*) FILTER (event_id % 2 = 0) AS even FROM e)
+    SELECT 'after the crash' AS step, even AS raw, even AS rolled FROM n UNION ALL SELECT 'merged', even, even FROM n UNION ALL SELECT 'repeated', all_rows, all_rows FROM n UNION ALL SELECT 'again', all_rows, all_rows FROM n""")
+def q_crash_between_writes(spark: SparkSession, d: str) -> DataFrame:
+    """A block whose rows were written when its states failed: readers and merges don't see it; its repetition counts once."""
+    at = scratch(spark, "crash")
+    e = _events(spark, d).select(F.col("ts").alias("event_time"), "tenant_id", "event_type", "user_id", "revenue", (F.col("event_id") % 1000).alias("duration_ms"), "event_id")
+    even, odd = (e.where(F.col("event_id") % 2 == i).drop("event_id") for i in (0, 1))
+
+    class Failing(Rollup):
+        def states_of(self, block: DataFrame) -> DataFrame:
+            raise _Crash
+
+    roll, out = Rollup(spark, at), []
+    note = lambda step: out.append((step, roll.raw().count(), roll.states().agg(F.sum("events")).first()[0]))
+    roll.write(even, "even")
+    try:
+        Failing(spark, at).write(odd, "odd")
+    except _Crash:
+        note("after the crash")
+    roll.compact("raw")
+    roll.compact()
+    note("merged")
+    for step in ("repeated", "again"):
+        roll.write(odd, "odd")
+        note(step)
+    return spark.createDataFrame(out, "step string, raw long, rolled long")
+
+
+@case("""SELECT layout, o_orderkey, o_custkey, status, note FROM (SELECT o_orderkey, o_custkey, o_orderstatus AS status, '' AS note FROM orders WHERE o_custkey BETWEEN 10 AND 40 OR o_orderkey IN (7, 100, 101)), (VALUES ('sorted'), ('altered'), ('moved')) v(layout)""")
+def q_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges of the sort key and single keys from a table by month with bloom filters, then in an altered sort order with packed columns, then with half of its months in another table; the declared column that no row brings holds its default."""
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), "o_orderdate")
+    schema = StructType([*o.schema.fields, StructField("note", o.schema["status"].dataType)])
+    at = scratch(spark, "layouts")
+    t = tables.Table(f"{at}/t", schema, order=("o_custkey",), by_month="o_orderdate", bloom=("o_orderkey",))
+    t.append(o)
+    altered = t.like(f"{at}/altered", order=("o_orderkey",), bloom=("o_custkey",), options=tables.encodings(delta=("o_orderkey",)))
+    moved, rest = t.like(f"{at}/moved"), t.like(f"{at}/rest")
+    altered.append(o)
+    altered.alter(spark)
+    rest.append(o)
+    for p in rest.partitions(spark)[::2]:
+        rest.move(spark, p, moved)
+    wanted = F.col("o_custkey").between(10, 40) | F.col("o_orderkey").isin(7, 100, 101)
+    reads = {"sorted": t.read(spark), "altered": altered.read(spark), "moved": moved.read(spark).unionByName(rest.read(spark))}
+    rows = [df.where(wanted).select(F.lit(name).alias("layout"), "o_orderkey", "o_custkey", "status", "note") for name, df in reads.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@case("SELECT strftime(o_orderdate, '%Y%m') AS partition, 3::BIGINT AS parts, count(*) AS rows FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderkey % 3) = 3")
+def q_parts_pressure(spark: SparkSession, d: str) -> DataFrame:
+    """Months of over two files, after three appends."""
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    t = tables.Table(scratch(spark, "pressure"), o.schema, by_month="o_orderdate")
+    for i in range(3):
+        t.append(o.where(F.col("o_orderkey") % 3 == i).coalesce(1))
+    return tables.parts_pressure(t.parts(spark), ["partition"], 2).select("partition", "parts", "rows")
