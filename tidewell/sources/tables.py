@@ -95,23 +95,33 @@ class Table:
 
     def _rewrite(self, spark: SparkSession, part: int, change, files: int = 1) -> None:
         """A partition's new files are written beside it and swapped in by two renames; a crash between them leaves the old ones in _old."""
-        store, own, new, old = Files(spark, self.path), f"{self.path}/yyyymm={part}", f"{self.path}/_new", f"{self.path}/_old/yyyymm={part}"
+        store, own, new = Files(spark, self.path), f"{self.path}/yyyymm={part}", f"{self.path}/_new"
         store.delete(new)
         df = change(spark.read.parquet(own).select([c for c in self.schema.names]))
         self._write(df.repartitionByRange(files, *self.order) if files > 1 and self.order else df.repartition(files), new, "overwrite", moved=True)
+        self._swap(store, part)
+        store.delete(new)
+
+    def _swap(self, store: Files, part: int) -> None:
+        own, new, old = f"{self.path}/yyyymm={part}", f"{self.path}/_new/yyyymm={part}", f"{self.path}/_old/yyyymm={part}"
         store.delete(old)
-        store.move(own, old)
-        if store.exists(f"{new}/yyyymm={part}"):
-            store.move(f"{new}/yyyymm={part}", own)
+        if store.exists(own):
+            store.move(own, old)
+        if store.exists(new):
+            store.move(new, own)
         store.delete(old)
-        store.delete(new)
 
     def alter(self, spark: SparkSession, change: Callable[[DataFrame], DataFrame] = lambda df: df) -> int:
-        """Writes every partition anew in this table's layout (sort key, bloom filters, codec), with its rows changed: what an altered declaration needs to reach stored data. Returns the partitions."""
-        parts = self.partitions(spark)
-        for p in parts:
-            size = sum(i.size for i in Files(spark, self.path).listed(f"{self.path}/yyyymm={p}"))
-            self._rewrite(spark, p, change, max(1, -(-size // (512 << 20))))
+        """Writes the table anew in this table's layout (sort key, bloom filters, codec), with its rows changed, in one job beside it; then its partitions are swapped in one by one. Returns how many there were."""
+        parts, store, new = self.partitions(spark), Files(spark, self.path), f"{self.path}/_new"
+        if not parts:
+            return 0
+        store.delete(new)
+        self._write(change(spark.read.parquet(self.path).select(self.schema.names)), new, "overwrite")
+        made = [int(f.split("=")[1]) for f in store.folders(new) if f.startswith("yyyymm=")]
+        for p in sorted({*parts, *made}):
+            self._swap(store, p)
+        store.delete(new)
         return len(parts)
 
     def move(self, spark: SparkSession, part: int, to: Table) -> None:

@@ -582,7 +582,7 @@ def q_crash_between_writes(spark: SparkSession, d: str) -> DataFrame:
 
 @case("""SELECT layout, o_orderkey, o_custkey, status, note FROM (SELECT o_orderkey, o_custkey, o_orderstatus AS status, '' AS note FROM orders WHERE o_custkey BETWEEN 10 AND 40 OR o_orderkey IN (7, 100, 101)), (VALUES ('sorted'), ('altered'), ('moved')) v(layout)""")
 def q_layouts(spark: SparkSession, d: str) -> DataFrame:
-    """Ranges of the sort key and single keys from a table by month with bloom filters, then in an altered sort order with packed columns, then with half of its months in another table; the declared column that no row brings holds its default."""
+    """Ranges of the sort key and single keys from a table by month with bloom filters, then in an altered sort order with packed columns, then with an eighth of its months in another table; the declared column that no row brings holds its default."""
     o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"), "o_orderdate")
     schema = StructType([*o.schema.fields, StructField("note", o.schema["status"].dataType)])
     at = scratch(spark, "layouts")
@@ -593,7 +593,7 @@ def q_layouts(spark: SparkSession, d: str) -> DataFrame:
     altered.append(o)
     altered.alter(spark)
     rest.append(o)
-    for p in rest.partitions(spark)[::2]:
+    for p in rest.partitions(spark)[::8]:
         rest.move(spark, p, moved)
     wanted = F.col("o_custkey").between(10, 40) | F.col("o_orderkey").isin(7, 100, 101)
     reads = {"sorted": t.read(spark), "altered": altered.read(spark), "moved": moved.read(spark).unionByName(rest.read(spark))}
