@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions import spans
+from tidewell.functions import spans, states
 from tidewell.operators import detect, evidence, intervals, ranks
 from tidewell.sources.keyed import Keyed
 
@@ -39,6 +39,18 @@ def test_ranks(spark, kind, bins):
     assert len(got) == len(want)
 
 
+def test_exact_states_of_large_keys(spark):
+    """Thousands of users and durations of a key, from blocks merged twice: counts and ranks without an error; null users aren't counted, null keys are a key."""
+    e = spark.range(0, 60_000, 1, 4).select(F.when(F.col("id") % 3 < 2, F.col("id") % 3).alias("k"), (F.col("id") % 7).alias("minute"), F.when(F.col("id") % 11 > 0, F.col("id") % 9001).alias("user"), (F.col("id") * 7919 % 10_007).alias("t"))
+    blocks = [states.exact_partial(e.where(F.col("minute") % 2 == i), ["k", "minute"], "user", "t") for i in range(2)]
+    got = states.exact_finished(states.exact_rolled(blocks[0].unionByName(blocks[1]), ["k", (F.col("minute") % 2).alias("half")]), ["k"]).collect()
+    want = {}
+    for i in range(60_000):
+        want.setdefault(i % 3 if i % 3 < 2 else None, []).append((i % 9001 if i % 11 else None, i * 7919 % 10_007))
+    assert {r["k"]: (r["events"], r["users"], r["p95"]) for r in got} == {k: (len(v), len({u for u, _ in v} - {None}), sorted(t for _, t in v)[-(-95 * len(v) // 100) - 1]) for k, v in want.items()}
+    assert len(got) == 3
+
+
 def test_nan_is_the_greatest(spark):
     df = spark.createDataFrame([(v,) for v in (math.nan, 1.0, math.inf, 2.0)], "v double")
     got = {r["i"]: r["value"] for r in ranks.ranked(df, [], "v", [F.lit(i) for i in range(4)]).collect()}

@@ -19,8 +19,8 @@ BINS = 1 << 16
 BROADCAST_ROWS = 100_000
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    path = scratch(df.sparkSession, "ranks")
+def _stored(df: DataFrame, name: str = "ranks") -> DataFrame:
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -44,13 +44,13 @@ def _slice(v: Column, low: Column, high: Column, kind: T.DataType, logs: bool, b
     return F.when(F.isnan(v), bins + 1).when(v == infinite, bins).when(v == -infinite, -1).otherwise(inside)
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, ranks: list[Column], bins: int = BINS) -> DataFrame:
-    """(keys, i, n, value, before): for each group the value at each of ``ranks`` and the count of smaller ones. A rank is a Column over the group's count ``n`` of rows with a value, from 0 on; one outside gives no row. Null keys are a group. Whole numbers, decimals and doubles; infinities are values, NaN is the greatest."""
+def ranked(df: DataFrame, keys: list[str], value: str, ranks: list[Column], bins: int = BINS, times: str | None = None) -> DataFrame:
+    """(keys, i, n, value, before): for each group the value at each of ``ranks`` and the count of smaller ones. With ``times``, a column of positive whole numbers, a row counts that often. A rank is a Column over the group's count ``n`` of rows with a value, from 0 on; one outside gives no row. Null keys are a group. Whole numbers, decimals and doubles; infinities are values, NaN is the greatest."""
     kind = df.schema[value].dataType
-    own = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    own = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), (F.col(times) if times else F.lit(1)).cast("long").alias("_t"))
     plain = ~F.isnan("_v") & (F.abs("_v") < float("inf")) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.lit(True)
     finite = F.when(plain, F.col("_v"))
-    groups = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(finite).alias("low"), F.max(finite).alias("high"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+    groups = own.groupBy(*keys).agg(F.sum("_t").alias("n"), F.min(finite).alias("low"), F.max(finite).alias("high"), F.min("_v").alias("least"), F.max("_v").alias("most"))
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), r.cast("long").alias("rank")) for i, r in enumerate(ranks)])
     now = groups.select(*keys, "n", "low", "high", "least", "most", F.inline(wanted)).where(F.col("rank").between(0, F.col("n") - 1))
     now = _stored(now.withColumn("before", F.lit(0).cast("long")))
@@ -61,7 +61,7 @@ def ranked(df: DataFrame, keys: list[str], value: str, ranks: list[Column], bins
         renamed = open_.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "i", "n", "rank", "before", "low", "high", "least", "most")
         on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_v").between(F.col("least"), F.col("most"))]
         met = own.join(F.broadcast(renamed) if few else renamed, on)
-        cut = met.groupBy(*keys, "i", "n", "rank", F.col("before").alias("_before"), _slice(F.col("_v"), F.col("low"), F.col("high"), kind, turn % 2 == 1, bins).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+        cut = met.groupBy(*keys, "i", "n", "rank", F.col("before").alias("_before"), _slice(F.col("_v"), F.col("low"), F.col("high"), kind, turn % 2 == 1, bins).alias("_bin")).agg(F.sum("_t").alias("_c"), F.min("_v").alias("least"), F.max("_v").alias("most"))
         to = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "i").orderBy("_bin"))
         placed = cut.withColumn("_to", to).where((F.col("rank") < F.col("_to")) & (F.col("rank") >= F.col("_to") - F.col("_c")))
         now = _stored(placed.select(*keys, "n", F.col("least").alias("low"), F.col("most").alias("high"), "least", "most", "i", "rank", (F.col("_to") - F.col("_c")).alias("before")))
