@@ -1,10 +1,13 @@
 """Issued numbers: published examples, check digits against plain arithmetic, thresholds, and many literal values in one pass."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell import whole
+from tidewell.functions import spans
 from tidewell.operators import detect, identifiers, named_values
 
 CHECKS = {r.label: r.check for r in identifiers.RECOGNISERS if r.check}
@@ -77,6 +80,23 @@ def test_findings_follow_from_entities(spark):
     assert [(f["type"], f["value"]) for f in detect.recognised(df).first()["findings"]] == [("pii.national_id", "123 456 782"), ("pii.bank_account", "GB82 WEST 1234 5698 7654 32")]
 
 
+def test_texts_are_searched_in_one_pass(spark):
+    """All shapes in one pass: the plan matches no text again to split it; places as a plain search has them, with what stands around."""
+    rows = [(i, t) for i, t in enumerate([None, "", "é 123 456 782", "123456782 " * 30, "x1234567890 😀 GB82 WEST 1234 5698 7654 32 AB51 CDE", "_123456782 123456782_ 1234567821 12345678"])]
+    df = spark.createDataFrame(rows, "k int, text string")
+    plan = identifiers.with_entities(df)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp_extract_all" not in plan and plan.count("arrowevalpython") == 1
+    chosen = [(r.pattern, r.first) for r in identifiers.RECOGNISERS] + [(r"\b\d+", None)]
+    got = df.select("k", F.inline(spans.matches("text", chosen, 7))).collect()
+    want = [(k, i, *m.span(), m.group(), t[max(m.start() - 7, 0):max(m.start() - 7, 0) + len(m.group()) + 14]) for k, t in rows for i, (p, _) in enumerate(chosen) for m in re.finditer(p, t or "", re.ASCII)]
+    assert [tuple(r) for r in got] == want and len(want) > 50
+
+
+def test_issued_numbers_by_label_read_texts_once(spark):
+    out = whole.q_issued_numbers_by_label(spark, "/root/testdata/sf0.001")
+    assert not [f for f in out.inputFiles() if "documents" in f]
+
+
 # -- named values
 
 

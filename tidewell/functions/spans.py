@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,32 @@ def located(parts: Column, hits: Column) -> Column:
     return F.when(F.size(hits) > BLOCK, bound(pairs, long)).when(F.size(hits) > 0, block(pairs, place(F.lit(0), F.lit(0)))).otherwise(none)
 
 
+def matches(text: Column | str, patterns: Iterable[tuple[str, str | None]], margin: int = 0) -> Column:
+    """array<struct<i, start, end, value, around>>: matches of each pattern, number ``i``, in its order and then by place, in characters. Each pattern comes with the characters (a class's inside) that a match begins with, or None: only such places are tried, and each text is decoded once for all patterns. ``around`` is the value with ``margin`` characters on both sides; where fewer lie before it, more after it. Boundaries and classes are those of ASCII. Null text: none."""
+    runs = [p if first is None else f"[{first}](?<=(?=({p})).)" for p, first in patterns]
+    whole = [first is None for _, first in patterns]
+
+    @F.arrow_udf("array<struct<i:int,start:int,end:int,value:string,around:string>>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = [re.compile(r, re.ASCII | re.DOTALL) for r in runs]
+        bounds, rows = [0], ([], [], [], [], [])
+        for raw in texts.cast(pa.large_binary()).to_pylist():
+            t = (raw or b"").decode("utf-8", "replace")
+            for i, r in enumerate(found):
+                last = 0
+                for m in r.finditer(t):
+                    a, z = m.span() if whole[i] else m.span(1)
+                    if a >= last:  # places inside a match don't begin another
+                        last = z
+                        for c, x in zip(rows, (i, a, z, t[a:z], t[max(a - margin, 0):max(a - margin, 0) + z - a + 2 * margin]), strict=True):
+                            c.append(x)
+            bounds.append(len(rows[0]))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["i", "start", "end", "value", "around"]))
+
+    return run(text)
+
+
 def overlaps(a: Column, b: Column) -> Column:
     """Half-open spans share a place; touching ones don't."""
     return (a["start"] < b["end"]) & (b["start"] < a["end"])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ascii_boundaries, passes_threshold
-from ..functions.spans import barrier, located
+from ..functions.spans import bound, matches
 from .detect import CONTEXT_BOOST, CONTEXT_CHARS, DEFAULT_THRESHOLD, THRESHOLDS
 
 ENTITY = "struct<label:string,start:int,end:int,value:string,score:double>"
@@ -45,108 +45,93 @@ def weighted(digits: Column, weights: Iterable[int]) -> Column:
 
 def abn(value: Column) -> Column:
     """Eleven digits: the weighted sum, the first digit less one, is a multiple of 89."""
-    d = digits_of(value)
-    return (F.length(d) == 11) & ((weighted(d, ABN_WEIGHTS) - ABN_WEIGHTS[0]) % 89 == 0)
+    return bound(digits_of(value), lambda d: (F.length(d) == 11) & ((weighted(d, ABN_WEIGHTS) - ABN_WEIGHTS[0]) % 89 == 0))
 
 
 def acn(value: Column) -> Column:
     """Nine digits: the last completes the others' weighted sum to a multiple of ten."""
-    d = digits_of(value)
-    return (F.length(d) == 9) & ((weighted(d, ACN_WEIGHTS) + digit(d, 9)) % 10 == 0)
+    return bound(digits_of(value), lambda d: (F.length(d) == 9) & ((weighted(d, ACN_WEIGHTS) + digit(d, 9)) % 10 == 0))
 
 
 def tfn(value: Column) -> Column:
-    d = digits_of(value)
-    return (F.length(d) == 9) & (weighted(d, TFN_WEIGHTS) % 11 == 0)
+    return bound(digits_of(value), lambda d: (F.length(d) == 9) & (weighted(d, TFN_WEIGHTS) % 11 == 0))
 
 
 def medicare(value: Column) -> Column:
     """Ten digits, the first from 2 to 6: the ninth is the weighted sum's last digit."""
-    d = digits_of(value)
-    return (F.length(d) == 10) & digit(d, 1).between(2, 6) & (weighted(d, MEDICARE_WEIGHTS) % 10 == digit(d, 9))
+    return bound(digits_of(value), lambda d: (F.length(d) == 10) & digit(d, 1).between(2, 6) & (weighted(d, MEDICARE_WEIGHTS) % 10 == digit(d, 9)))
 
 
 def routing(value: Column) -> Column:
-    d = digits_of(value)
-    return (F.length(d) == 9) & (weighted(d, ROUTING_WEIGHTS) % 10 == 0)
+    return bound(digits_of(value), lambda d: (F.length(d) == 9) & (weighted(d, ROUTING_WEIGHTS) % 10 == 0))
 
 
 def npi(value: Column) -> Column:
     """Ten digits that pass the Luhn check behind the issuer's prefix."""
-    d = digits_of(value)
-    return (F.length(d) == 10) & F.call_function("luhn_check", F.concat(F.lit(NPI_PREFIX), d))
+    return bound(digits_of(value), lambda d: (F.length(d) == 10) & F.call_function("luhn_check", F.concat(F.lit(NPI_PREFIX), d)))
 
 
 def iban(value: Column) -> Column:
     """The account moved before country and check digits, letters as 10 to 35: the remainder by 97 is 1."""
-    code = F.upper(F.regexp_replace(value, "[^0-9A-Za-z]", ""))
-    turned = F.concat(F.substring(code, F.lit(5), F.length(code)), F.substring(code, 1, 4))
-    chars = F.filter(F.split(turned, ""), lambda c: c != "")
-
     def step(rest: Column, c: Column) -> Column:
         n = F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
         return (rest * F.when(n > 9, 100).otherwise(10) + n) % 97
 
-    return F.length(code).between(15, 34) & (F.aggregate(chars, F.lit(0), step) == 1)
+    def checked(code: Column) -> Column:
+        turned = F.concat(F.substring(code, F.lit(5), F.length(code)), F.substring(code, 1, 4))
+        return F.length(code).between(15, 34) & (F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step) == 1)
+
+    return bound(F.upper(F.regexp_replace(value, "[^0-9A-Za-z]", "")), checked)
 
 
 @dataclass(frozen=True)
 class Recogniser:
-    """``score`` is the shape's own; ``check`` settles it; ``guard`` is a cheap pattern that a text must hold; a match begins with one of ``first``, which is looked at before anything else."""
+    """``score`` is the shape's own; ``check`` settles it; a match begins with one of ``first``, the only places where it is tried."""
 
     label: str
     pattern: str
     score: float
     context: tuple[str, ...]
     check: Callable[[Column], Column] | None = None
-    guard: str = "[0-9]"
-    first: str = "0-9"
-
-    @property
-    def run(self) -> str:
-        return f"(?=[{self.first}]){ascii_boundaries(self.pattern)}"
+    first: str | None = "0-9"
 
 
 # Shapes by the issuers' public formats. Scores and context words are ours.
 RECOGNISERS = (
-    Recogniser("AU_ABN", r"\b\d{2}[ ]?\d{3}[ ]?\d{3}[ ]?\d{3}\b", 0.1, ("abn", "business number"), abn, "[0-9][0-9 ]{10}"),
-    Recogniser("AU_ACN", r"\b\d{3}[ ]?\d{3}[ ]?\d{3}\b", 0.1, ("acn", "company number"), acn, "[0-9][0-9 ]{8}"),
-    Recogniser("AU_TFN", r"\b\d{3}[ ]?\d{3}[ ]?\d{3}\b", 0.1, ("tfn", "tax file"), tfn, "[0-9][0-9 ]{8}"),
-    Recogniser("AU_MEDICARE", r"\b[2-6]\d{3}[ ]?\d{5}[ ]?\d\b", 0.1, ("medicare",), medicare, "[0-9][0-9 ]{9}"),
-    Recogniser("ABA_ROUTING_NUMBER", r"\b[0123678]\d{3}-?\d{4}-?\d\b", 0.1, ("aba", "routing", "bank"), routing, "[0-9][0-9-]{8}"),
-    Recogniser("US_NPI", r"\b[12]\d{3}[ -]?\d{3}[ -]?\d{3}\b", 0.1, ("npi", "provider"), npi, "[0-9][0-9 -]{9}"),
+    Recogniser("AU_ABN", r"\b\d{2}[ ]?\d{3}[ ]?\d{3}[ ]?\d{3}\b", 0.1, ("abn", "business number"), abn),
+    Recogniser("AU_ACN", r"\b\d{3}[ ]?\d{3}[ ]?\d{3}\b", 0.1, ("acn", "company number"), acn),
+    Recogniser("AU_TFN", r"\b\d{3}[ ]?\d{3}[ ]?\d{3}\b", 0.1, ("tfn", "tax file"), tfn),
+    Recogniser("AU_MEDICARE", r"\b[2-6]\d{3}[ ]?\d{5}[ ]?\d\b", 0.1, ("medicare",), medicare),
+    Recogniser("ABA_ROUTING_NUMBER", r"\b[0123678]\d{3}-?\d{4}-?\d\b", 0.1, ("aba", "routing", "bank"), routing),
+    Recogniser("US_NPI", r"\b[12]\d{3}[ -]?\d{3}[ -]?\d{3}\b", 0.1, ("npi", "provider"), npi),
     Recogniser("US_MBI", r"\b[1-9][AC-HJKMNP-RT-Y][0-9AC-HJKMNP-RT-Y]\d-?[AC-HJKMNP-RT-Y][0-9AC-HJKMNP-RT-Y]\d-?[AC-HJKMNP-RT-Y]{2}\d{2}\b", 0.3, ("mbi", "beneficiary", "medicare")),
     Recogniser("UK_NINO", r"\b(?:[ACEHJLMOPRSWXY][A-CEGHJ-NPR-TW-Z]|B[A-CEHJ-NPR-TW-Z]|G[ACEGHJ-NPR-TW-Z]|K[A-CEGHJ-MPR-TW-Z]|N[A-CEGHJLMNPRSW-Z]|T[A-CEGHJ-MPR-TW-Z]|Z[A-CEGHJ-NPR-TW-Y])[ ]?\d{2}[ ]?\d{2}[ ]?\d{2}[ ]?[A-D]\b", 0.5, ("nino", "national insurance"), first="A-Z"),
     Recogniser("UK_PASSPORT", r"\b[A-Z]{2}\d{7}\b", 0.2, ("passport",), first="A-Z"),
     Recogniser("UK_DRIVING_LICENCE", r"\b[A-Z9]{5}\d(?:0[1-9]|1[0-2]|5[1-9]|6[0-2])(?:0[1-9]|[12]\d|3[01])\d[A-Z9]{2}[A-Z0-9]{3}\b", 0.5, ("licence", "driving", "dvla"), first="A-Z9"),
     Recogniser("UK_POSTCODE", r"\b(?:GIR[ ]?0AA|[A-PR-UWYZ](?:\d{1,2}|[A-HK-Y]\d[0-9A-Z]?|\d[A-HJKPSTUW])[ ]?\d[ABD-HJLNP-UW-Z]{2})\b", 0.2, ("postcode", "address"), first="A-Z"),
     Recogniser("UK_VEHICLE_REGISTRATION", r"\b[A-HJ-PR-Y]{2}(?:0[2-9]|[12]\d|5[1-9]|[67]\d)[ ]?[A-HJ-PR-Z]{3}\b", 0.2, ("vehicle", "registration", "plate"), first="A-Z"),
-    Recogniser("IBAN_CODE", r"\b[A-Z]{2}\d{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?\b", 0.1, ("iban", "account"), iban, "[A-Z]{2}[0-9]{2}", "A-Z"),
+    Recogniser("IBAN_CODE", r"\b[A-Z]{2}\d{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?\b", 0.1, ("iban", "account"), iban, "A-Z"),
 )
 
 
 def with_entities(df: DataFrame, text: str = "text", recognisers: Iterable[Recogniser] = RECOGNISERS) -> DataFrame:
     """Adds ``entities`` (ENTITY): matches of each recogniser in its order and then by place, each scored, those under their threshold left out. Entities of different labels may overlap; ``detect.recognised`` settles that. Null text: none."""
     recognisers = tuple(recognisers)
-    t = F.coalesce(F.col(text), F.lit(""))
-    patterns = [r.run for r in recognisers]
-    cut = barrier(df, **{f"_g{i}": t.rlike(r.guard) for i, r in enumerate(recognisers)})
-    cut = barrier(cut, **{f"_h{i}": F.when(F.col(f"_g{i}"), F.regexp_extract_all(t, F.lit(p), F.lit(0))) for i, p in enumerate(patterns)})
-    cut = barrier(cut, **{f"_s{i}": F.when(F.size(f"_h{i}") > 0, located(F.split(t, p, -1), F.col(f"_h{i}"))) for i, p in enumerate(patterns)})
-    found = [F.coalesce(_scored(t, F.col(f"_s{i}"), r), F.array().cast(f"array<{ENTITY}>")) for i, r in enumerate(recognisers)]
-    return cut.select(*df.columns, F.concat(*found).alias("entities"))
+    found = df.withColumn("_m", matches(F.col(text), [(r.pattern, r.first) for r in recognisers], CONTEXT_CHARS))
+    labels = F.array(*[F.lit(r.label) for r in recognisers])
+
+    def scored(x: Column) -> Column:
+        score = F.lit(None).cast("double")
+        for i, r in reversed(list(enumerate(recognisers))):
+            score = F.when(x["i"] == i, _score(x, r)).otherwise(score)
+        return F.struct(F.get(labels, x["i"]).alias("label"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), score.alias("score"))
 
+    return found.select(*df.columns, F.filter(F.transform("_m", scored), lambda e: passes_threshold(e["label"], e["score"], THRESHOLDS, DEFAULT_THRESHOLD)).cast(f"array<{ENTITY}>").alias("entities"))
 
-def _scored(text: Column, spans: Column, r: Recogniser) -> Column:
-    near = ascii_boundaries(r"(?i)\b(?:" + "|".join(r.context) + r")\b")
 
-    def scored(x: Column) -> Column:
-        if r.check:
-            score = F.lit(1.0)
-        else:
-            around = F.substring(text, F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)) + 1, x["end"] - x["start"] + 2 * CONTEXT_CHARS)
-            score = F.round(F.when(around.rlike(near), F.lit(r.score + CONTEXT_BOOST)).otherwise(F.lit(r.score)), 3)
-        return F.struct(F.lit(r.label).alias("label"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), score.alias("score"))
-
-    kept = F.filter(spans, lambda x: r.check(x["value"])) if r.check else spans
-    return F.filter(F.transform(kept, scored), lambda e: passes_threshold(e["label"], e["score"], THRESHOLDS, DEFAULT_THRESHOLD))
+def _score(x: Column, r: Recogniser) -> Column:
+    """A match's score; null if its check digits are wrong."""
+    if r.check:
+        return F.when(r.check(x["value"]), F.lit(1.0))
+    near = ascii_boundaries(r"(?i)\b(?:" + "|".join(r.context) + r")\b")
+    return F.when(x["around"].rlike(near), F.lit(round(r.score + CONTEXT_BOOST, 3))).otherwise(F.lit(round(r.score, 3)))
