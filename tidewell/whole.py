@@ -133,7 +133,10 @@ def q_customer_numbers(spark: SparkSession, d: str) -> DataFrame:
     SELECT label, count(*) AS n, count(DISTINCT k) AS documents, count(*) FILTER (NOT EXISTS (SELECT 1 FROM g h WHERE h.k = g.k AND h.weight > g.weight AND h.s < g.e AND g.s < h.e)) AS strongest FROM g GROUP BY label""")
 def q_issued_numbers_by_label(spark: SparkSession, d: str) -> DataFrame:
     """Entities by label, and how many of them no stronger or longer one overlaps."""
-    e = _entities(read_table(spark, d, "documents").select("doc_id", F.expr(PLANTED).alias("text")), "doc_id").withColumn("weight", F.col("score") * 1000000 + (F.col("end_at") - F.col("start_at")))
+    found = _entities(read_table(spark, d, "documents").select("doc_id", F.expr(PLANTED).alias("text")), "doc_id").select("doc_id", "label", "start_at", "end_at", (F.col("score") * 1000000 + (F.col("end_at") - F.col("start_at"))).alias("weight"))
+    path = scratch(spark, "issued")  # both sides of the join and the counts read it
+    found.write.parquet(path)
+    e = spark.read.schema(found.schema).parquet(path)
     h = e.select(F.col("doc_id").alias("k"), F.col("start_at").alias("s"), F.col("end_at").alias("e"), F.col("weight").alias("w"))
     beaten = e.join(h, [F.col("doc_id") == F.col("k"), F.col("w") > F.col("weight"), F.col("s") < F.col("end_at"), F.col("start_at") < F.col("e")], "left_semi").groupBy(F.col("label").alias("l")).agg(F.count(F.lit(1)).alias("beaten"))
     n = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"))
