@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ascii_boundaries, literal_matches, mapped, passes_threshold
-from ..functions.spans import accepted, barrier, by_length_stable, by_score_stable, by_score_then_length, by_start, large_chunks, located, rebased
+from ..functions.spans import accepted, barrier, by_length_stable, by_score_stable, by_score_then_length, by_start, large_chunks, located, matches, rebased
 
 # The detectors in order of priority.
 PATTERNS = {
@@ -90,6 +90,8 @@ LICENCE_PATTERNS = (
 LICENCE_CONTEXT = ("licence", "license", "driver", "drivers", "driving", "dl")
 # Key patterns with their scores.
 KEY_PATTERNS = ((r"\bsk-[A-Za-z0-9_-]{20,}\b", 0.8), (r"\bAKIA[0-9A-Z]{16}\b", 0.9))
+# What matches of these patterns begin with.
+LICENCE_FIRSTS, KEY_FIRSTS = ("NVQWSTA", "A-Z", "0-9"), ("s", "A")
 CONTEXT_BOOST, CONTEXT_CHARS = 0.35, 60  # ours: the library that holds the rule isn't part of the job
 
 #: What a text must hold for a pattern to match at all (a cheap scan), and the characters that a match may begin with.
@@ -176,32 +178,34 @@ def merged_findings(own: Column, other: Column) -> Column:
     return F.concat(own, F.transform(extra, lambda x, i: x.withField("id", F.concat(F.lit("f"), (F.size(own) + i + 1).cast("string")))))
 
 
-def scored_matches(text: Column, patterns: tuple[tuple[str, float], ...], label: str) -> Column:
-    """array<struct<label, start, end, value, score>> of constant-score patterns."""
-    out = []
-    for pattern, score in patterns:
-        p = ascii_boundaries(pattern)
-        out.append(_scored(located(F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), 0)), label, score))
-    return F.concat(*out)
+def scored_matches(text: Column, patterns: tuple[tuple[str, float], ...], label: str, firsts: tuple[str, ...] | None = None) -> Column:
+    """array<struct<label, start, end, value, score>> of constant-score patterns; ``firsts`` are the characters that their matches begin with."""
+    return _scored(matches(text, _tried(patterns, firsts)), label, patterns)
 
 
-def _scored(spans: Column, label: str, score: float) -> Column:
-    return F.transform(spans, lambda x: F.struct(F.lit(label).alias("label"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.lit(score).alias("score")))
+def _tried(patterns: tuple[tuple[str, float], ...], firsts: tuple[str, ...] | None) -> list[tuple[str, str | None]]:
+    return [(p, firsts[i] if firsts else None) for i, (p, _) in enumerate(patterns)]
+
+
+def _scored(spans: Column, label: str, patterns: tuple[tuple[str, float], ...], boosted: Callable[[Column, Column], Column] | None = None) -> Column:
+    scores = F.array(*[F.lit(score) for _, score in patterns])
+
+    def one(x: Column) -> Column:
+        score = F.get(scores, x["i"])
+        return F.struct(F.lit(label).alias("label"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), (boosted(x, score) if boosted else score).alias("score"))
+
+    return F.transform(spans, one)
 
 
 def api_keys(text: Column) -> Column:
-    return scored_matches(text, KEY_PATTERNS, "API_KEY")
+    return scored_matches(text, KEY_PATTERNS, "API_KEY", KEY_FIRSTS)
 
 
 def driver_licences(text: Column) -> Column:
     """Licence-like numbers of which a context word stands within CONTEXT_CHARS characters; without one they stay under the threshold."""
     near = ascii_boundaries(r"(?i)\b(?:" + "|".join(LICENCE_CONTEXT) + r")\b")
-
-    def boosted(x: Column) -> Column:
-        around = F.substring(text, F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)) + 1, x["end"] - x["start"] + 2 * CONTEXT_CHARS)
-        return x.withField("score", F.round(F.when(around.rlike(near), x["score"] + CONTEXT_BOOST).otherwise(x["score"]), 3))
-
-    return F.filter(F.transform(scored_matches(text, LICENCE_PATTERNS, "AU_DRIVER_LICENCE"), boosted), lambda x: passes_threshold(x["label"], x["score"], THRESHOLDS, DEFAULT_THRESHOLD))
+    found = _scored(matches(text, _tried(LICENCE_PATTERNS, LICENCE_FIRSTS), CONTEXT_CHARS), "AU_DRIVER_LICENCE", LICENCE_PATTERNS, lambda x, score: F.round(F.when(x["around"].rlike(near), score + CONTEXT_BOOST).otherwise(score), 3))
+    return F.filter(found, lambda x: passes_threshold(x["label"], x["score"], THRESHOLDS, DEFAULT_THRESHOLD))
 
 
 def grounded(text: Column, label: str, value: str) -> Column:
