@@ -217,3 +217,10 @@ def test_a_broken_swap_is_finished(spark):
     again.drop()
     with pytest.raises(ValueError, match="versions or"):
         Keyed(spark, ["k"])
+
+
+def test_an_order_is_computed_once_for_all_blocks(spark):
+    kind = "struct<start:int,end:int>"
+    df = spark.createDataFrame([([(i % 91, i % 91 + 3) for i in range(400)],)], f"c array<{kind}>").select(spans.accepted(F.reverse("c"), kind).alias("o"))
+    assert df._jdf.queryExecution().analyzed().toString().count("reverse(") == 1
+    assert [tuple(x) for x in df.first()["o"][:2]] == [(399 % 91, 399 % 91 + 3), (396 % 91, 396 % 91 + 3)]

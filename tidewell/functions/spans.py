@@ -87,8 +87,11 @@ def overlaps(a: Column, b: Column) -> Column:
 
 
 def accepted(candidates: Column, kind: str) -> Column:
-    """Greedy fold in the array's order: a span that overlaps an accepted one goes, and nothing is looked for again. Long arrays go in blocks: the accepted spans lie sorted by place, where a search by halves finds the only one that a candidate can overlap."""
+    """Greedy fold in the array's order: a span that overlaps an accepted one goes, and nothing is looked for again. Long arrays go in blocks: the accepted spans lie sorted by place, where a search by halves finds the only one that a candidate can overlap. An order given as an expression is computed once, not with each block."""
+    return bound(candidates, lambda c: _accepted(c, kind))
 
+
+def _accepted(candidates: Column, kind: str) -> Column:
     def fold(spans: Column, kind: str) -> Column:
         return F.aggregate(spans, F.array().cast(f"array<{kind}>"), lambda acc, x: F.when(F.exists(acc, lambda y: overlaps(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
 
