@@ -64,8 +64,8 @@ def matches(text: Column | str, patterns: Iterable[tuple[str, str | None]], marg
     def run(texts: pa.Array) -> pa.Array:
         found = [re.compile(r, re.ASCII | re.DOTALL) for r in runs]
         bounds, rows = [0], ([], [], [], [], [])
-        for raw in texts.cast(pa.large_binary()).to_pylist():
-            t = (raw or b"").decode("utf-8", "replace")
+        for raw in texts.cast(pa.large_binary()):
+            t = (raw.as_py() or b"").decode("utf-8", "replace")
             for i, r in enumerate(found):
                 last = 0
                 for m in r.finditer(t):
